@@ -4,13 +4,13 @@ A document's set holds its distinct n-word shingles (64-bit hashes). Documents
 with the same set are one node from the start. Two nodes link when the Jaccard
 similarity of their sets reaches the threshold; classes are connected by links.
 
-1. ``describe``: node, set size, three min-hashes, and the beginning of the set
+1. ``describe``: node, set size, min-hashes, and the beginning of the set
    in one order of all shingles: unusual ones by hash, then those that tasks
    saw in many documents (a bounded table; the order changes the work, never
    the result).
 2. Stars: nodes with an equal min-hash are compared with one of them, the one
-   with the largest share of frequent shingles. Each node is compared at most
-   three times, and large groups of near copies collapse to a class.
+   with the largest share of frequent shingles, if most of their min-hashes agree; large groups of near
+   copies collapse to a class.
 3. Matrix: two linked sets share at least LEVEL shingles of their beginnings.
    Shingles that lie in the beginnings of two classes make the matrix;
    similar nodes (by min-hash) are divided into groups of about ``GROUP``, and the
@@ -47,7 +47,8 @@ HOT, HOT_DOCS = 1 << 18, 24
 #: Shingles in which a task looks for repeated ones at once.
 _CHUNK = 4_000_000
 _SLICE = 256
-_MINHASHES = 3
+#: Min-hashes of a node, and how many of them a node shares with a pivot that it is compared with.
+_MINHASHES, _AGREE = 4, 3
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -155,23 +156,47 @@ def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], rank[order]
 
 
-def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, n, h0 to h2, share (of frequent shingles), begins: array of shingles. A node has a row for each task that met it, at least."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)
-    seeds = mix64(np.arange(1, _MINHASHES + 1, dtype=np.uint64) * _C)
+def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """nodes: node, n, h0 to h3, share (of frequent shingles); entries: shingle, node, indexed, of the shingles that begin two nodes or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task packs its entries by the task that a shingle goes to, and sends
+    them with its nodes; there, repeated nodes and lone shingles go.
+    """
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(hot)
+    seeds = mix64(np.arange(1, _MINHASHES + 1, dtype=np.uint64) * _C)
+    parts = n_partitions(spark)
+    plain = ["node", "n", *(f"h{k}" for k in range(_MINHASHES))]
+
+    def packed(known: dict[int, tuple], entries: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
+        rows = np.array([(node, *x[:-1]) for node, x in known.items()], dtype=np.int64).reshape(-1, len(plain))
+        share = np.array([x[-1] for x in known.values()])
+        shingle = np.concatenate([e[0] for e in entries]) if entries else np.zeros(0, dtype=np.uint64)
+        node = np.repeat(np.array([e[1] for e in entries], dtype=np.int64), [len(e[0]) for e in entries])
+        indexed = np.concatenate([np.arange(len(e[0])) < e[2] for e in entries]) if entries else np.zeros(0, dtype=bool)
+        row_to = (rows[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        entry_to = (mix64(shingle) % np.uint64(parts)).astype(np.int64)
+        rows_by, entries_by = np.argsort(row_to, kind="stable"), np.argsort(entry_to, kind="stable")
+        row_edges, entry_edges = (np.searchsorted(x[by], np.arange(parts + 1)) for x, by in ((row_to, rows_by), (entry_to, entries_by)))
+        for t in range(parts):
+            r, e = rows_by[row_edges[t] : row_edges[t + 1]], entries_by[entry_edges[t] : entry_edges[t + 1]]
+            if len(r) or len(e):
+                blobs = [np.ascontiguousarray(rows[r].T), share[r], shingle[e], node[e], indexed[e]]
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["target", "rows", "share", "shingle", "node", "indexed"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rank = held.value
-        known: set[int] = set()
+        seen: set[int] = set()
+        known: dict[int, tuple] = {}
+        entries: list[tuple[np.ndarray, int, int]] = []
+        total = 0
         for _, sets in _slices(batches, width):
-            nodes, ns, hashes, shares, begins = [], [], [[] for _ in seeds], [], []
             for s in sets:
-                if not len(s) or (node := node_of(s)) in known:
+                if not len(s) or (node := node_of(s)) in seen:
                     continue
-                known.add(node)
-                take = threshold.beginnings(len(s))[0]
-                share = 0.0
-                order = s
+                seen.add(node)
+                take, indexed = threshold.beginnings(len(s))
+                share, order = 0.0, s
                 if len(shingles):
                     at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
                     often = shingles[at] == s
@@ -179,17 +204,43 @@ def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.nd
                         share = float(often.mean())
                         rare = s[~often]
                         order = rare if len(rare) >= take else np.concatenate([rare, s[often][np.argsort(rank[at[often]], kind="stable")]])
-                nodes.append(node)
-                ns.append(len(s))
-                shares.append(share)
-                begins.append(order[:take].astype(np.int64))
-                for k, seed in enumerate(seeds):
-                    hashes[k].append(int(mix64(s ^ seed).min().astype(np.int64)))
-            offsets = np.concatenate([[0], np.cumsum([len(b) for b in begins])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(begins) if begins else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), *(pa.array(h, pa.int64()) for h in hashes), pa.array(shares, pa.float64()), lists], names=["node", "n", "h0", "h1", "h2", "share", "begins"])
+                known[node] = (len(s), *(int(mix64(s ^ seed).min().astype(np.int64)) for seed in seeds), share)
+                entries.append((order[:take].copy(), node, indexed))
+                total += take
+            if total > _CHUNK:
+                yield from packed(known, entries)
+                known, entries, total = {}, [], 0
+        yield from packed(known, entries)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in batch.to_pylist()]
+        if not got:
+            return
+        rows = np.concatenate([np.frombuffer(r["rows"], dtype=np.int64).reshape(len(plain), -1) for r in got], axis=1)
+        join = lambda name, t: np.frombuffer(b"".join(r[name] for r in got), dtype=t)
+        share, shingle, node, indexed = join("share", np.float64), join("shingle", np.uint64), join("node", np.int64), join("indexed", bool)
+        _, first = np.unique(rows[0], return_index=True)
+        yield made(rows[:, first], share[first], None, None)
+        order = np.lexsort((node, shingle))
+        shingle, node, indexed = shingle[order], node[order], indexed[order]
+        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]) if len(shingle) else np.zeros(0, dtype=bool)
+        shingle, node, indexed = shingle[new], node[new], indexed[new]
+        _, at, n = np.unique(shingle, return_inverse=True, return_counts=True)
+        several = n[at] > 1
+        yield made(None, node[several], shingle[several], indexed[several])
+
+    def made(rows, share, shingle, indexed) -> pa.RecordBatch:
+        if rows is not None:
+            none = lambda t: pa.nulls(rows.shape[1], t)
+            columns = [*(pa.array(x) for x in rows), pa.array(share), none(pa.int64()), none(pa.bool_())]
+        else:
+            none = pa.nulls(len(shingle), pa.int64())
+            columns = [pa.array(share), *[none] * (len(plain) - 1), pa.nulls(len(shingle), pa.float64()), pa.array(shingle.astype(np.int64)), pa.array(indexed)]
+        return pa.RecordBatch.from_arrays(columns, names=[*plain, "share", "shingle", "indexed"])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, h0 bigint, h1 bigint, h2 bigint, share double, begins array<bigint>")
+    sent = docs.mapInArrow(send, "target int, rows binary, share binary, shingle binary, node binary, indexed binary").repartitionById(parts, F.col("target"))
+    found = durable(sent.mapInArrow(reduce, ", ".join(f"{c} bigint" for c in plain) + ", share double, shingle bigint, indexed boolean"))
+    return found.filter(F.col("shingle").isNull()).select(*plain, "share"), found.filter(F.col("shingle").isNotNull()).select("shingle", "node", "indexed")
 
 
 def bloom_of(nodes: DataFrame) -> np.ndarray:
@@ -204,7 +255,7 @@ def bloom_of(nodes: DataFrame) -> np.ndarray:
 
 
 def open_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
-    """node, data (sorted uint64): the sets of the needed nodes (distinct, column node), read from the texts."""
+    """node, data (sorted uint64): the sets of the needed nodes (distinct, column node) and of a few others, read from the texts; a row for each task that met the node."""
     words = bloom_of(needed)
     held = docs.sparkSession.sparkContext.broadcast(words)
     bits = 64 * len(words)
@@ -221,8 +272,7 @@ def open_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
                     data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "data"])
 
-    found = docs.mapInArrow(run, "node bigint, data binary").join(needed, "node", "left_semi")
-    return durable(found.groupBy("node").agg(F.first("data").alias("data")))
+    return docs.mapInArrow(run, "node bigint, data binary")
 
 
 _MASK = (1 << 64) - 1
@@ -293,17 +343,20 @@ def visit(members: DataFrame, queries: DataFrame, sets: DataFrame, threshold: Th
     parts = queries.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
     opened = members.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asking = queries.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    columns = lambda rows, asks: rows.select("group", "part", F.lit(asks).alias("asks"), "node", "class").join(sets, "node").select("group", "part", "asks", "node", "class", "data")
-    rows = columns(opened, 0).unionByName(columns(asking, 1))
+    role = lambda rows, asks: rows.select("group", "part", F.lit(asks).alias("asks"), "node", "class")
+    rows = role(opened, 0).unionByName(role(asking, 1)).join(sets, "node").select("group", "part", "asks", "node", "class", "data")
     rows = rows.repartition(n_partitions(members.sparkSession), "group", "part").sortWithinPartitions("group", "part", "asks", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, waiting = None, None, []
+        at, group, waiting, last = None, None, [], None
         for batch in batches:
             a, b = [], []
             for key, part, asks, node, own, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (key, part) != at:
                     at, group, waiting = (key, part), None, []
+                if (at, asks, node) == last:  # its set came from several tasks
+                    continue
+                last = (at, asks, node)
                 s = np.frombuffer(data, dtype=np.uint64)
                 if not asks:
                     waiting.append((node, own, s))
@@ -341,12 +394,15 @@ def _class(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("class", "_c"), "node", "left").withColumn("class", F.coalesce("_c", "node")).drop("_c")
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """Pairs (group, node): each node with the pivots of its min-hashes."""
+def _stars(nodes: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (group, node): each node with the pivots of its min-hashes, where sizes and most min-hashes agree. What is missed here, the matrix finds."""
     pairs = None
-    for k in range(_MINHASHES):
-        pivot = F.max(F.struct("share", "node")).over(Window.partitionBy(f"h{k}"))
-        own = nodes.withColumn("group", pivot["node"]).filter(F.col("group") != F.col("node")).select("group", "node")
+    hashes = [f"h{k}" for k in range(_MINHASHES)]
+    for h in hashes:
+        own = nodes.withColumn("p", F.max(F.struct("share", "node", "n", *hashes)).over(Window.partitionBy(h)))
+        agree = sum((F.col(f"p.{k}") == F.col(k)).cast("int") for k in hashes)
+        near = F.least("n", "p.n") * threshold.den >= F.greatest("n", "p.n") * threshold.num
+        own = own.filter((F.col("p.node") != F.col("node")) & near & (agree >= _AGREE)).select(F.col("p.node").alias("group"), "node")
         pairs = own if pairs is None else pairs.union(own)
     return pairs.distinct()
 
@@ -355,17 +411,13 @@ def _sql_ceil(a: str, num: int, den: int) -> Column:
     return F.expr(f"({a} * {num} + {den - 1}) div {den}")
 
 
-def _candidates(nodes: DataFrame, described: DataFrame, labels: DataFrame | None, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+def _candidates(nodes: DataFrame, entries: DataFrame, labels: DataFrame | None, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
     """(group, node, class) of members, and of the queries that qualify for a group."""
     num, den = threshold.num, threshold.den
     level = F.least(F.lit(LEVEL), _sql_ceil("n", num, den))
-    smaller = F.least(F.col("n"), F.col("n") - _sql_ceil("n", 2 * num, num + den) + level)
-    entries = described.select("node", "n", F.posexplode("begins").alias("pos", "shingle")).select("shingle", "node", "n", (F.col("pos") < smaller).alias("indexed"))
     same = Window.partitionBy("shingle")
-    shared = entries.withColumn("_low", F.min("node").over(same)).withColumn("_high", F.max("node").over(same)).filter("_low <> _high").drop("_low", "_high")
-    # Exact copies in several tasks leave the same entry more than once.
-    shared = _class(labels, durable(shared.distinct()))
-    shared = durable(shared.withColumn("_low", F.min("class").over(same)).withColumn("_high", F.max("class").over(same)).filter("_low <> _high").drop("_low", "_high"))
+    shared = _class(labels, entries).withColumn("_low", F.min("class").over(same)).withColumn("_high", F.max("class").over(same)).filter("_low <> _high").drop("_low", "_high")
+    shared = durable(shared.join(nodes.select("node", "n"), "node"))
     active = shared.select("node").distinct()
     sizes = nodes.join(active, "node", "left_semi").withColumn("_parts", F.ceil(F.count("*").over(Window.partitionBy("h0")) / GROUP))
     group_of = durable(sizes.select("node", F.xxhash64("h0", F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("group")))
@@ -391,11 +443,10 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("data"))
     surveyed = durable(survey(docs, id_col, width))
     texts = docs.select("data")
-    described = durable(describe(texts, width, threshold, frequent(surveyed)))
-    nodes = durable(described.drop("begins").distinct())
+    nodes, entries = describe(texts, width, threshold, frequent(surveyed))
 
     labels = edges = None
-    stars = durable(_stars(nodes))
+    stars = durable(_stars(nodes, threshold))
     if not stars.isEmpty():
         centres = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("class"))
         needed = durable(stars.select("node").union(centres.select("node")).distinct())
@@ -404,7 +455,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not edges.isEmpty():
             labels = components(edges)
 
-    members, queries = _candidates(nodes, described, labels, threshold)
+    members, queries = _candidates(nodes, entries, labels, threshold)
     if not queries.isEmpty():
         needed = durable(members.select("node").union(queries.select("node")).distinct())
         more = durable(visit(members, queries, open_sets(texts, width, needed), threshold))
