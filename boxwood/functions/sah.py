@@ -29,19 +29,27 @@ class Costs:
     bonus: float = EMPTY_BONUS
 
 
-def sah_cost(axis: Column, na: Column, nb: Column, pos: Column, costs: Costs = Costs(), extent: tuple[str, ...] = EXTENT) -> Column:
-    """Cost of a plane at pos, with na boxes to its left and nb to its right, in the node whose extent's columns are named.
+def axis_terms(axis: Column, extent: tuple[str, ...] = EXTENT) -> dict[str, Column]:
+    """What the cost takes from a node and an axis: lo and hi, the area across (side), half the rim, and inv, null without surface."""
+    low, high = [F.col(c) for c in extent[::2]], [F.col(c) for c in extent[1::2]]
+    d = [h - l for l, h in zip(low, high, strict=True)]
+    surface = d[0] * d[1] + d[1] * d[2] + d[2] * d[0]
+    return {
+        "lo": by_axis(axis, tuple(low)),
+        "hi": by_axis(axis, tuple(high)),
+        "side": by_axis(axis, (d[1] * d[2], d[2] * d[0], d[0] * d[1])),
+        "rim": by_axis(axis, (d[1] + d[2], d[2] + d[0], d[0] + d[1])),
+        "inv": F.when(surface > 0, (f32(0.5) / surface).cast("float")),
+    }
+
+
+def plane_cost(na: Column, nb: Column, pos: Column, terms: dict[str, Column], costs: Costs = Costs()) -> Column:
+    """Cost of a plane at pos, with na boxes to its left and nb to its right, from a node's terms for the axis.
 
     A plane outside the extent costs the largest float; a node whose surface
     has no area has no cost (null), so it isn't split.
     """
-    low, high = [F.col(c) for c in extent[::2]], [F.col(c) for c in extent[1::2]]
-    d = [h - l for l, h in zip(low, high, strict=True)]
-    surface = d[0] * d[1] + d[1] * d[2] + d[2] * d[0]
-    inv = F.when(surface > 0, (f32(0.5) / surface).cast("float"))
-    side = by_axis(axis, (d[1] * d[2], d[2] * d[0], d[0] * d[1]))
-    rim = by_axis(axis, (d[1] + d[2], d[2] + d[0], d[0] + d[1]))
-    lo, hi = by_axis(axis, tuple(low)), by_axis(axis, tuple(high))
+    lo, hi, side, rim, inv = (terms[k] for k in ("lo", "hi", "side", "rim", "inv"))
     left = f32(2.0) * (side + (pos - lo) * rim) * inv
     right = f32(2.0) * (side + (hi - pos) * rim) * inv
     a, b = na.cast("float"), nb.cast("float")
@@ -51,4 +59,9 @@ def sah_cost(axis: Column, na: Column, nb: Column, pos: Column, costs: Costs = C
         .when((nb == 0) & (pos < hi), step + box * left * (a + b) * keep)
         .otherwise(step + box * (left * a + right * b))
     )
-    return F.when(surface > 0, F.when((pos < lo) | (pos > hi), f32(FLT_MAX)).otherwise(inside)).cast("float")
+    return F.when(inv.isNotNull(), F.when((pos < lo) | (pos > hi), f32(FLT_MAX)).otherwise(inside)).cast("float")
+
+
+def sah_cost(axis: Column, na: Column, nb: Column, pos: Column, costs: Costs = Costs(), extent: tuple[str, ...] = EXTENT) -> Column:
+    """plane_cost from the columns of the node's extent, all in one expression."""
+    return plane_cost(na, nb, pos, axis_terms(axis, extent), costs)

@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwood.functions.sah import Costs, f32, sah_cost
+from boxwood.functions.sah import Costs, axis_terms, f32, plane_cost
 from boxwood.operators.edges import create_edges, running_counts, running_counts_chunked
-from boxwood.schema import EXTENT
 
 SPLIT = ("node", "axis", "t", "tri", "et", "na", "nb", "sah")
 
 
+TERMS = ("lo", "hi", "side", "rim", "inv")
+
+
+def node_axes(nodes: DataFrame) -> DataFrame:
+    """node, axis, n and the cost's terms: three rows for each node, so that an edge's own expression stays small."""
+    axes = nodes.withColumn("axis", F.explode(F.array(*map(F.lit, range(3)))))
+    terms = axis_terms(F.col("axis"))
+    return axes.select("node", "axis", "n", *(terms[k].alias(k) for k in TERMS))
+
+
 def edge_costs(mem: DataFrame, nodes: DataFrame, costs: Costs = Costs(), chunks: int = 1) -> DataFrame:
     """node, axis, t, tri, et, na, nb, n, sah of every edge of every node. With chunks over 1, an axis is swept in so many parts."""
-    edges = create_edges(mem, ("node", "tri")).join(nodes.select("node", "n", *EXTENT), "node")
+    edges = create_edges(mem, ("node", "tri")).join(node_axes(nodes), ["node", "axis"])
     swept = running_counts(edges) if chunks <= 1 else running_counts_chunked(edges, chunks)
-    return swept.withColumn("sah", sah_cost(F.col("axis"), F.col("na"), F.col("nb"), F.col("t"), costs)).select("node", "axis", "t", "tri", "et", "na", "nb", "n", "sah")
+    cost = plane_cost(F.col("na"), F.col("nb"), F.col("t"), {k: F.col(k) for k in TERMS}, costs)
+    return swept.select("node", "axis", "t", "tri", "et", "na", "nb", "n", cost.alias("sah"))
 
 
 def best_planes(priced: DataFrame, costs: Costs = Costs()) -> DataFrame:

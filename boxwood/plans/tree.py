@@ -113,7 +113,7 @@ def _finisher(max_depth: int, costs: Costs):
     return run, ", ".join(f"{n} {'string' if n == 'row' else {'int64': 'bigint', 'int32': 'int', 'float': 'float'}[str(k)]}" for n, k in kinds)
 
 
-def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), finish_below: int = 65_536, superfluous_prescans: bool = False) -> Tree:
+def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), finish_below: int = 262_144, superfluous_prescans: bool = False) -> Tree:
     """The greedy tree over boxes (tri, bounds).
 
     finish_below=0 builds level by level to the end; any value gives the same
