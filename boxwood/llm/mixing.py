@@ -2,8 +2,9 @@
 
 Sources share all words by weight; a source gives each document at most
 ``max_epochs`` times. A source's target is met by whole epochs and a part of
-one more: documents are permuted by a hash, the longest beginning that fits
-is taken, and a few more documents, the largest that still fit, close the gap.
+one more: documents are permuted by a hash and, of those not longer than what
+is missing, the longest beginning that fits is taken; this is repeated with what
+is still missing, then a few documents, the largest that fit, close the gap.
 
 An epoch of a source is cut into at most ``blocks`` blocks by ranges of the
 permutation. Which shard gets which block comes from a splitting tree: at each
@@ -15,8 +16,8 @@ documents are ordered by another hash.
 
 What comes to the driver is a row per source; the tables that are broadcast
 have a row per source, and hold blocks * max_epochs numbers in it at most.
-The hash sums over ranges of the permutation keep any source's rows, however
-many, apart in many tasks. Everything follows from the seed, the ids and the
+Sizes are summed over ranges of the permutation, so that of a source's n rows
+no task holds more than about the square root of n to find where to stop. Everything follows from the seed, the ids and the
 sizes, so reruns agree.
 """
 
@@ -34,9 +35,9 @@ from boxwood.llm.common import WORD, durable, table
 
 #: Sources are listed on the driver; a table with more of them has a wrong source column.
 MAX_SOURCES = 100_000
-#: Rows that share a range of the permutation, about.
-_RANGE_ROWS = 1024
 _KEY_BITS = 63
+#: Beginnings of the permutation that are taken, one after another.
+_BEGINNINGS = 4
 
 
 def words_in(text: Column) -> Column:
@@ -103,8 +104,9 @@ class Source:
     target: float
     epochs: int = 0
     rest: float = 0.0
-    cut: int = 0
     taken: int = 0
+    limits: list[float] = field(default_factory=list)  # rows of at most that size are taken up to the key in ends
+    ends: list[int] = field(default_factory=list)
     more: list[int] = field(default_factory=list)
     per_epoch: int = 1
     shards: list[int] = field(default_factory=list)
@@ -135,27 +137,44 @@ def _sources(slim: DataFrame, weights: tuple[int, ...], max_epochs: int) -> list
     return out
 
 
-def _cut(slim: DataFrame, sources: list[Source]) -> None:
-    """Sets cut and taken of each source: the rows with a smaller key are the longest beginning of the permutation within rest."""
-    spark = slim.sparkSession
-    bits = max(4, min(40, math.ceil(math.log2(max(1, max(s.rows for s in sources)) / _RANGE_ROWS + 1)) + 4))
-    goals = inline_table(spark, {"_goal_of": ("string", [s.name for s in sources]), "_rest": ("double", [s.rest for s in sources])})
-    ranges = slim.withColumn("_range", F.shiftright("_key", _KEY_BITS - bits))
+def _state(spark: SparkSession, sources: list[Source]) -> DataFrame:
+    """_goal_of, _gap and what is taken, of each source; small, for a broadcast."""
+    return inline_table(spark, {"_goal_of": ("string", [s.name for s in sources]), "_gap": ("double", [s.rest - s.taken for s in sources]), "_limits": ("array<double>", [s.limits for s in sources]), "_ends": ("array<bigint>", [s.ends for s in sources]), "_more": ("array<bigint>", [s.more for s in sources])})
+
+
+def _is_taken() -> Column:
+    begun = F.exists(F.arrays_zip("_limits", "_ends"), lambda x: (F.col("_size") <= x["_limits"]) & (F.col("_key") <= x["_ends"]))
+    return begun | F.array_contains("_more", F.col("_key"))
+
+
+def _begin(slim: DataFrame, sources: list[Source]) -> None:
+    """Takes, of each source's rows that fit into its gap, the longest beginning of the permutation within the gap."""
+    bits = max(4, math.ceil(math.log2(max(2, *(s.rows for s in sources))) / 2))
+    left = slim.join(F.broadcast(_state(slim.sparkSession, sources)), F.col("_source").eqNullSafe(F.col("_goal_of"))).filter((F.col("_size") <= F.col("_gap")) & ~_is_taken())
+    left = left.select("_source", "_gap", "_size", "_key", F.shiftright("_key", _KEY_BITS - bits).alias("_range"))
     along = Window.partitionBy("_source").orderBy("_range")
-    sums = ranges.groupBy("_source", "_range").agg(F.sum("_size").alias("_words")).withColumn("_before", F.sum("_words").over(along) - F.col("_words"))
-    within = sums.join(F.broadcast(goals), F.col("_source").eqNullSafe(F.col("_goal_of"))).filter((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
-    within = within.select(F.col("_goal_of"), F.col("_range").alias("_at"), "_before", "_rest")
-    inside = ranges.join(F.broadcast(within), F.col("_source").eqNullSafe(F.col("_goal_of")) & (F.col("_range") == F.col("_at")))
-    inside = inside.withColumn("_after", F.col("_before") + F.sum("_size").over(Window.partitionBy("_source").orderBy("_key")))
-    found = inside.groupBy("_source").agg(
-        F.min(F.when(F.col("_after") > F.col("_rest"), F.col("_key"))).alias("cut"),
-        F.max(F.when(F.col("_after") <= F.col("_rest"), F.col("_after"))).alias("taken"),
-        F.first("_before").alias("before"),
+    sums = left.groupBy("_source", "_gap", "_range").agg(F.sum("_size").alias("_words")).withColumn("_upto", F.sum("_words").over(along))
+    # The range in which the gap is passed, and what lies before it.
+    passed = sums.groupBy("_source").agg(
+        F.min(F.when(F.col("_upto") > F.col("_gap"), F.col("_range"))).alias("_at"),
+        F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_gap"), F.col("_upto"))), F.lit(0)).alias("_before"),
     )
-    by = {r["_source"]: r for r in found.collect()}
+    found = {r["_source"]: r for r in passed.collect()}
+    inner = [s for s in sources if s.name in found and found[s.name]["_at"] is not None]
+    ends = {}
+    if inner:
+        at = inline_table(slim.sparkSession, {"_in": ("string", [s.name for s in inner]), "_at": ("bigint", [found[s.name]["_at"] for s in inner]), "_before": ("bigint", [found[s.name]["_before"] for s in inner])})
+        inside = left.join(F.broadcast(at), F.col("_source").eqNullSafe(F.col("_in")) & (F.col("_range") == F.col("_at")))
+        inside = inside.withColumn("_after", F.col("_before") + F.sum("_size").over(Window.partitionBy("_source").orderBy("_key")))
+        rows = inside.groupBy("_source").agg(F.min(F.when(F.col("_after") > F.col("_gap"), F.col("_key"))).alias("end"), F.max(F.when(F.col("_after") <= F.col("_gap"), F.col("_after"))).alias("upto")).collect()
+        ends = {r["_source"]: r for r in rows}
     for s in sources:
-        if r := by.get(s.name):
-            s.cut, s.taken = r["cut"], r["taken"] if r["taken"] is not None else r["before"]
+        if s.name in found:
+            gap, before = s.rest - s.taken, found[s.name]["_before"]
+            r = ends.get(s.name)
+            s.limits.append(gap)
+            s.ends.append(r["end"] - 1 if r else 2**_KEY_BITS - 1)
+            s.taken += r["upto"] if r and r["upto"] is not None else before
 
 
 def _fill(slim: DataFrame, sources: list[Source], rounds: int, near: float) -> None:
@@ -163,16 +182,14 @@ def _fill(slim: DataFrame, sources: list[Source], rounds: int, near: float) -> N
 
     In the last round the smallest row that doesn't fit is added where that comes nearer to the target.
     """
-    spark = slim.sparkSession
     for i in range(rounds + 1):
         over = i == rounds
         want = [s for s in sources if s.rest - s.taken >= max(1.0, near * s.target)]
         if not want:
             return
-        goals = inline_table(spark, {"_goal_of": ("string", [s.name for s in want]), "_gap": ("double", [s.rest - s.taken for s in want]), "_cut": ("bigint", [s.cut for s in want]), "_more": ("array<bigint>", [s.more for s in want])})
-        left = slim.join(F.broadcast(goals), F.col("_source").eqNullSafe(F.col("_goal_of"))).filter((F.col("_key") >= F.col("_cut")) & ~F.array_contains("_more", F.col("_key")))
+        left = slim.join(F.broadcast(_state(slim.sparkSession, want)), F.col("_source").eqNullSafe(F.col("_goal_of"))).filter(~_is_taken())
         # Rows of one id share a key and are taken together.
-        left = left.groupBy("_source", "_gap", "_key").agg(F.sum("_size").alias("_size")).filter((F.col("_size") > 0) & (F.col("_size") < 2 * F.col("_gap") if over else F.col("_size") <= F.col("_gap")))
+        left = left.groupBy("_source", "_gap", "_key").agg(F.sum("_size").alias("_size")).filter((F.col("_size") > F.col("_gap")) & (F.col("_size") < 2 * F.col("_gap")) if over else (F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
         best = {r["_source"]: r["x"] for r in left.groupBy("_source").agg((F.min if over else F.max)(F.struct(F.col("_size"), F.col("_key"))).alias("x")).collect()}
         for s in want:
             if x := best.get(s.name):
@@ -183,27 +200,30 @@ def _fill(slim: DataFrame, sources: list[Source], rounds: int, near: float) -> N
 def _place(sources: list[Source], shards: int, blocks: int, seed: int) -> None:
     for s in sources:
         s.per_epoch = max(1, min(blocks, s.rows // 8))
-    counts = [s.epochs * s.per_epoch + (math.ceil((s.cut or 1) / 2**_KEY_BITS * s.per_epoch) if s.cut or s.more else 0) for s in sources]
+    last = [max([1, *s.ends]) if s.ends or s.more else 0 for s in sources]
+    counts = [s.epochs * s.per_epoch + math.ceil(end / 2**_KEY_BITS * s.per_epoch) for s, end in zip(sources, last, strict=True)]
     for s, dealt in zip(sources, shards_of_blocks(counts, shards, seed), strict=True):
         s.shards = dealt
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    size = words_in(F.col(text_col))
-    return df.withColumn("_source", F.col(source_col).cast("string")).withColumn("_size", size).withColumn("_key", _key(seed, 0, F.col(id_col), F.col("_size")))
+    """_id, _source, _size, _key, and _whole: the row itself, apart from these names."""
+    whole = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_in(F.col(text_col)).alias("_size"), F.struct(*df.columns).alias("_whole"))
+    return whole.withColumn("_key", _key(seed, 0, F.col("_id"), F.col("_size")))
 
 
 def _decide(slim: DataFrame, weights: tuple[int, ...], max_epochs: int, shards: int, blocks: int, seed: int, rounds: int, near: float) -> list[Source]:
     sources = _sources(slim, weights, max_epochs)
-    if any(s.rest > 0 for s in sources):
-        _cut(slim, sources)
-        _fill(slim, sources, rounds, near)
+    for _ in range(_BEGINNINGS):
+        if want := [s for s in sources if s.rest - s.taken >= max(1.0, near * s.target)]:
+            _begin(slim, want)
+    _fill(slim, sources, rounds, near)
     if sources:
         _place(sources, shards, blocks, seed)
     return sources
 
 
-def _apply(rows: DataFrame, sources: list[Source], id_col: str, seed: int) -> DataFrame:
+def _apply(rows: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     """rows with source_size, target and copies: array<struct<epoch,block,shard,order>>, one for each time that the mix takes the row."""
     copy = "array<struct<epoch:int,block:int,shard:int,order:bigint>>"
     if not sources:
@@ -212,12 +232,12 @@ def _apply(rows: DataFrame, sources: list[Source], id_col: str, seed: int) -> Da
         rows.sparkSession,
         {
             "_name": ("string", [s.name for s in sources]), "source_size": ("bigint", [s.size for s in sources]), "target": ("double", [s.target for s in sources]), "_epochs": ("int", [s.epochs for s in sources]),
-            "_cut": ("bigint", [s.cut for s in sources]), "_more": ("array<bigint>", [s.more for s in sources]), "_per": ("int", [s.per_epoch for s in sources]), "_shards": ("array<int>", [s.shards for s in sources]),
+            "_limits": ("array<double>", [s.limits for s in sources]), "_ends": ("array<bigint>", [s.ends for s in sources]), "_more": ("array<bigint>", [s.more for s in sources]), "_per": ("int", [s.per_epoch for s in sources]), "_shards": ("array<int>", [s.shards for s in sources]),
         },
     )
     joined = rows.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_name")))
-    id_value, size = F.col(id_col), F.col("_size")
-    in_part = ((F.col("_key") < F.col("_cut")) | F.array_contains("_more", F.col("_key"))).cast("int")
+    id_value, size = F.col("_id"), F.col("_size")
+    in_part = _is_taken().cast("int")
 
     def made(epoch: Column) -> Column:
         # The part of an epoch goes by the key that its cut is for; whole epochs have permutations of their own.
@@ -239,9 +259,9 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     source of its own and the last one. Rows with a repeated id and equal size are
     taken together. An empty table gives an empty result.
     """
-    slim = durable(_prepared(df, id_col, text_col, source_col, seed).select(F.col(id_col), "_source", "_size", "_key"))
-    out = _apply(slim, _decide(slim, weights, max_epochs, shards, blocks, seed, rounds, near), id_col, seed)
-    return out.select(F.col(id_col), F.col("_size").alias("size"), "source_size", "target", (F.size("copies") * F.col("_size")).cast("long").alias("taken"), "copies")
+    slim = durable(_prepared(df, id_col, text_col, source_col, seed).drop("_whole"))
+    out = _apply(slim, _decide(slim, weights, max_epochs, shards, blocks, seed, rounds, near), seed)
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.size("copies") * F.col("_size")).cast("long").alias("taken"), "copies")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, blocks: int = 256, seed: int = 0, rounds: int = 8, near: float = 0.0005) -> DataFrame:
@@ -250,10 +270,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Nulls, repeated rows and empty tables are treated as in mix_plan.
     """
     prepared = _prepared(df, id_col, text_col, source_col, seed)
-    slim = durable(prepared.select(F.col(id_col), "_source", "_size", "_key"))
-    rows = _apply(prepared, _decide(slim, weights, max_epochs, shards, blocks, seed, rounds, near), id_col, seed)
-    rows = rows.select(*df.columns, F.explode("copies").alias("_copy"))
-    return rows.repartitionById(shards, F.col("_copy.shard")).sortWithinPartitions("_copy.order").select(*df.columns)
+    slim = durable(prepared.drop("_whole"))
+    rows = _apply(prepared, _decide(slim, weights, max_epochs, shards, blocks, seed, rounds, near), seed)
+    rows = rows.select("_whole", F.explode("copies").alias("_copy"))
+    return rows.repartitionById(shards, F.col("_copy.shard")).sortWithinPartitions("_copy.order").select("_whole.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
