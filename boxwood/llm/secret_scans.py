@@ -16,8 +16,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +53,7 @@ THRESHOLD = 5
 _SIGN = re.compile(r"[=:]")
 _TOKEN = re.compile(
     r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)
-    |(?P<comment>\#|//(?!\S*[=:]))
+    |(?P<comment>\#|//(?!\S{0,256}[=:]))
     |(?P<sign>:=|=>|<-|[=!<>]=+|[=:])
     |(?P<plus>\+|\.\.)
     |(?P<name>\$?\{?[A-Za-z_][\w.\-]*\}?)
@@ -106,10 +109,20 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
         yield start, at - 1
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of the literals that reach it), in reading order, with constants propagated."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    pairs = []
+@dataclass
+class Definition:
+    """A name with what it is given: spans of literals, and definitions that it uses, all of which stand before it."""
+
+    name: str
+    spans: list[tuple[int, int]]
+    uses: list[Definition]
+    points: int = 0
+
+
+def assignments(text: str) -> list[Definition]:
+    """The definitions in reading order; a name that is used stands for its last definition so far."""
+    known: dict[str, Definition] = {}
+    out = []
     for first, last in _lines(text):
         tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
         i = 0
@@ -118,18 +131,17 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             if not (kind in ("name", "string") and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING):
                 i += 1
                 continue
-            name = raw.strip("\"'`${}")
+            made = Definition(raw.strip("\"'`${}"), [], [])
             i += 2
-            spans: list[tuple[int, int]] = []
             joined = True
             while i < len(tokens) and joined:
                 kind, raw, start, end = tokens[i]
                 if kind == "string":
-                    if i + 1 < len(tokens) and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING and spans:
+                    if i + 1 < len(tokens) and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING and (made.spans or made.uses):
                         break
-                    spans.append((start + 1, end - 1))
+                    made.spans.append((start + 1, end - 1))
                 elif kind == "name" and (raw.strip("${}") in known):
-                    spans += known[raw.strip("${}")]
+                    made.uses.append(known[raw.strip("${}")])
                 elif kind in ("bare", "name"):
                     last = end  # a bare value goes on up to a space or a separator
                     while i + 1 < len(tokens) and tokens[i + 1][2] == last and tokens[i + 1][0] not in ("end", "string"):
@@ -137,26 +149,33 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                         last = tokens[i][3]
                     if i + 1 < len(tokens) and tokens[i + 1][1] == "(" and tokens[i + 1][2] == last:
                         break  # a call's result is unknown
-                    spans.append((start, last))
+                    made.spans.append((start, last))
                 else:
                     break
                 i += 1
                 joined = i < len(tokens) and tokens[i][0] == "plus"
                 i += joined
-            if name and spans:
-                known[name] = spans
-                pairs.append((name, spans))
-    return pairs
+            if made.name and (made.spans or made.uses):
+                known[made.name] = made
+                out.append(made)
+    return out
 
 
 def value_spans(text: str, threshold: int = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Literals whose best name and own look reach the threshold together; a name alone or a look alone does not."""
+    """Literals whose best name and own look reach the threshold together; a name alone or a look alone does not.
+
+    Points go from a definition to those that it uses, last definition first,
+    so the work grows with the text, however names are chained or doubled.
+    """
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, spans in assignments(text):
-        if points := name_points(name):
-            found |= {(a, b, "value") for a, b in spans if points >= 2 and points + literal_points(text[a:b]) >= threshold}
+    for made in reversed(assignments(text)):
+        made.points = max(made.points, name_points(made.name))
+        for used in made.uses:
+            used.points = max(used.points, made.points)
+        if made.points >= 2:
+            found |= {(a, b, "value") for a, b in made.spans if made.points + literal_points(text[a:b]) >= threshold}
     return sorted(found)
 
 
@@ -164,14 +183,15 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     """(base, all): all holds the base spans and the literals that lie inside none of them, by start, then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
-    more = [s for s in value_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    starts, furthest = [s[0] for s in base], [0, *accumulate((s[1] for s in base), max)]
+    more = [s for s in value_spans(text) if furthest[bisect_right(starts, s[0])] < s[1]]
     return base, sorted(base + more, key=order)
 
 
-def redact(text: str, mark: str = "[secret]") -> str:
-    """text with every span replaced; spans that touch or overlap become one mark, and of an assign span the name and sign stay."""
+def redact(text: str, found: list[tuple[int, int, str]] | None = None, mark: str = "[secret]") -> str:
+    """text with every span (found: those of all_spans, if known) replaced; spans that touch or overlap become one mark, and of an assign span the name and sign stay."""
     spans = []
-    for a, b, kind in all_spans(text)[1]:
+    for a, b, kind in all_spans(text)[1] if found is None else found:
         if kind == "assign":
             a = ASSIGN.match(text, a).start(2)
         spans.append((a, b))
@@ -203,7 +223,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = all_spans(text or "")[1]
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
                 if with_text:
-                    clean.append(redact(text) if found else text)
+                    clean.append(redact(text, found) if found else text)
             columns = [*batch.columns[1:], pa.array(spans, span)] + [pa.array(clean, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "spans"] + ["redacted"] * with_text)
 

@@ -79,6 +79,9 @@ def test_secrets(spark):
     assert [k for *_, k in base] == ["assign", "access", "hex"] and [k for *_, k in every][0] == "value"
     assert S.all_spans("ſecret=abcdefgh")[0] == [] and S.all_spans("a plain text, token: the next = one")[1] == []
     assert "9fQ2" not in S.redact(text) and "password=[secret]" in S.redact(text)
+    doubled = "a = 'Zk83hfLq02ndYw7'\n" + "a = a + a\n" * 2000
+    assert len(S.all_spans(doubled + "db_auth = a")[1]) == 1 and S.all_spans(doubled)[1] == []
+    assert len(S.all_spans("client_auth = 'x9fQ2xT7LpZ0a'\n" * 5000)[1]) == 5000
     df, rows = odd_docs(spark)
     assert S.scan_secrets(df).count() == len(rows) and S.scan_secrets(none_of(spark)).count() == 0
 
