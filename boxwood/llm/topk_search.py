@@ -96,7 +96,7 @@ def _select_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
             cell = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
 
-        # Of the bins, only the one with the kth value comes to the driver.
+        # At most BLOCK * BINS counts come to the driver.
         named = rows.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
         counts = np.zeros((len(open_at), BINS), dtype=np.int64)
         got = named.toArrow()
