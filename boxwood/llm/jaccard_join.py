@@ -41,7 +41,7 @@ from boxwood.llm.common import durable, mix64, n_partitions, table
 #: Shared shingles that make a candidate; fewer for sets that are smaller.
 LEVEL = 3
 #: Members of a group, and queries that one task compares with it, about.
-GROUP, VISITS = 256, 2048
+GROUP, VISITS = 256, 512
 #: Entries of the table of frequent shingles, and the documents that make one frequent.
 HOT, HOT_DOCS = 1 << 18, 24
 #: Shingles in which a task looks for repeated ones at once.
