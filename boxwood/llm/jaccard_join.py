@@ -395,11 +395,15 @@ def _class(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def _stars(nodes: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs (group, node): each node with the pivots of its min-hashes, where sizes and most min-hashes agree. What is missed here, the matrix finds."""
+    """Pairs (group, node): each node with the pivots of its min-hashes, where sizes and most min-hashes agree. What is missed here, the matrix finds.
+
+    Pivots are aggregated before the shuffle and joined back: a min-hash of very many nodes is split between tasks.
+    """
     pairs = None
     hashes = [f"h{k}" for k in range(_MINHASHES)]
     for h in hashes:
-        own = nodes.withColumn("p", F.max(F.struct("share", "node", "n", *hashes)).over(Window.partitionBy(h)))
+        pivots = nodes.groupBy(h).agg(F.max(F.struct("share", "node", "n", *hashes)).alias("p"), F.count("*").alias("_nodes")).filter("_nodes > 1").drop("_nodes")
+        own = nodes.join(pivots, h)
         agree = sum((F.col(f"p.{k}") == F.col(k)).cast("int") for k in hashes)
         near = F.least("n", "p.n") * threshold.den >= F.greatest("n", "p.n") * threshold.num
         own = own.filter((F.col("p.node") != F.col("node")) & near & (agree >= _AGREE)).select(F.col("p.node").alias("group"), "node")
