@@ -397,7 +397,7 @@ def _class(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
 def _stars(nodes: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs (group, node): each node with the pivots of its min-hashes, where sizes and most min-hashes agree. What is missed here, the matrix finds.
 
-    Pivots are aggregated before the shuffle and joined back: a min-hash of very many nodes is split between tasks.
+    Pivots are aggregated and joined back, so no task buffers the nodes of a min-hash; a very common one is still streamed through one task.
     """
     pairs = None
     hashes = [f"h{k}" for k in range(_MINHASHES)]
