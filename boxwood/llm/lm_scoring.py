@@ -1,10 +1,10 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Tokens are words (A-Z in lower case) and an end for each text. A token is
-served in the restaurant of its context, the class of the token before it (a
-hash of its last two bytes; one class for the beginning of a text); all
-context restaurants share one parent, whose base is uniform over the words of
-the training texts and one more for the unknown.
+served in the restaurant of the token before it (the end of a text stands for
+the beginning of the next), so there is a restaurant for each word and their
+number grows with the corpus; all share one parent, whose base is uniform over
+the words of the training texts and one more for the unknown.
 
 Seating is kept as the numbers of tables that serve a word in a restaurant.
 A Gibbs step draws them for one word in one restaurant given all others:
@@ -16,17 +16,22 @@ runs over all words at once, and the totals are summed between sweeps. The
 probabilities of the sweeps after the first are averaged.
 
 Texts are read twice. The first time, each input partition counts its own
-(class, word) pairs and sends them, packed by word, to the word's task; the
-packed pairs are written once, and sweeps read them. A sweep replays the earlier ones
-from the totals and fixed seeds, so only totals are kept between jobs, and lost
-tasks come out the same again. At last each partition is sent counts
-and log probabilities of the pairs that it has, along with its texts.
+pairs (word, word before) and sends them, packed by word, to the word's task
+(a bundle). A pair with one customer always has one table, so sweeps move the
+other pairs only: a bundle sends its tables of each context to the context's
+own task, which sums them and answers the bundles that asked. Two scalars
+(customers and tables of the parent) come to the driver. Steps are written to
+the shared folder, and seeds are fixed, so lost tasks come out the same again.
+At last each partition is sent what it needs of its words and pairs, along
+with its texts. The customers of a word's restaurant are as many as the word's
+training count, since one token follows each.
 The input must give the same partitions when it is read twice, as tables
 do; a plan with a shuffle in it is written to the shared folder first.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -39,52 +44,60 @@ from pyspark.sql import functions as F
 
 from boxwood.llm.common import durable, mix64, n_partitions, table
 
-CLASSES = 32
-BEGIN = CLASSES
-RESTAURANTS = CLASSES + 1
 EXACT = 64
 _SLICE = 512
 #: No word holds a space.
 END = xxhash.xxh3_64_intdigest(b" end")
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of messages between tasks; ASK + k: the tables of contexts after k sweeps.
+REPLY, STATE, BUNDLE, SUM, ASK = 0, 1, 2, 3, 10
+_MESSAGE = "kind int, target int, origin int, data binary"
+Message = tuple[int, int, int, object]
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, class of the token before it, tokens of each text), texts one after another, an end after each."""
-    lower = [t.lower() for t in texts]
-    words = [t.split() for t in lower]
+    """(hash of each token, hash of the token before it, tokens of each text), texts one after another, an end after each."""
+    words = [t.lower().split() for t in texts]
     counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     total = int(counts.sum())
-    ends = np.cumsum(counts) - 1
     is_word = np.ones(total, dtype=bool)
-    is_word[ends] = False
+    is_word[np.cumsum(counts) - 1] = False
     hashes = np.full(total, END, dtype=np.uint64)
     hashes[is_word] = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=total - len(texts))
-    raw = np.frombuffer(b" " + b" ".join(lower) + b" ", dtype=np.uint8)
-    last = np.flatnonzero(~_SPACE[raw[:-1]] & _SPACE[raw[1:]])
-    before = np.where(_SPACE[raw[last - 1]], 0, raw[last - 1])
-    own = (mix64((before.astype(np.uint64) << np.uint64(8)) | raw[last]) % np.uint64(CLASSES)).astype(np.uint8)
-    classes = np.full(total, BEGIN, dtype=np.uint8)
-    spots = np.flatnonzero(is_word)
-    classes[spots + 1] = own  # a word is never the last token of a text
-    return hashes, classes, counts
+    return hashes, np.concatenate([np.array([END], dtype=np.uint64), hashes[:-1]]), counts
 
 
-def pair_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return mix64(hashes + (classes.astype(np.uint64) + np.uint64(1)) * _STEP)
+def pair_keys(hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mix64(hashes + mix64(contexts))
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(keys, words, classes, counts) with equal keys summed, by key."""
-    keys, words, classes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """(keys, words, contexts, training counts, held-out counts) with equal keys summed, by key."""
+    keys, words, contexts, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, words[first], classes[first], np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+    return keys, words[first], contexts[first], *(np.bincount(at, weights=x, minlength=len(keys)).astype(np.int64) for x in counts)
+
+
+def _sent(messages: list[Message]) -> Iterator[pa.RecordBatch]:
+    """A batch for each message, so that large ones don't meet in one."""
+    for kind, target, origin, data in messages:
+        values = [pa.array([x], pa.int32()) for x in (kind, target, origin)] + [pa.array([pickle.dumps(data, protocol=5)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(values, names=["kind", "target", "origin", "data"])
+
+
+def _step(messages: DataFrame, width: int, of) -> DataFrame:
+    """The messages that of(target, messages by kind and origin) gives for each target; a target's messages meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(r["kind"], r["origin"], r["target"], pickle.loads(r["data"])) for batch in batches for r in batch.to_pylist()]
+        if got:
+            got.sort(key=lambda r: r[:2])
+            yield from _sent(of(got[0][2], [(kind, origin, data) for kind, origin, _, data in got]))
+
+    return messages.repartitionById(width, F.col("target")).mapInArrow(run, _MESSAGE)
 
 
 def count_pairs(docs: DataFrame, width: int) -> DataFrame:
-    """target, block, words, classes, counts (packed): the pairs of each input partition, by the task that their words go to."""
+    """Messages to the tasks of words: (words, contexts of each, contexts, counts, whether in held-out texts) of the pairs of an input partition (the origin)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting, block = [], 0, None
@@ -92,41 +105,26 @@ def count_pairs(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 block = part.column("block")[0].as_py()
-                hashes, classes, counts = tokens_of([t or b"" for t in part.column("data").to_pylist()])
-                train = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
-                parts.append(_merge([(pair_keys(hashes, classes), hashes, classes, np.repeat(train, counts).astype(np.int64))]))
+                hashes, contexts, counts = tokens_of([t or b"" for t in part.column("data").to_pylist()])
+                held = np.repeat(np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool), counts)
+                parts.append(_merge([(pair_keys(hashes, contexts), hashes, contexts, ~held, held)]))
                 waiting += len(parts[-1][0])
                 if waiting > 4_000_000:
                     parts = [_merge(parts)]
                     waiting = len(parts[0][0]) // 2
         if not parts:
             return
-        _, words, classes, counts = _merge(parts)
+        _, words, contexts, counts, held = _merge(parts)
         target = (words % np.uint64(width)).astype(np.int64)
-        order = np.argsort(target, kind="stable")
+        order = np.lexsort((contexts, words, target))
         edges = np.searchsorted(target[order], np.arange(width + 1))
         for t in range(width):
             own = order[edges[t] : edges[t + 1]]
             if len(own):
-                values = [pa.array([x], k) for x, k in ((t, pa.int32()), (block, pa.int32()), (words[own].tobytes(), pa.binary()), (classes[own].tobytes(), pa.binary()), (counts[own].tobytes(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(values, names=["target", "block", "words", "classes", "counts"])
-
-    return docs.select("block", "held_out", "data").mapInArrow(run, "target int, block int, words binary, classes binary, counts binary")
+                distinct, fans = np.unique(words[own], return_counts=True)
+                yield from _sent([(BUNDLE, t, block, (distinct, fans.astype(np.int32), contexts[own], counts[own].astype(np.int32), held[own] > 0))])
 
-
-def bundle_pairs(packed: DataFrame, width: int) -> DataFrame:
-    """bundle, blocks, words, classes, counts: all pairs of a task's words, one entry for each input partition that has the pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["block"])
-        if not got:
-            return
-        join = lambda name: b"".join(r[name] for r in got)
-        blocks = np.concatenate([np.full(len(r["classes"]), r["block"], dtype=np.int32) for r in got]).tobytes()
-        values = [pa.array([got[0]["target"]], pa.int32())] + [pa.array([x], pa.binary()) for x in (blocks, join("words"), join("classes"), join("counts"))]
-        yield pa.RecordBatch.from_arrays(values, names=["bundle", "blocks", "words", "classes", "counts"])
-
-    return durable(packed.repartitionById(width, F.col("target")).mapInArrow(run, "bundle int, blocks binary, words binary, classes binary, counts binary"))
+    return docs.select("block", "held_out", "data").mapInArrow(run, _MESSAGE)
 
 
 @lru_cache(maxsize=8)
@@ -171,112 +169,158 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator
 
 
 class Pairs:
-    """A bundle: pairs (word, class) with training counts, and the entries that ask for them."""
-
-    def __init__(self, row: dict):
-        words, classes = np.frombuffer(row["words"], dtype=np.uint64), np.frombuffer(row["classes"], dtype=np.uint8)
-        counts = np.frombuffer(row["counts"], dtype=np.int64)
-        self.blocks = np.frombuffer(row["blocks"], dtype=np.int32)
-        self.bundle = row["bundle"]
-        # Entries: as they came; pairs: distinct (word, class); words: distinct.
-        order = np.lexsort((classes, words))
-        sorted_words, sorted_classes = words[order], classes[order]
+    """A bundle: pairs (word, context) with training counts, and the entries of input partitions."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        join = lambda k: np.concatenate([x[k] for x in parts])
+        words, contexts = np.repeat(join(0), join(1)), join(2)
+        # Entries: as they came; pairs: distinct (word, context); words: distinct.
+        order = np.lexsort((contexts, words))
+        sorted_words, sorted_contexts = words[order], contexts[order]
         new_word = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
-        new_pair = new_word | np.concatenate([[True], sorted_classes[1:] != sorted_classes[:-1]])
+        new_pair = new_word | np.concatenate([[True], sorted_contexts[1:] != sorted_contexts[:-1]])
         pair_at = np.cumsum(new_pair) - 1
         self.entry_pair = np.empty(len(order), dtype=np.int64)
         self.entry_pair[order] = pair_at
-        self.c = np.bincount(pair_at, weights=counts[order]).astype(np.int64)
-        self.k = sorted_classes[new_pair].astype(np.int64)
+        self.c = np.bincount(pair_at, weights=join(3)[order]).astype(np.int64)
+        self.contexts = sorted_contexts[new_pair]
         self.word_of = (np.cumsum(new_word) - 1)[new_pair]
         self.words = sorted_words[new_word]
-        self.n_words = len(self.words)
-        self.c_word = np.bincount(self.word_of, weights=self.c, minlength=self.n_words).astype(np.int64)
+        self.c_word = self.by_word(self.c)
+        self.many = np.flatnonzero(self.c > 1)
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word_of, weights=x, minlength=len(self.words)).astype(np.int64)
+
+
+def asks(contexts: np.ndarray, values: tuple[np.ndarray, ...], origin: int, kind: int, width: int) -> list[Message]:
+    """values of contexts (by task, then context), to the contexts' tasks."""
+    owner = (contexts % np.uint64(width)).astype(np.int64)
+    edges = np.searchsorted(owner, np.arange(width + 1))
+    return [(kind, t, origin, (contexts[i:j], *(x[i:j] for x in values))) for t, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+
+
+def _by_task(contexts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts by task, then context, and where each of the given ones is."""
+    distinct, at = np.unique(contexts, return_inverse=True)
+    order = np.lexsort((distinct, distinct % np.uint64(width)))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[at]
+
 
-    def totals(self, t: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        """Tables of each restaurant, then customers and tables of the parent."""
-        return np.concatenate([np.bincount(self.k, weights=t, minlength=RESTAURANTS), [t.sum(), t0.sum()]])
+def start(target: int, got: list, width: int) -> list[Message]:
+    """A table for each pair: the state of a bundle, what its input partitions ask for, tables of its contexts, and its share of the basics.
 
-    def basics(self) -> np.ndarray:
-        """Customers of each restaurant; known words; pairs with 1 and 2 customers; words in 1 and 2 restaurants; then the totals of a table for each."""
-        t, known = np.minimum(self.c, 1), self.c_word > 0
-        n = np.bincount(self.word_of, weights=t, minlength=self.n_words)
-        head = [known.sum(), (self.c == 1).sum(), (self.c == 2).sum(), (n == 1).sum(), (n == 2).sum()]
-        return np.concatenate([np.bincount(self.k, weights=self.c, minlength=RESTAURANTS), head, self.totals(t, known.astype(np.int64))])
+    Of the pairs that no held-out text of the partition has, those with one customer are not asked for: the partition knows them by that.
+
+    Basics: training tokens; known words; pairs with 1 and 2 customers; words in 1 and 2 restaurants; customers and tables of the parent.
+    """
+    parts = [data for *_, data in got]
+    pairs = Pairs(parts)
+    t, known = np.minimum(pairs.c, 1), pairs.c_word > 0
+    n = pairs.by_word(t)
+    seen, at = _by_task(pairs.contexts[pairs.c > 0], width)
+    single = pairs.c[pairs.c > 0] == 1
+    fixed, more = (np.bincount(at[x], minlength=len(seen)).astype(np.int32) for x in (single, ~single))
+    moving, context_of = _by_task(pairs.contexts[pairs.many], width)
+    state = {
+        "c": pairs.c[pairs.many].astype(np.int32), "word_of": pairs.word_of[pairs.many].astype(np.int32), "context_of": context_of.astype(np.int32), "contexts": moving,
+        "t": t[pairs.many].astype(np.int32), "single": pairs.by_word(pairs.c == 1).astype(np.int32), "t0": np.minimum(n, 1).astype(np.int32), "sum_t": 0, "parents": [],
+    }
+    basics = [pairs.c.sum(), known.sum(), (pairs.c == 1).sum(), (pairs.c == 2).sum(), (n == 1).sum(), (n == 2).sum(), n.sum(), known.sum()]
+    place = np.full(len(pairs.c), -1, dtype=np.int32)
+    place[pairs.many] = np.arange(len(pairs.many))
+    asked, first = [], 0
+    for _, block, (words, _, contexts, counts, held) in got:
+        own = pairs.entry_pair[first : first + len(contexts)]
+        first += len(contexts)
+        own = own[(pairs.c[own] > 1) | ((pairs.c[own] == 1) & (held | (counts == 0)))]
+        asked.append((block, np.searchsorted(pairs.words, words).astype(np.int32), pair_keys(pairs.words[pairs.word_of[own]], pairs.contexts[own]), place[own]))
+    bundle = (pairs.words, pairs.c_word, asked)
+    return [(STATE, target, 0, state), (BUNDLE, target, 0, bundle), (SUM, -1, target, np.array(basics, dtype=np.float64)), *asks(seen, (fixed, more), target, ASK, width)]
+
+
+def answer_asks(target: int, got: list) -> list[Message]:
+    """For each bundle that has pairs with more than one customer in contexts of this task: tables of those contexts with one customer, and others."""
+    contexts, at = np.unique(np.concatenate([data[0] for *_, data in got]), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate([data[k] for *_, data in got]), minlength=len(contexts)) for k in (1, 2)]
+    out, first = [], 0
+    for _, origin, data in got:
+        own = at[first : first + len(data[0])][data[2] > 0]
+        first += len(data[0])
+        if len(own):
+            out.append((REPLY, origin, target, tuple(x[own] for x in sums)))
+    return out
 
 
 class Hyper:
     """Discounts from the numbers of singletons and pairs; strengths are fixed."""
 
     def __init__(self, basics: np.ndarray):
-        self.customers = basics[:RESTAURANTS]
-        self.known, n1, n2, m1, m2 = basics[RESTAURANTS : RESTAURANTS + 5]
+        self.known, n1, n2, m1, m2 = basics[1:6]
         share = lambda a, b: float(np.clip(round(a / max(1.0, a + 2 * b), 3), 0.1, 0.95))
         self.d1, self.d0 = share(n1, n2), share(m1, m2)
         self.s1, self.s0 = 1.0, 1.0
         self.base = 1.0 / (self.known + 1)
-        self.first = basics[RESTAURANTS + 5 :]
-        self.tokens = int(self.customers.sum())
+        self.first = basics[6:]
+        self.tokens = int(basics[0])
 
     def parent(self, customers: np.ndarray, tables: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        return (customers - self.d0 * tables + (self.s0 + self.d0 * totals[-1]) * self.base) / (self.s0 + totals[-2])
-
-
-def sweeps(pairs: Pairs, hyper: Hyper, history: list[np.ndarray], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After each sweep: tables of the pairs, customers and tables of the words in the parent. history: the totals before each sweep."""
-    t = np.minimum(pairs.c, 1)
-    customers = np.bincount(pairs.word_of, weights=t, minlength=pairs.n_words).astype(np.int64)
-    t0 = np.minimum(customers, 1)
-    for k, totals in enumerate(history):
-        rng = np.random.default_rng((seed, pairs.bundle, k))
-        p0 = hyper.parent(customers, t0, totals)
-        a = (hyper.s1 + hyper.d1 * totals[pairs.k]) * p0[pairs.word_of]
-        t = draw_tables(pairs.c, np.maximum(a, 1e-300), hyper.d1, rng)
-        customers = np.bincount(pairs.word_of, weights=t, minlength=pairs.n_words).astype(np.int64)
-        a0 = np.full(pairs.n_words, (hyper.s0 + hyper.d0 * totals[-1]) * hyper.base)
-        t0 = draw_tables(customers, a0, hyper.d0, rng)
-        yield t, customers, t0
-
-
-def _sums(bundles: DataFrame, of) -> np.ndarray:
-    """The vectors that of(pairs) gives for each bundle, summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = of(Pairs(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(np.asarray(x, dtype=np.float64))], names=["i", "x"])
-
-    got = bundles.mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    return np.array([r["x"] for r in got])
-
-
-def answers(bundles: DataFrame, hyper: Hyper, history: list[np.ndarray], burn: int, seed: int) -> DataFrame:
-    """block, words, classes, counts, logs (packed): for each input partition, its pairs with the word's count and log10 probability."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pairs = Pairs(row)
-                total, n = np.zeros(len(pairs.c)), 0
-                for k, (t, customers, t0) in enumerate(sweeps(pairs, hyper, history[:-1], seed)):
-                    if k < burn:
-                        continue
-                    totals = history[k + 1]
-                    p0 = hyper.parent(customers, t0, totals)
-                    total += (pairs.c - hyper.d1 * t + (hyper.s1 + hyper.d1 * totals[pairs.k]) * p0[pairs.word_of]) / (hyper.s1 + hyper.customers[pairs.k])
-                    n += 1
-                logs = np.log10(total / n).astype(np.float32)
-                words, counts = pairs.words[pairs.word_of], pairs.c_word[pairs.word_of]
-                order = np.argsort(pairs.blocks, kind="stable")
-                blocks = pairs.blocks[order]
-                starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
-                for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
-                    own = pairs.entry_pair[order[a:b]]
-                    values = [pa.array([int(blocks[a])], pa.int32())] + [pa.array([x[own].tobytes()], pa.binary()) for x in (words, pairs.k.astype(np.uint8), counts, logs)]
-                    yield pa.RecordBatch.from_arrays(values, names=["block", "words", "classes", "counts", "logs"])
-
-    return bundles.mapInArrow(run, "block int, words binary, classes binary, counts binary, logs binary")
+        return (customers - self.d0 * tables + (self.s0 + self.d0 * totals[1]) * self.base) / (self.s0 + totals[0])
+
+
+def customers_of(state: dict) -> np.ndarray:
+    """Customers of the bundle's words in the parent: the tables that serve them."""
+    return state["single"] + np.bincount(state["word_of"], weights=state["t"], minlength=len(state["single"])).astype(np.int64)
+
+
+def sweep(target: int, got: list, hyper: Hyper, k: int, totals: np.ndarray, burn: int, seed: int, width: int) -> list[Message]:
+    """Sweep k of a bundle; totals: customers and tables of the parent before it."""
+    state = next(data for kind, _, data in got if kind == STATE)
+    replies = [data for kind, _, data in got if kind == REPLY]
+    join = lambda i: np.concatenate([x[i] for x in replies]) if replies else np.zeros(0)
+    if k == 0:
+        state["fixed"] = join(0).astype(np.float32 if join(0).max(initial=0) < 1 << 24 else np.float64)
+    tables = state["fixed"] + join(1)
+    rng = np.random.default_rng((seed, target, k))
+    p0 = hyper.parent(customers_of(state), state["t0"], totals)
+    if k > burn:
+        state["parents"].append(p0.astype(np.float32))
+    a = (hyper.s1 + hyper.d1 * tables[state["context_of"]]) * p0[state["word_of"]]
+    t = draw_tables(state["c"].astype(np.int64), np.maximum(a, 1e-300), hyper.d1, rng)
+    state["t"] = t.astype(np.int32)
+    if k >= burn:
+        state["sum_t"] = (state["sum_t"] + t).astype(np.int32)
+    customers = customers_of(state)
+    state["t0"] = draw_tables(customers, np.full(len(customers), (hyper.s0 + hyper.d0 * totals[1]) * hyper.base), hyper.d0, rng).astype(np.int32)
+    contexts = state["contexts"]
+    more = np.bincount(state["context_of"], weights=t, minlength=len(contexts)).astype(np.int32)
+    sums = np.array([customers.sum(), state["t0"].sum()], dtype=np.float64)
+    return [(STATE, target, 0, state), (SUM, -1, target, sums), *asks(contexts, (np.zeros(len(contexts), dtype=np.int8), more), target, ASK + k + 1, width)]
+
+
+def answers(target: int, got: list, hyper: Hyper, totals: np.ndarray, n_sweeps: int, burn: int) -> list[Message]:
+    """For each input partition (the target): its words with count, parent's probabilities and tables of their own restaurants in the sweeps kept; keys of pairs with customers, less their discounts."""
+    state, (words, c_word, asked) = (next(data for kind, _, data in got if kind == x) for x in (STATE, BUNDLE))
+    kept = n_sweeps - burn
+    parents = np.array([*state["parents"], hyper.parent(customers_of(state), state["t0"], totals)], dtype=np.float32)
+    tables = np.zeros((kept, len(words)))
+    for kind, _, data in got:
+        if kind >= ASK:
+            at = np.searchsorted(words, data[0])
+            if kind == ASK:
+                tables[:, at] += data[1]
+            else:
+                tables[kind - ASK - burn - 1, at] += data[2]
+    rest = np.append(state["c"] - hyper.d1 * state["sum_t"] / kept, 1 - hyper.d1).astype(np.float32)  # the last: one customer
+    return [(REPLY, block, target, (words[at], c_word[at], parents[:, at], tables[:, at].astype(np.float32), keys, rest[place])) for block, at, keys, place in asked]
+
+
+def _sums(messages: DataFrame) -> np.ndarray | None:
+    """The sum of the SUM messages; None if there is none."""
+    rows = messages.filter(F.col("kind") == SUM).select("data").collect()
+    return sum(pickle.loads(r["data"]) for r in rows) if rows else None
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, n_sweeps: int = 4, burn: int = 1, seed: int = 0) -> DataFrame:
@@ -295,54 +339,64 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         docs = durable(docs)
     blocks = max(1, docs.rdd.getNumPartitions())
     docs = docs.withColumn("block", F.spark_partition_id())
-    width = n_partitions(spark)
-    bundles = bundle_pairs(count_pairs(docs, width), width)
-    basics = _sums(bundles, lambda pairs: pairs.basics())
+    width = max(n_partitions(spark), blocks)  # so that bundles don't grow with the input
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    if not len(basics):
+    messages = durable(_step(count_pairs(docs, width), width, lambda target, got: start(target, got, width)))
+    basics = _sums(messages)
+    if basics is None:
         return spark.createDataFrame([], schema)
     hyper = Hyper(basics)
-    history = [hyper.first]
-    for _ in range(n_sweeps):
-
-        def last(pairs: Pairs, history=tuple(history)) -> np.ndarray:
-            *_, (t, _, t0) = sweeps(pairs, hyper, list(history), seed)
-            return pairs.totals(t, t0)
-
-        history.append(_sums(bundles, last))
-
-    replies = answers(bundles, hyper, history, burn, seed)
+    totals = hyper.first
+    gathered = messages.filter(F.col("kind").isin(BUNDLE, ASK))
+    for k in range(n_sweeps):
+        replies = _step(messages.filter(F.col("kind") == ASK + k), width, answer_asks)
+        given = messages.filter(F.col("kind") == STATE).unionByName(replies)
+        messages = durable(_step(given, width, lambda target, got, k=k, totals=totals: sweep(target, got, hyper, k, totals, burn, seed, width)))
+        totals = _sums(messages)
+        if k >= burn:
+            gathered = gathered.unionByName(messages.filter(F.col("kind") == ASK + k + 1))
+
+    gathered = gathered.unionByName(messages.filter(F.col("kind") == STATE))
+    replies = _step(gathered, width, lambda target, got: answers(target, got, hyper, totals, n_sweeps, burn))
     none = lambda t: F.lit(None).cast(t)
-    packed = ("words", "classes", "counts", "logs")
-    rows = docs.select("block", F.lit(1).alias("kind"), "id", "held_out", "data", *(none("binary").alias(c) for c in packed))
-    rows = rows.unionByName(replies.select("block", F.lit(0).alias("kind"), none(kind).alias("id"), none("boolean").alias("held_out"), none("binary").alias("data"), *packed))
+    rows = docs.select("block", F.lit(1).alias("kind"), "id", "held_out", "data")
+    rows = rows.unionByName(replies.select(F.col("target").alias("block"), F.lit(0).alias("kind"), none(kind).alias("id"), none("boolean").alias("held_out"), "data"))
     rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("kind")
     tokens, unit = hyper.tokens, hyper.tokens + 0.5 * (hyper.known + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, keys, counts, logs = [], None, None, None
+        got, words = [], None
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            replied = batch.filter(pa.array(kinds == 0))
-            got += replied.select(list(packed)).to_pylist()
+            got += [pickle.loads(x) for x in batch.filter(pa.array(kinds == 0)).column("data").to_pylist()]
             asked = batch.filter(pa.array(kinds == 1))
             if not asked.num_rows:
                 continue
-            if keys is None:
-                join = lambda name, t: np.frombuffer(b"".join(r[name] for r in got), dtype=t)  # noqa: E731, B023
-                keys = pair_keys(join("words", np.uint64), join("classes", np.uint8))
-                order = np.argsort(keys)
-                keys, counts, logs = keys[order], join("counts", np.int64)[order], join("logs", np.float32)[order]
-                bases = np.log10((counts + 0.5) / unit)
+            if words is None:
+                words, counts, parents, tables, keys, rest = (np.concatenate(x, axis=-1) for x in zip(*got, strict=True))
+                order, key_order = np.argsort(words), np.argsort(keys)
+                words, counts, parents, tables = words[order], counts[order], parents[:, order], tables[:, order]
+                # No key at the end, so that a search always finds a place.
+                keys, rest = np.append(keys[key_order], np.uint64(0)), np.append(rest[key_order], np.float32(0))
+                seen, bases = len(keys) - 1, np.log10((counts + 0.5) / unit)
+                weights = (hyper.s1 + hyper.d1 * tables) / (hyper.s1 + counts) / len(tables)
                 got = []
             for at in range(0, asked.num_rows, _SLICE):
                 part = asked.slice(at, _SLICE)
-                hashes, classes, n = tokens_of([t or b"" for t in part.column("data").to_pylist()])
-                spots = np.searchsorted(keys, pair_keys(hashes, classes))
+                hashes, contexts, n = tokens_of([t or b"" for t in part.column("data").to_pylist()])
+                spots, before = np.searchsorted(words, hashes), np.searchsorted(words, contexts[:1])
+                before = np.concatenate([before, spots[:-1]])
+                asked_keys = pair_keys(hashes, contexts)
+                places = np.searchsorted(keys[:seen], asked_keys)
+                trained = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+                alone = np.repeat(np.where(trained, 1 - hyper.d1, 0.0), n)
+                p = np.where((keys[places] == asked_keys) & (places < seen), rest[places], alone) / (hyper.s1 + counts[before])
+                for weight, parent in zip(weights, parents, strict=True):
+                    p += weight[before] * parent[spots]
                 starts = np.cumsum(n) - n
-                add = lambda x: np.add.reduceat(x[spots], starts)  # noqa: E731, B023
-                columns = [part.column("id"), part.column("held_out"), pa.array(n), pa.array(add((counts > 0).astype(np.int64))), pa.array(np.full(len(n), tokens)), pa.array(add(bases)), pa.array(add(logs.astype(np.float64)))]
+                add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+                columns = [part.column("id"), part.column("held_out"), pa.array(n), pa.array(add((counts > 0).astype(np.int64)[spots])), pa.array(np.full(len(n), tokens)), pa.array(add(bases[spots])), pa.array(add(np.log10(p)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, schema)

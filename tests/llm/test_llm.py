@@ -167,6 +167,33 @@ def test_lm(spark):
     assert L.score_texts(none_of(spark)).count() == 0
 
 
+def lm_rows(train, held):
+    """Ids chosen so that the first texts are learnt from and the others held out."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = {k: iter([i for i in range(5000) if (fold(i) == 1) == k]) for k in (True, False)}
+    return [(next(ids[False]), t) for t in train], [(next(ids[True]), t) for t in held]
+
+
+def test_lm_context_is_the_word(spark):
+    """Words that end alike predict what follows each of them."""
+    train, held = lm_rows(["xxab red", "yyab blue"] * 40, ["xxab red", "xxab blue", "yyab red", "yyab blue"])
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(spark.createDataFrame(train + held, "doc_id bigint, text string")).collect()}
+    a, b, c, d = (got[i] for i, _ in held)
+    assert a > b + 1 and d > c + 1
+
+
+def test_lm_closed_form(spark):
+    """Where each pair and each word occurs once, no draw is left to chance."""
+    train, held = lm_rows(["a b c d e"], ["a b", "b a new"])
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(spark.createDataFrame(train + held, "doc_id bigint, text string")).collect()}
+    discount, known = 0.95, 6
+    parent = lambda c: (c - discount * c + (1 + discount * known) / (known + 1)) / (1 + known)
+    p = lambda c, c_word, context: (c - discount * c + (1 + discount * context) * parent(c_word)) / (1 + context)
+    want = [(p(1, 1, 1), p(1, 1, 1), p(0, 1, 1)), (p(0, 1, 1), p(0, 1, 1), p(0, 0, 1), p(0, 1, 0))]
+    for (i, _), probabilities in zip(held, want, strict=True):
+        assert abs(got[i] - sum(map(math.log10, probabilities))) < 1e-4
+
+
 def test_stirling_draws():
     """Means of exact draws are those of seating customers in turn with the same weights (no discount: independent seats)."""
     rng = np.random.default_rng(1)
