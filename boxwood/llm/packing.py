@@ -45,16 +45,37 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _split(text: str, own: dict[str, dict], pattern: re.Pattern) -> Iterator[str | int]:
+    """The text between added tokens, and their ids, as the library finds them (own: the file's entries by content)."""
+    at = 0
+    for m in pattern.finditer(text):
+        start, stop, entry = m.start(), m.end(), own[m[0]]
+        if entry.get("single_word") and (re.search(r"\w$", text[max(0, start - 1) : start]) or re.match(r"\w", text[stop : stop + 1])):
+            continue
+        if entry.get("lstrip"):
+            start = max(at, len(text[:start].rstrip()))
+        if entry.get("rstrip"):
+            stop = len(text) - len(text[stop:].lstrip())
+        if start > at:
+            yield text[at:start]
+        yield entry["id"]
+        at = stop
+    if at < len(text):
+        yield text[at:]
+
+
 class Encoder:
-    """Byte-level BPE from a tokenizer file of the tokenizers library, without special tokens.
+    """Byte-level BPE from a tokenizer file of the tokenizers library, without the tokens that a post-processor adds.
 
-    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-    special strings as ordinary text. A space before a visible character
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    encode_special_tokens is the library's: if it is set, special strings are
+    ordinary text; else a text is split at the file's added tokens, which
+    become their ids. A space before a visible character
     begins a token in the pattern of these files, so a text is the chunks
     between such spaces, and the ids of common chunks are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -69,12 +90,22 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._plain = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        added = [x for x in spec.get("added_tokens", ()) if x["content"] and not (encode_special_tokens and x.get("special"))]
+        #: The library looks for tokens that aren't normalized first, for the others in what is left; the longest of those that begin first counts.
+        self._added = []
+        for normalized in (False, True):
+            own = {x["content"]: x for x in added if bool(x.get("normalized")) == normalized}
+            if own:
+                self._added.append((own, re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True))))))
         #: White space at a chunk's beginning, or none between two spaces.
         self._odd = re.compile(r"  | \s|^\s")
 
     def ids(self, text: str) -> np.ndarray:
         """uint32, little-endian."""
-        return np.frombuffer(self._bytes(text), dtype="<u4")
+        parts: list[str | int] = [text]
+        for own, pattern in self._added:
+            parts = [y for x in parts for y in (_split(x, own, pattern) if isinstance(x, str) else (x,))]
+        return np.frombuffer(b"".join([self._bytes(x) if isinstance(x, str) else x.to_bytes(4, "little") for x in parts]), dtype="<u4")
 
     def _pack(self, text: str) -> bytes:
         return np.array(self._plain(text), dtype="<u4").tobytes()
@@ -115,7 +146,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, encode_special_tokens=False)
         for batch in batches:
             at, columns = [], [[], [], [], [], []]
             for row, text in enumerate(batch.column(1).to_pylist()):

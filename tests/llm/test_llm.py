@@ -241,6 +241,24 @@ def test_packing(spark):
     assert sum(r["length"] for r in got) == total and P.pack(none_of(spark), path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """Ids of the tokenizer as loaded, which maps added tokens inside a text."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|> a  b", "é<|endoftext|>\n", "<|endoftext", "a b"]
+    encoder = P.Encoder(path, encode_special_tokens=False)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.ids(t).tolist() for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in P.tokenize(df, path, with_ids=True).collect()}
+    for i, ids in enumerate(want):
+        raw = np.array([*ids, 0], dtype="<u4").tobytes()
+        assert bytes(got[i]["ids"]) == raw and got[i]["ids_crc32"] == zlib.crc32(raw) and got[i]["length"] == len(ids) + 1
+
+
 def test_cross_keeps_pieces():
     rng = random.Random(2)
     sizes = [rng.randint(1, 60) for _ in range(80)]
