@@ -3,7 +3,10 @@
 The lexer reads lines that hold an assignment sign, splits them into names,
 signs, string literals, bare values and separators, and pairs names with
 literals: ``name = "x"``, ``name: x``, ``"name" => 'x'``, ``export NAME=x``,
-``name := x``. Names that are given a literal are constants of the document;
+``name := x``. A type between the name and the sign (``name: str = "x"``) is
+passed over, each name of a chain (``a = b = "x"``) is given the literal, and a
+definition whose line ends after the sign, or after a bracket that follows it,
+goes on in the next line that isn't blank. Names that are given a literal are constants of the document;
 ``b = a`` and ``b = a + "y"`` carry a's literals to b (later definitions
 replace earlier ones, and a chain is followed as it is read). A literal is
 scored by the words of every name that it reaches and by its own look;
@@ -61,6 +64,7 @@ _TOKEN = re.compile(
     |(?P<end>[,;(){}\[\]\n])""",
     re.X,
 )
+_FULL = re.compile(r"\S")
 _ASSIGNING = {":=", "=>", "<-", "=", ":"}
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -101,14 +105,63 @@ def literal_points(value: str) -> int:
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each line that holds an assignment sign."""
+    """Start and end of each line that holds an assignment sign, with the lines that it goes on in."""
     at = 0
     while m := _SIGN.search(text, at):
-        start = text.rfind("\n", at, m.start()) + 1 or at
+        begin = start = text.rfind("\n", at, m.start()) + 1 or at
         at = text.find("\n", m.end()) + 1 or len(text) + 1
+        while at <= len(text) and _goes_on(text[begin : at - 1]) and (following := _FULL.search(text, at)):
+            begin, at = at, text.find("\n", following.end()) + 1 or len(text) + 1
         yield start, at - 1
 
 
+def _goes_on(line: str) -> bool:
+    line = line.rstrip()
+    return (line[:-1].rstrip() if line.endswith(("(", "[", "{")) else line).endswith(("=", ":", "=>", "<-"))
+
+
+Token = tuple[str, str, int, int]
+
+
+def _assigns(tokens: list[Token], i: int) -> bool:
+    """Whether a name (or a quoted one) and a sign stand at i."""
+    return i + 1 < len(tokens) and tokens[i][0] in ("name", "string") and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING
+
+
+def _chained(tokens: list[Token], i: int) -> bool:
+    """Whether the name at i is given the value too; 'x=y=' without a space may be a value with signs in it, unless a string follows."""
+    if not _assigns(tokens, i) or tokens[i][0] != "name" or tokens[i + 1][1] not in ("=", ":=") or i + 2 >= len(tokens):
+        return False
+    return tokens[i + 2][0] == "string" or (tokens[i + 2][0] in ("name", "bare") and tokens[i][3] < tokens[i + 1][2])
+
+
+def _past(tokens: list[Token], i: int) -> int:
+    """The place after line ends, and after opening brackets that end a line, at i."""
+    while i < len(tokens) and (tokens[i][1] == "\n" or (tokens[i][1] in ("(", "[", "{") and i + 1 < len(tokens) and tokens[i + 1][1] == "\n")):
+        i += 1
+    return i
+
+
+def _typed(tokens: list[Token], i: int) -> tuple[int, bool]:
+    """The place after the '=' that follows a type at i (behind 'name:'), or i if there is none; whether the type is one word (with what is in its brackets)."""
+    depth, words = 0, 0
+    for j in range(i, len(tokens)):
+        kind, raw, start, _ = tokens[j]
+        if kind == "sign" and not depth:
+            return (j + 1, words == 1) if raw == "=" and words else (i, False)
+        if kind == "end":
+            depth += (raw in "([{") - (raw in ")]}")
+            if depth < 0 or raw in ";\n" or (raw == "," and not depth) or (raw == "{" and not words):
+                break
+        elif kind not in ("name", "bare", "sign"):
+            break
+        else:
+            words += not depth and (j == i or start > tokens[j - 1][3])
+            if kind == "bare":
+                depth += raw.count("<") - raw.replace("->", "").count(">")
+    return i, False
+
+
 @dataclass
 class Definition:
     """A name with what it is given: spans of literals, and definitions that it uses, all of which stand before it."""
@@ -119,6 +172,33 @@ class Definition:
     points: int = 0
 
 
+def _value(tokens: list[Token], i: int, known: dict[str, Definition], made: Definition) -> int:
+    """Give made the literals and the known names at i, joined by plus signs; the place after them."""
+    joined = True
+    while i < len(tokens) and joined:
+        kind, raw, start, end = tokens[i]
+        if kind == "string":
+            if _assigns(tokens, i) and (made.spans or made.uses):
+                break
+            made.spans.append((start + 1, end - 1))
+        elif kind == "name" and (raw.strip("${}") in known):
+            made.uses.append(known[raw.strip("${}")])
+        elif kind in ("bare", "name"):
+            last = end  # a bare value goes on up to a space or a separator
+            while i + 1 < len(tokens) and tokens[i + 1][2] == last and tokens[i + 1][0] not in ("end", "string"):
+                i += 1
+                last = tokens[i][3]
+            if i + 1 < len(tokens) and tokens[i + 1][1] == "(" and tokens[i + 1][2] == last:
+                break  # a call's result is unknown
+            made.spans.append((start, last))
+        else:
+            break
+        i += 1
+        joined = i < len(tokens) and tokens[i][0] == "plus"
+        i += joined
+    return i
+
+
 def assignments(text: str) -> list[Definition]:
     """The definitions in reading order; a name that is used stands for its last definition so far."""
     known: dict[str, Definition] = {}
@@ -127,37 +207,37 @@ def assignments(text: str) -> list[Definition]:
         tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
         i = 0
         while i + 1 < len(tokens):
-            kind, raw, _, _ = tokens[i]
-            if not (kind in ("name", "string") and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING):
+            if not _assigns(tokens, i):
                 i += 1
                 continue
-            made = Definition(raw.strip("\"'`${}"), [], [])
+            names, also = [tokens[i][1]], None
+            colon = tokens[i + 1][1] == ":"
             i += 2
-            joined = True
-            while i < len(tokens) and joined:
-                kind, raw, start, end = tokens[i]
-                if kind == "string":
-                    if i + 1 < len(tokens) and tokens[i + 1][0] == "sign" and tokens[i + 1][1] in _ASSIGNING and (made.spans or made.uses):
-                        break
-                    made.spans.append((start + 1, end - 1))
-                elif kind == "name" and (raw.strip("${}") in known):
-                    made.uses.append(known[raw.strip("${}")])
-                elif kind in ("bare", "name"):
-                    last = end  # a bare value goes on up to a space or a separator
-                    while i + 1 < len(tokens) and tokens[i + 1][2] == last and tokens[i + 1][0] not in ("end", "string"):
-                        i += 1
-                        last = tokens[i][3]
-                    if i + 1 < len(tokens) and tokens[i + 1][1] == "(" and tokens[i + 1][2] == last:
-                        break  # a call's result is unknown
-                    made.spans.append((start, last))
-                else:
-                    break
-                i += 1
-                joined = i < len(tokens) and tokens[i][0] == "plus"
-                i += joined
-            if made.name and (made.spans or made.uses):
-                known[made.name] = made
-                out.append(made)
+            if colon:
+                behind, one = _typed(tokens, i)
+                if one:
+                    i = behind
+                elif behind > i:
+                    also = behind  # a type of several words, or a value before another definition: both are read
+            while _chained(tokens, i):
+                names.append(tokens[i][1])
+                i += 2
+            on = _past(tokens, i)
+            if on > i and _assigns(tokens, on):
+                i = on  # nothing is given here: the next line has a definition of its own
+                continue
+            made = Definition(names.pop().strip("\"'`${}"), [], [])
+            i = _value(tokens, on, known, made)
+            if also is not None:
+                _value(tokens, _past(tokens, also), known, made)
+            if not (made.spans or made.uses):
+                continue
+            # The names before the last of a chain use its definition.
+            for own in (made, *(Definition(x.strip("\"'`${}"), [], [made]) for x in reversed(names))):
+                if own.name:
+                    known[own.name] = own
+                if own.name or own is made and names:
+                    out.append(own)
     return out
 
 

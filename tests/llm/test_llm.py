@@ -86,6 +86,24 @@ def test_secrets(spark):
     assert S.scan_secrets(df).count() == len(rows) and S.scan_secrets(none_of(spark)).count() == 0
 
 
+def test_secrets_declarations():
+    """Types before the sign, chained names, and literals on the line after."""
+    literal = "Zk83hfLq02ndYw7"
+    forms = [
+        'const dbPwd: string = "{}"', 'auth_key: str = "{}"', 'val apiSecret: String = "{}"', 'db_pwd: Optional[str] = "{}"', 'let db_pwd: Map<string, string> = "{}";',
+        'static DB_PWD: const char = "{}"', 'dbPwd = x = "{}"', 'dbPwd=x="{}"', 'x = dbPwd = "{}"', 'x = y\ndbPwd = z = "{}"', 'dbPwd =\n    "{}"', 'dbPwd = (\n\n  "{}"\n)', 'db_auth:\n  {}', "const dbPwd: string =\n  '{}'",
+    ]
+    for form in forms:
+        text = form.replace("{}", literal)
+        assert literal not in S.redact(text), form
+    for text in ["DB_PWD=\nHOST=Zk83hfLq02ndYw7", "auth:\n  host: Zk83hfLq02ndYw7", "a: b, c = 'Zk83hfLq02ndYw7'", "a plain text, token: the next = one"]:
+        assert S.redact(text) == text
+    for text in ["auth:\n  pwd: Zk83hfLq02ndYw7", "db_pwd: Zk83hfLq02ndYw7 user = 'bob'", "db_pwd=Zk83hfLq02ndYw7="]:
+        assert literal not in S.redact(text), text
+    assert len(S.all_spans("a:\n" * 20000 + "db_auth = 'Zk83hfLq02ndYw7'")[1]) == 1
+    assert len(S.all_spans("a = " * 5000 + "db_auth = 'Zk83hfLq02ndYw7'")[1]) == 1
+
+
 def brute_classes(rows, width, num, den):
     sets = []
     for _, text, *_ in rows:
