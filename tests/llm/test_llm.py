@@ -65,6 +65,24 @@ def test_quality_base(spark):
     assert Q.base_counts(text.encode()) == (len(words), sum(map(len, words)), 2, 1, len(often))
 
 
+def test_quality_many_languages(spark):
+    """Each language has a model and a band of its own, however many there are."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(70):
+        letters = [chr(ord("a") + (k * 5 + 3 * i) % 26) for i in range(6)]
+        rows += [(2 * k + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(60)), f"l{k:02}", "a", None) for i in range(2)]
+    got = {r["doc_id"]: r for r in Q.assess(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i]["lang"] for i in range(len(rows))] == [r[2] for r in rows]
+    logs = [Q.Model(*np.unique(Q.keys_of([r[1].encode() for r in rows[2 * k : 2 * k + 2]])[0], return_counts=True)).log_probs(np.arange(Q.KEYS)) for k in range(70)]
+    for i in (0, 77, 139):
+        keys, lengths = Q.keys_of([rows[i][1].encode()])
+        words = np.array([np.add.reduceat(x[keys], Q.word_starts(keys, lengths)[0]) for x in logs])
+        weights = np.full((70, 1), 0.5 / 70) + 0.5 * (np.arange(70)[:, None] == i // 2)
+        want = -np.log((weights * np.exp(words)).sum(0)).sum() / 60
+        assert abs(got[i]["log_perplexity"] - want) < 1e-4 * want and got[i]["kept"]
+
+
 def test_model_is_a_distribution():
     keys, _ = Q.keys_of([b"the cat sat on the mat", b"a hat on the cat"])
     found = np.unique(keys, return_counts=True)
