@@ -26,14 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class, the document with the smallest id stays (of repeated rows with that id, one).
+    """Of each class, the row with the smallest id stays (of rows with that id, the first; null ids come last).
 
-    Documents without words, and those without an id, are in no class and stay.
+    Rows are told apart by a number of their own, so that rows with one id but
+    different texts are judged each by itself. Documents without words are in no class and stay.
     """
-    classes = link_classes(docs)
-    stays = classes.filter("n_shingles = 0 or doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = durable(docs)  # rows are numbered anew at each reading
+    number = "_n"
+    while number in docs.columns:
+        number += "_"
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    classes = link_classes(rows, id_col=number)
+    ids = rows.select(number, F.struct(F.col("doc_id").isNull(), "doc_id", number).alias("place"))
+    least = classes.filter("n_shingles > 0").join(ids, number).groupBy("component_id").agg(F.min("place").alias("place"))
+    stays = least.select(F.col("place")[number].alias(number)).unionByName(classes.filter("n_shingles = 0").select(number))
+    return rows.join(stays, number, "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

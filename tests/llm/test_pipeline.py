@@ -157,6 +157,15 @@ def test_near_duplicates_stage(spark, docs):
     assert sorted(got) == sorted([*want, "None"])
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows of one id with different texts stay; of exact copies without id one stays."""
+    rng = random.Random(5)
+    text = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(4)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in [(1, text[0]), (1, text[1]), (1, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (2, text[0])]]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", text[0]), ("1", text[1]), ("None", text[2]), ("None", text[3])])
+
+
 def test_secrets_stage(spark, docs):
     rows, *_ = corpus()
     out = P.secrets(spark, docs, "")
