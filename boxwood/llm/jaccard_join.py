@@ -12,16 +12,20 @@ similarity of their sets reaches the threshold; classes are connected by links.
    with the largest share of frequent shingles, if most of their min-hashes agree; large groups of near
    copies collapse to a class.
 3. Matrix: two linked sets share at least LEVEL shingles of their beginnings.
-   Shingles that lie in the beginnings of two classes make the matrix;
-   similar nodes (by min-hash) are divided into groups of about ``GROUP``, and the
-   matrix has the union of their beginnings. A node queries it: groups of which
-   enough shingles match, with a class other than its own, are opened.
-4. An opened group holds its members' whole sets as posting lists. The bound
-   on the overlap of the query and the group's union, then the exact similarity,
-   decide. One link for a query and class is enough for the classes.
+   Only shingles that begin sets of several classes count. Nodes that share
+   such shingles stand together in the order of their min-hashes over them;
+   ``GROUP`` in a row are a group, and the matrix has the union of their beginnings. Where a class shares
+   enough shingles with a group's union, apart from those that only the class itself has there, its nodes visit the group.
+4. A visited group is opened in two steps: posting lists of the members'
+   beginnings tell which members and queries share enough; of these alone the
+   whole sets are read, again as posting lists: the bound on the overlap of
+   the query and the group's union, then the exact similarity, decide. One
+   link for a query and class is enough for the classes.
 
 Sets are read from the texts again for the nodes that a step compares, found
-by a Bloom filter of bounded size, so that no step shuffles all sets.
+by a Bloom filter. It has 16 bits for each such node, up to 16 MB (8 million nodes); for more
+nodes it lets other sets pass, too, which the join by node then drops: that costs
+shuffle (of all sets at most), never links.
 A 64-bit hash stands for a shingle and for a node.
 """
 
@@ -36,11 +40,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import durable, mix64, n_partitions, table
+from boxwood.llm.common import durable, mix64, n_partitions, quoted, table
 
 #: Shared shingles that make a candidate; fewer for sets that are smaller.
 LEVEL = 3
-#: Members of a group, and queries that one task compares with it, about.
+#: Members of a group (a power of two), and queries that one task compares with it, about.
 GROUP, VISITS = 256, 512
 #: Entries of the table of frequent shingles, and the documents that make one frequent.
 HOT, HOT_DOCS = 1 << 18, 24
@@ -165,7 +169,7 @@ def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.nd
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(hot)
     seeds = mix64(np.arange(1, _MINHASHES + 1, dtype=np.uint64) * _C)
-    parts = n_partitions(spark)
+    parts = max(n_partitions(spark), docs.rdd.getNumPartitions())  # so that a task's share doesn't grow with the input
     plain = ["node", "n", *(f"h{k}" for k in range(_MINHASHES))]
 
     def packed(known: dict[int, tuple], entries: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +248,8 @@ def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.nd
 
 
 def bloom_of(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of two bits for each node, as words of 64 bits; 2 MB at most come to the driver as (word, bits) rows, whatever the number of nodes."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, nodes.count()))), 12, 24))
+    """A Bloom filter of two bits for each node, as words of 64 bits; 16 MB at most come to the driver and are broadcast, whatever the number of nodes."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, nodes.count()))), 12, 27))
     at = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(bits))
     spots = nodes.select(F.explode(F.array(at(1), at(2))).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
@@ -307,11 +311,10 @@ def _may_hold(words: np.ndarray, node: int, bits: int) -> bool:
     return True
 
 
-class Group:
-    """An opened group: posting lists from shingles to members."""
+class Postings:
+    """Posting lists: for each token of some sets, the sets that hold it."""
 
-    def __init__(self, nodes: list[int], classes: list[int], sets: list[np.ndarray]):
-        self.nodes, self.classes = np.array(nodes, dtype=np.int64), np.array(classes, dtype=np.int64)
+    def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         tokens = np.concatenate(sets)
         member = np.repeat(np.arange(len(sets)), self.sizes)
@@ -320,32 +323,113 @@ class Group:
         self.union, self.first = np.unique(tokens[order], return_index=True)
         self.last = np.append(self.first[1:], len(tokens))
 
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Where the tokens of s lie that the union holds, too."""
+        if not len(self.union):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        return at[self.union[at] == s]
+
+    def shared(self, at: np.ndarray) -> np.ndarray:
+        """How many of the tokens at these places each set holds."""
+        n = self.last[at] - self.first[at]
+        spots = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.member[spots], minlength=len(self.sizes))
+
+
+class Beginnings(Postings):
+    """An opened group's members by the shared shingles of their beginnings."""
+
+    def __init__(self, members: list[tuple[int, int, int, np.ndarray]]):
+        nodes, classes, sizes, tokens = zip(*members, strict=True)
+        super().__init__(list(tokens))
+        self.nodes, self.classes, self.n = (np.array(x, dtype=np.int64) for x in (nodes, classes, sizes))
+        self.wanted = np.zeros(len(nodes), dtype=bool)
+
+    def ask(self, own: int, n: int, tokens: np.ndarray, threshold: Threshold) -> bool:
+        """Whether a query, as the larger set, shares enough with a member of another class; such members are wanted."""
+        at = self.places(tokens)
+        if not len(at):
+            return False
+        enough = self.shared(at) >= np.minimum(LEVEL, -(-threshold.num * self.n // threshold.den))
+        found = enough & (self.classes != own) & (self.n <= n) & (threshold.den * self.n >= threshold.num * n)
+        self.wanted |= found
+        return bool(found.any())
+
+
+class Group(Postings):
+    """Whole sets of members."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        nodes, classes, sets = zip(*members, strict=True)
+        super().__init__(list(sets))
+        self.nodes, self.classes = np.array(nodes, dtype=np.int64), np.array(classes, dtype=np.int64)
+
     def links(self, node: int, own: int, s: np.ndarray, threshold: Threshold) -> list[int]:
         """One linked member of each class other than own."""
-        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
-        at = at[self.union[at] == s]
+        at = self.places(s)
         if len(at) < threshold.least(len(s)) and len(at) < threshold.least(int(self.sizes.min())):
             return []
-        n = self.last[at] - self.first[at]
-        spots = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(self.member[spots], minlength=len(self.nodes))
+        shared = self.shared(at)
         linked = np.flatnonzero(threshold.linked(shared, len(s), self.sizes) & (self.classes != own) & (shared > 0))
         _, one = np.unique(self.classes[linked], return_index=True)
         return self.nodes[linked[one]].tolist()
 
 
-def visit(members: DataFrame, queries: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Links (a, b) of queries with members of the groups that they visit.
+def deal(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """members and queries as rows (group, part, asks, and their other columns). A group that many queries visit is opened in several parts, each with some of them."""
+    parts = queries.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts"))
+    opened = members.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    asking = queries.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts").cast("long")).cast("int"))
+    return opened.withColumn("asks", F.lit(0)).unionByName(asking.withColumn("asks", F.lit(1))).drop("_parts")
 
-    members, queries: group, node, class; sets: node, data. A group that many
-    queries visit is opened in several tasks, each with a part of them.
-    """
-    parts = queries.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
-    opened = members.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asking = queries.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    role = lambda rows, asks: rows.select("group", "part", F.lit(asks).alias("asks"), "node", "class")
-    rows = role(opened, 0).unionByName(role(asking, 1)).join(sets, "node").select("group", "part", "asks", "node", "class", "data")
-    rows = rows.repartition(n_partitions(members.sparkSession), "group", "part").sortWithinPartitions("group", "part", "asks", "node")
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(n_partitions(rows.sparkSession), "group", "part").sortWithinPartitions("group", "part", "asks", "node")
+
+
+def descend(rows: DataFrame, threshold: Threshold) -> DataFrame:
+    """Of dealt rows with the columns n, inner, outer (shared shingles of the beginning, indexed or not): those whose whole sets are to be compared (group, part, asks, node, class)."""
+    names = ["group", "part", "asks", "node", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, waiting, asking = None, None, [], []
+
+        def found() -> pa.RecordBatch:
+            nodes, classes = (x[group.wanted].tolist() for x in (group.nodes, group.classes))
+            out = [(0, i, c) for i, c in zip(nodes, classes, strict=True)] + [(1, i, c) for i, c in asking]
+            columns = [[at[0]] * len(out), [at[1]] * len(out), *(list(x) for x in zip(*out, strict=True))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+        for batch in batches:
+            inner, outer = (_lists(batch.column(k)) for k in (6, 7))
+            for k, (key, part, asks, node, own, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True)):
+                if (key, part) != at:
+                    if asking:
+                        yield found()
+                    at, group, waiting, asking = (key, part), None, [], []
+                if not asks:
+                    waiting.append((node, own, n, inner[k]))
+                elif waiting:
+                    group = group or Beginnings(waiting)
+                    if group.ask(own, n, np.concatenate([inner[k], outer[k]]), threshold):
+                        asking.append((node, own))
+        if asking:
+            yield found()
+
+    columns = _together(rows).select(*names, "n", "inner", "outer")
+    return columns.mapInArrow(run, "group bigint, part int, asks int, node bigint, class bigint")
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of lists of longs, none of them null, as arrays of their own."""
+    values, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[i:j].copy() for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def visit(rows: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links (a, b) of queries with members of the groups that they visit. rows: group, part, asks, node, class; sets: node, data."""
+    whole = _together(rows.select("group", "part", "asks", "node", "class").join(sets, "node")).select("group", "part", "asks", "node", "class", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, waiting, last = None, None, [], None
@@ -360,16 +444,14 @@ def visit(members: DataFrame, queries: DataFrame, sets: DataFrame, threshold: Th
                 s = np.frombuffer(data, dtype=np.uint64)
                 if not asks:
                     waiting.append((node, own, s))
-                    continue
-                if group is None:
-                    group = Group(*zip(*waiting, strict=True)) if waiting else False
-                for other in group.links(node, own, s, threshold) if group else ():
-                    a.append(node)
-                    b.append(other)
-            waiting = [(i, c, s.copy()) for i, c, s in waiting]
+                elif waiting:
+                    group = group or Group(waiting)
+                    for other in group.links(node, own, s, threshold):
+                        a.append(node)
+                        b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return whole.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -397,41 +479,57 @@ def _class(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
 def _stars(nodes: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs (group, node): each node with the pivots of its min-hashes, where sizes and most min-hashes agree. What is missed here, the matrix finds.
 
-    Pivots are aggregated and joined back, so no task buffers the nodes of a min-hash; a very common one is still streamed through one task.
+    Pivots are written first, so that Spark can split the join at a min-hash that many nodes have.
     """
-    pairs = None
     hashes = [f"h{k}" for k in range(_MINHASHES)]
-    for h in hashes:
-        pivots = nodes.groupBy(h).agg(F.max(F.struct("share", "node", "n", *hashes)).alias("p"), F.count("*").alias("_nodes")).filter("_nodes > 1").drop("_nodes")
-        own = nodes.join(pivots, h)
-        agree = sum((F.col(f"p.{k}") == F.col(k)).cast("int") for k in hashes)
-        near = F.least("n", "p.n") * threshold.den >= F.greatest("n", "p.n") * threshold.num
-        own = own.filter((F.col("p.node") != F.col("node")) & near & (agree >= _AGREE)).select(F.col("p.node").alias("group"), "node")
-        pairs = own if pairs is None else pairs.union(own)
-    return pairs.distinct()
-
-
-def _sql_ceil(a: str, num: int, den: int) -> Column:
-    return F.expr(f"({a} * {num} + {den - 1}) div {den}")
-
-
-def _candidates(nodes: DataFrame, entries: DataFrame, labels: DataFrame | None, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(group, node, class) of members, and of the queries that qualify for a group."""
-    num, den = threshold.num, threshold.den
-    level = F.least(F.lit(LEVEL), _sql_ceil("n", num, den))
-    same = Window.partitionBy("shingle")
-    shared = _class(labels, entries).withColumn("_low", F.min("class").over(same)).withColumn("_high", F.max("class").over(same)).filter("_low <> _high").drop("_low", "_high")
-    shared = durable(shared.join(nodes.select("node", "n"), "node"))
-    active = shared.select("node").distinct()
-    sizes = nodes.join(active, "node", "left_semi").withColumn("_parts", F.ceil(F.count("*").over(Window.partitionBy("h0")) / GROUP))
-    group_of = durable(sizes.select("node", F.xxhash64("h0", F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("group")))
-    grouped = shared.join(group_of, "node")
-    matrix = grouped.filter("indexed").groupBy("shingle", "group").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.min("class").alias("_low"), F.max("class").alias("_high"))
-    asks = shared.alias("q").join(matrix.alias("m"), "shingle").filter("(_low <> class or _high <> class) and _least <= n").filter(F.col("_most") >= _sql_ceil("n", num, den))
-    queries = asks.groupBy("group", "node", "class", "n").agg(F.count("*").alias("matches")).filter(F.col("matches") >= level).select("group", "node", "class")
-    members = _class(labels, group_of.select("group", "node"))
-    queries = durable(queries)
-    return members.join(queries.select("group").distinct(), "group", "left_semi").select("group", "node", "class"), queries
+    own = nodes.select("*", F.posexplode(F.array(*hashes)).alias("k", "h"))
+    pivots = own.groupBy("k", "h").agg(F.max(F.struct("share", "node", "n", *hashes)).alias("p"), F.count("*").alias("_nodes")).filter("_nodes > 1").drop("_nodes")
+    agree = sum((F.col(f"p.{k}") == F.col(k)).cast("int") for k in hashes)
+    near = F.least("n", "p.n") * threshold.den >= F.greatest("n", "p.n") * threshold.num
+    pairs = own.join(durable(pivots), ["k", "h"]).filter((F.col("p.node") != F.col("node")) & near & (agree >= _AGREE))
+    return pairs.select(F.col("p.node").alias("group"), "node").distinct()
+
+
+def _sql_least(n: str, threshold: Threshold) -> Column:
+    return F.expr(f"({n} * {threshold.num} + {threshold.den - 1}) div {threshold.den}")
+
+
+def _sql_level(n: str, threshold: Threshold) -> Column:
+    """Shingles that a set of n shares with the beginning of any smaller partner, at least: the smallest one has least(n)."""
+    smallest = f"(({n} * {threshold.num} + {threshold.den - 1}) div {threshold.den})"
+    return F.least(F.lit(LEVEL), _sql_least(smallest, threshold))
+
+
+def _candidates(nodes: DataFrame, entries: DataFrame, labels: DataFrame | None, threshold: Threshold) -> DataFrame:
+    """Members of opened groups, and the queries that visit them, as dealt rows (group, part, asks, node, class).
+
+    Shingles that begin sets of one class only say nothing. The nodes that
+    have enough of the others are ordered by two min-hashes over these, so that
+    nodes that share them stand together, and ``GROUP`` of them in a row are a
+    group. The matrix has a row for each group and shingle of its union. Classes
+    ask it, not nodes, so that a class of many near copies asks once.
+    """
+    classed = _class(labels, entries)
+    several = durable(classed.groupBy("shingle").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low <> _high").select("shingle"))
+    shared = classed.join(several, "shingle", "left_semi")
+    list_of = lambda which: F.collect_list(F.when(which, F.col("shingle")))
+    signature = [F.min(F.xxhash64("shingle", F.lit(k))).alias(f"_s{k}") for k in range(2)]
+    packed = shared.groupBy("node").agg(F.first("class").alias("class"), *signature, list_of(F.col("indexed")).alias("inner"), list_of(~F.col("indexed")).alias("outer"))
+    packed = durable(packed.join(nodes.select("node", "n"), "node").filter(F.size("inner") + F.size("outer") >= _sql_level("n", threshold)))
+    order = ["_s0", "_s1", "node"]
+    ordered = packed.repartitionByRange(n_partitions(packed.sparkSession), *order).sortWithinPartitions(*order)
+    grouped = durable(ordered.withColumn("group", F.shiftright(F.monotonically_increasing_id(), GROUP.bit_length() - 1)).drop("_s0", "_s1"))
+
+    matrix = grouped.select("group", "class", "n", F.explode("inner").alias("shingle"))
+    matrix = matrix.groupBy("shingle", "group").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    asking = grouped.select("class", "n", F.explode(F.concat("inner", "outer")).alias("shingle"))
+    asking = asking.groupBy("shingle", "class").agg(F.min("n").alias("_small"), F.max("n").alias("_large"))
+    met = asking.join(matrix, "shingle").filter("(_low <> class or _high <> class) and _least <= _large").filter(F.col("_most") >= _sql_least("_small", threshold))
+    visits = met.groupBy("group", "class").agg(F.count("*").alias("_met"), F.min("_small").alias("_small")).filter(F.col("_met") >= _sql_level("_small", threshold))
+    visits = durable(visits.select("group", "class"))
+    members = grouped.join(visits.select("group").distinct(), "group", "left_semi").select("group", "node", "class", "n", "inner", "outer")
+    queries = grouped.drop("group").join(visits, "class").select(*members.columns)
+    return durable(descend(deal(members, queries), threshold))
 
 
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -439,13 +537,16 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two rows link when den * |intersection| >= num * |union| of their shingle
     sets; rows with equal sets are of one class. A null or empty text, or one
-    without words, has an empty set and is a class of its own. Repeated rows
-    stay. Null ids are passed over in component_id, which is null only if the class has no
-    other id. An empty table gives an empty result.
+    without words, has an empty set and is a class of its own. A very long text
+    is one set like any other. Repeated rows stay. Null ids are passed over in
+    component_id, which is null only if the class has no other id. Other
+    columns, whatever their names, are not read. An empty table gives an empty
+    result.
     """
     threshold = Threshold(num, den)
-    docs = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("data"))
-    surveyed = durable(survey(docs, id_col, width))
+    id_name, text_name = quoted(id_col), quoted(text_col)
+    docs = df.select(F.col(id_name).alias("_id"), F.col(text_name).cast("binary").alias("data"))
+    surveyed = durable(survey(docs, "_id", width))
     texts = docs.select("data")
     nodes, entries = describe(texts, width, threshold, frequent(surveyed))
 
@@ -455,22 +556,24 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         centres = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("class"))
         needed = durable(stars.select("node").union(centres.select("node")).distinct())
         opened = open_sets(texts, width, needed)
-        edges = durable(visit(centres, stars.withColumn("class", F.col("node")), opened, threshold))
+        edges = durable(visit(deal(centres, stars.withColumn("class", F.col("node"))), opened, threshold))
         if not edges.isEmpty():
             labels = components(edges)
 
-    members, queries = _candidates(nodes, entries, labels, threshold)
-    if not queries.isEmpty():
-        needed = durable(members.select("node").union(queries.select("node")).distinct())
-        more = durable(visit(members, queries, open_sets(texts, width, needed), threshold))
+    candidates = _candidates(nodes, entries, labels, threshold)
+    if not candidates.isEmpty():
+        needed = durable(candidates.select("node").distinct())
+        more = durable(visit(candidates, open_sets(texts, width, needed), threshold))
         if not more.isEmpty():
             labels = components(more if edges is None else edges.union(more))
 
-    rows = surveyed.filter(F.col("n").isNotNull()).select(id_col, F.col("n").alias("n_shingles"), "node")
-    rows = _class(labels, rows).withColumn("class", F.coalesce("class", "node"))
-    alone = rows.filter(F.col("node").isNull()).select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
-    least = rows.groupBy("class").agg(F.min(id_col).alias("component_id"))
-    return rows.filter(F.col("node").isNotNull()).join(least, "class").select(id_col, "n_shingles", "component_id").unionByName(alone)
+    rows = surveyed.filter(F.col("n").isNotNull()).select("_id", F.col("n").alias("n_shingles"), "node")
+    rows = _class(labels, rows)
+    alone = rows.filter(F.col("node").isNull()).select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    # Written first, so that Spark can split the join at a class of many rows.
+    least = durable(rows.filter(F.col("node").isNotNull()).groupBy("class").agg(F.min("_id").alias("component_id")))
+    out = rows.filter(F.col("node").isNotNull()).join(least, "class").select("_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumnRenamed("_id", id_col)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
