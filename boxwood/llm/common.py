@@ -7,41 +7,24 @@ UTF-8 bytes and are split there without decoding.
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from boxwood.storage import shared_dir
+
 #: Fixed value: the word pattern of the query contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CONTINUATION = bytes(range(0x80, 0xC0))
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session (tests) may lack the setting; it then gets a
-    temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        set_to = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if set_to is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            set_to = tempfile.mkdtemp(prefix="boxwood-checkpoint-")
-        sc.setCheckpointDir(set_to)
-    return sc.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back.
+    """df, written as Parquet to the shared folder (spark.checkpoint.dir) and read back.
 
     Cuts the lineage, survives lost executors, and lets several jobs read
     the same rows. The columns keep their types.
@@ -49,7 +32,27 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what durable wrote for these tables, which nothing reads any more; files of shuffles that only led to them go, too.
+
+    Spark deletes a shuffle's files once the driver's JVM has collected what refers to it, so that is asked for.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        let_go(tables[0].sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def quoted(name: str) -> str:
@@ -61,10 +64,6 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def code_points(data: bytes) -> int:
-    return len(data.translate(None, _CONTINUATION))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over an array of uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -26,7 +26,10 @@ At last each partition is sent what it needs of its words and pairs, along
 with its texts. The customers of a word's restaurant are as many as the word's
 training count, since one token follows each.
 The input must give the same partitions when it is read twice, as tables
-do; a plan with a shuffle in it is written to the shared folder first.
+do; a plan with a shuffle in it is written to the shared folder first. A task
+that meets a word of which it was sent nothing fails, so other partitions can't give wrong scores.
+Ascending hashes travel as differences, and tables of finished steps are deleted, so that disk
+holds about three times the (compressed) input at most.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import durable, mix64, n_partitions, table
+from boxwood.llm.common import discard, durable, let_go, mix64, n_partitions, quoted, table
 
 EXACT = 64
 _SLICE = 512
@@ -66,8 +69,43 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.concatenate([np.array([END], dtype=np.uint64), hashes[:-1]]), counts
 
 
+def contexts_of(hashes: np.ndarray) -> np.ndarray:
+    """48 bits stand for a context, which is a word too; 2 of 10^7 words share them by a chance of a fifth."""
+    return hashes >> np.uint64(16)
+
+
+def owners(contexts: np.ndarray, width: int) -> np.ndarray:
+    """The tasks of contexts, and of the words that they are."""
+    return (contexts % np.uint64(width)).astype(np.int64)
+
+
 def pair_keys(hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return mix64(hashes + mix64(contexts))
+    """56 bits, by which an input partition finds its pairs."""
+    return mix64(hashes + mix64(contexts)) >> np.uint64(8)
+
+
+def squeezed(x: np.ndarray) -> tuple[int, bytes]:
+    """Ascending whole numbers as differences, byte by byte, so that bytes that are all zero cost nothing once compressed."""
+    steps = np.diff(x.astype("<u8"), prepend=np.uint64(0))
+    return len(x), np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def spread(squeezed_: tuple[int, bytes]) -> np.ndarray:
+    n, raw = squeezed_
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _read(data: tuple) -> tuple[np.ndarray, ...]:
+    """(words, contexts of each, contexts, training counts, whether in held-out texts) of a message of count_pairs."""
+    words, fans, low, counts, held = data
+    raw = np.zeros((len(counts), 8), dtype=np.uint8)
+    raw[:, :6] = np.frombuffer(low, dtype=np.uint8).reshape(-1, 6)
+    return spread(words), fans.astype(np.int64), raw.view("<u8").reshape(-1), counts.astype(np.int64), np.unpackbits(held, count=len(counts)).astype(bool)
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -107,7 +145,8 @@ def count_pairs(docs: DataFrame, width: int) -> DataFrame:
                 block = part.column("block")[0].as_py()
                 hashes, contexts, counts = tokens_of([t or b"" for t in part.column("data").to_pylist()])
                 held = np.repeat(np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool), counts)
-                parts.append(_merge([(pair_keys(hashes, contexts), hashes, contexts, ~held, held)]))
+                contexts = contexts_of(contexts)
+                parts.append(_merge([(mix64(hashes + mix64(contexts)), hashes, contexts, ~held, held)]))
                 waiting += len(parts[-1][0])
                 if waiting > 4_000_000:
                     parts = [_merge(parts)]
@@ -115,14 +154,15 @@ def count_pairs(docs: DataFrame, width: int) -> DataFrame:
         if not parts:
             return
         _, words, contexts, counts, held = _merge(parts)
-        target = (words % np.uint64(width)).astype(np.int64)
+        target = owners(contexts_of(words), width)
         order = np.lexsort((contexts, words, target))
         edges = np.searchsorted(target[order], np.arange(width + 1))
         for t in range(width):
             own = order[edges[t] : edges[t + 1]]
             if len(own):
                 distinct, fans = np.unique(words[own], return_counts=True)
-                yield from _sent([(BUNDLE, t, block, (distinct, fans.astype(np.int32), contexts[own], counts[own].astype(np.int32), held[own] > 0))])
+                low = np.ascontiguousarray(contexts[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                yield from _sent([(BUNDLE, t, block, (squeezed(distinct), small(fans), low, small(counts[own]), np.packbits(held[own] > 0)))])
 
     return docs.select("block", "held_out", "data").mapInArrow(run, _MESSAGE)
 
@@ -195,15 +235,14 @@ class Pairs:
 
 def asks(contexts: np.ndarray, values: tuple[np.ndarray, ...], origin: int, kind: int, width: int) -> list[Message]:
     """values of contexts (by task, then context), to the contexts' tasks."""
-    owner = (contexts % np.uint64(width)).astype(np.int64)
-    edges = np.searchsorted(owner, np.arange(width + 1))
-    return [(kind, t, origin, (contexts[i:j], *(x[i:j] for x in values))) for t, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+    edges = np.searchsorted(owners(contexts, width), np.arange(width + 1))
+    return [(kind, t, origin, (squeezed(contexts[i:j]), *(small(x[i:j]) for x in values))) for t, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
 
 
 def _by_task(contexts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct contexts by task, then context, and where each of the given ones is."""
     distinct, at = np.unique(contexts, return_inverse=True)
-    order = np.lexsort((distinct, distinct % np.uint64(width)))
+    order = np.lexsort((distinct, owners(distinct, width)))
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     return distinct[order], place[at]
@@ -216,7 +255,7 @@ def start(target: int, got: list, width: int) -> list[Message]:
 
     Basics: training tokens; known words; pairs with 1 and 2 customers; words in 1 and 2 restaurants; customers and tables of the parent.
     """
-    parts = [data for *_, data in got]
+    parts = [_read(data) for *_, data in got]
     pairs = Pairs(parts)
     t, known = np.minimum(pairs.c, 1), pairs.c_word > 0
     n = pairs.by_word(t)
@@ -231,26 +270,33 @@ def start(target: int, got: list, width: int) -> list[Message]:
     basics = [pairs.c.sum(), known.sum(), (pairs.c == 1).sum(), (pairs.c == 2).sum(), (n == 1).sum(), (n == 2).sum(), n.sum(), known.sum()]
     place = np.full(len(pairs.c), -1, dtype=np.int32)
     place[pairs.many] = np.arange(len(pairs.many))
-    asked, first = [], 0
-    for _, block, (words, _, contexts, counts, held) in got:
+    asking, first = [], 0
+    for (_, block, _), (words, _, contexts, counts, held) in zip(got, parts, strict=True):
         own = pairs.entry_pair[first : first + len(contexts)]
         first += len(contexts)
         own = own[(pairs.c[own] > 1) | ((pairs.c[own] == 1) & (held | (counts == 0)))]
-        asked.append((block, np.searchsorted(pairs.words, words).astype(np.int32), pair_keys(pairs.words[pairs.word_of[own]], pairs.contexts[own]), place[own]))
-    bundle = (pairs.words, pairs.c_word, asked)
+        asking.append((block, np.searchsorted(pairs.words, words), own))
+    # Pairs that any partition asks for, by key; partitions ask by their places in that order.
+    needed = np.unique(np.concatenate([own for *_, own in asking]))
+    keys = pair_keys(pairs.words[pairs.word_of[needed]], pairs.contexts[needed])
+    by_key = np.argsort(keys)
+    place_of = np.empty(len(needed), dtype=np.int64)
+    place_of[by_key] = np.arange(len(needed))
+    asked = [(block, small(np.diff(at, prepend=0)), small(np.diff(np.sort(place_of[np.searchsorted(needed, own)]), prepend=0))) for block, at, own in asking]
+    bundle = (squeezed(pairs.words), small(pairs.c_word), squeezed(keys[by_key]), place[needed[by_key]], asked)
     return [(STATE, target, 0, state), (BUNDLE, target, 0, bundle), (SUM, -1, target, np.array(basics, dtype=np.float64)), *asks(seen, (fixed, more), target, ASK, width)]
 
 
 def answer_asks(target: int, got: list) -> list[Message]:
     """For each bundle that has pairs with more than one customer in contexts of this task: tables of those contexts with one customer, and others."""
-    contexts, at = np.unique(np.concatenate([data[0] for *_, data in got]), return_inverse=True)
-    sums = [np.bincount(at, weights=np.concatenate([data[k] for *_, data in got]), minlength=len(contexts)) for k in (1, 2)]
+    contexts, at = np.unique(np.concatenate([spread(data[0]) for *_, data in got]), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate([data[k] for *_, data in got]), minlength=len(contexts)).astype(np.int64) for k in (1, 2)]
     out, first = [], 0
     for _, origin, data in got:
-        own = at[first : first + len(data[0])][data[2] > 0]
-        first += len(data[0])
+        own = at[first : first + len(data[2])][data[2] > 0]
+        first += len(data[2])
         if len(own):
-            out.append((REPLY, origin, target, tuple(x[own] for x in sums)))
+            out.append((REPLY, origin, target, tuple(small(x[own]) for x in sums)))
     return out
 
 
@@ -281,8 +327,8 @@ def sweep(target: int, got: list, hyper: Hyper, k: int, totals: np.ndarray, burn
     replies = [data for kind, _, data in got if kind == REPLY]
     join = lambda i: np.concatenate([x[i] for x in replies]) if replies else np.zeros(0)
     if k == 0:
-        state["fixed"] = join(0).astype(np.float32 if join(0).max(initial=0) < 1 << 24 else np.float64)
-    tables = state["fixed"] + join(1)
+        state["fixed"] = small(join(0).astype(np.int64))
+    tables = state["fixed"] + join(1).astype(np.float64)
     rng = np.random.default_rng((seed, target, k))
     p0 = hyper.parent(customers_of(state), state["t0"], totals)
     if k > burn:
@@ -295,26 +341,32 @@ def sweep(target: int, got: list, hyper: Hyper, k: int, totals: np.ndarray, burn
     customers = customers_of(state)
     state["t0"] = draw_tables(customers, np.full(len(customers), (hyper.s0 + hyper.d0 * totals[1]) * hyper.base), hyper.d0, rng).astype(np.int32)
     contexts = state["contexts"]
-    more = np.bincount(state["context_of"], weights=t, minlength=len(contexts)).astype(np.int32)
+    more = np.bincount(state["context_of"], weights=t, minlength=len(contexts)).astype(np.int64)
     sums = np.array([customers.sum(), state["t0"].sum()], dtype=np.float64)
     return [(STATE, target, 0, state), (SUM, -1, target, sums), *asks(contexts, (np.zeros(len(contexts), dtype=np.int8), more), target, ASK + k + 1, width)]
 
 
 def answers(target: int, got: list, hyper: Hyper, totals: np.ndarray, n_sweeps: int, burn: int) -> list[Message]:
     """For each input partition (the target): its words with count, parent's probabilities and tables of their own restaurants in the sweeps kept; keys of pairs with customers, less their discounts."""
-    state, (words, c_word, asked) = (next(data for kind, _, data in got if kind == x) for x in (STATE, BUNDLE))
+    state, (words, c_word, keys, place, asked) = (next(data for kind, _, data in got if kind == x) for x in (STATE, BUNDLE))
+    words, keys = spread(words), spread(keys)
     kept = n_sweeps - burn
     parents = np.array([*state["parents"], hyper.parent(customers_of(state), state["t0"], totals)], dtype=np.float32)
-    tables = np.zeros((kept, len(words)))
+    tables = np.zeros((kept, len(words)), dtype=np.int64)
+    contexts = contexts_of(words)  # ascending, as the words are
     for kind, _, data in got:
         if kind >= ASK:
-            at = np.searchsorted(words, data[0])
+            at = np.searchsorted(contexts, spread(data[0]))
             if kind == ASK:
                 tables[:, at] += data[1]
             else:
                 tables[kind - ASK - burn - 1, at] += data[2]
-    rest = np.append(state["c"] - hyper.d1 * state["sum_t"] / kept, 1 - hyper.d1).astype(np.float32)  # the last: one customer
-    return [(REPLY, block, target, (words[at], c_word[at], parents[:, at], tables[:, at].astype(np.float32), keys, rest[place])) for block, at, keys, place in asked]
+    rest = np.append(state["c"] - hyper.d1 * state["sum_t"] / kept, 1 - hyper.d1).astype(np.float32)[place]  # the last: one customer
+    out = []
+    for block, at, own in asked:
+        at, own = np.cumsum(at, dtype=np.int64), np.cumsum(own, dtype=np.int64)
+        out.append((REPLY, block, target, (squeezed(words[at]), c_word[at], parents[:, at], small(tables[:, at]), squeezed(keys[own]), rest[own])))
+    return out
 
 
 def _sums(messages: DataFrame) -> np.ndarray | None:
@@ -330,11 +382,12 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     held_fold (a null id counts as an empty text). A null text is an empty
     one: its only token is the end. score is the log10 probability of the text
     under the model, base_score under smoothed word counts. Repeated rows stay
-    and count as often as they occur. An empty table gives an empty result.
+    and count as often as they occur. A very long text is scored whole. Other
+    columns, whatever their names, are not read. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
-    docs = df.select(F.col(id_col).alias("id"), (fold == held_fold).alias("held_out"), F.col(text_col).cast("binary").alias("data"))
+    fold = F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % folds
+    docs = df.select(F.col(quoted(id_col)).alias("id"), (fold == held_fold).alias("held_out"), F.col(quoted(text_col)).cast("binary").alias("data"))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = durable(docs)
     blocks = max(1, docs.rdd.getNumPartitions())
@@ -343,6 +396,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     messages = durable(_step(count_pairs(docs, width), width, lambda target, got: start(target, got, width)))
+    let_go(spark)
+    written = [messages]
     basics = _sums(messages)
     if basics is None:
         return spark.createDataFrame([], schema)
@@ -356,9 +411,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         totals = _sums(messages)
         if k >= burn:
             gathered = gathered.unionByName(messages.filter(F.col("kind") == ASK + k + 1))
+        if 1 <= k <= burn:
+            discard(written.pop())
+        written.append(messages)
 
     gathered = gathered.unionByName(messages.filter(F.col("kind") == STATE))
-    replies = _step(gathered, width, lambda target, got: answers(target, got, hyper, totals, n_sweeps, burn))
+    replies = durable(_step(gathered, width, lambda target, got: answers(target, got, hyper, totals, n_sweeps, burn)))
+    del messages, gathered, given
+    discard(*written)
     none = lambda t: F.lit(None).cast(t)
     rows = docs.select("block", F.lit(1).alias("kind"), "id", "held_out", "data")
     rows = rows.unionByName(replies.select(F.col("target").alias("block"), F.lit(0).alias("kind"), none(kind).alias("id"), none("boolean").alias("held_out"), "data"))
@@ -374,7 +434,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             if not asked.num_rows:
                 continue
             if words is None:
+                got = [(spread(x[0]), *x[1:4], spread(x[4]), x[5]) for x in got]
                 words, counts, parents, tables, keys, rest = (np.concatenate(x, axis=-1) for x in zip(*got, strict=True))
+                counts = counts.astype(np.int64)
                 order, key_order = np.argsort(words), np.argsort(keys)
                 words, counts, parents, tables = words[order], counts[order], parents[:, order], tables[:, order]
                 # No key at the end, so that a search always finds a place.
@@ -386,8 +448,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 part = asked.slice(at, _SLICE)
                 hashes, contexts, n = tokens_of([t or b"" for t in part.column("data").to_pylist()])
                 spots, before = np.searchsorted(words, hashes), np.searchsorted(words, contexts[:1])
+                if spots.max() == len(words) or (words[spots] != hashes).any():
+                    raise RuntimeError("the input was divided into other partitions when it was read again")
                 before = np.concatenate([before, spots[:-1]])
-                asked_keys = pair_keys(hashes, contexts)
+                asked_keys = pair_keys(hashes, contexts_of(contexts))
                 places = np.searchsorted(keys[:seen], asked_keys)
                 trained = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
                 alone = np.repeat(np.where(trained, 1 - hyper.d1, 0.0), n)
