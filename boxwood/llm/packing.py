@@ -9,13 +9,14 @@ problem, each with its own random numbers and population:
 * a chromosome is a list of bins (groups of pieces);
 * crossover injects whole well-filled bins of one parent into the other,
   dissolves the other's bins that hold one of the injected pieces, and puts
-  the displaced pieces back by best fit, largest first;
+  the displaced pieces back: in exchange for smaller pieces of bins that they
+  fill better, then by best fit, largest first;
 * mutation dissolves some of the least filled bins in the same way;
 * after every epoch the island's best chromosome goes to the next island of
   the ring, which takes it into its population.
 
-An island stops as soon as its best chromosome has as few bins as the sum of
-lengths allows. Islands of an epoch are tasks of a Spark job; between epochs
+An island stops as soon as its best chromosome has as few bins as the lengths
+allow; the first chromosome, by best fit alone, often has, then nothing is left to evolve. Islands of an epoch are tasks of a Spark job; between epochs
 they live in a table in the shared folder.
 """
 
@@ -25,6 +26,7 @@ import json
 import random
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import durable, n_partitions, table
+from boxwood.llm.common import durable, n_partitions, quoted, table
 
 #: Chunks of text whose ids a task remembers: about 60 MB.
 _CACHE = 200_000
 
 
 def _byte_of() -> dict[str, int]:
-    """The code points by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
+    """The code points by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -161,7 +163,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=[id_col, "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    return df.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 # --- the genetic algorithm, on one problem -------------------------------------------------
@@ -211,10 +213,63 @@ def fitness(sizes: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
     return -len(bins), sum(((capacity - r) / capacity) ** 2 for r in rooms(sizes, bins, capacity))
 
 
-def cross(sizes: list[int], one: Bins, other: Bins, capacity: int, rng: random.Random, well: float = 0.98) -> Bins:
-    """other's well-filled bins (a random half of them) go into one whole; one's bins that share a piece with them dissolve."""
-    good = [b for b, r in zip(other, rooms(sizes, other, capacity), strict=True) if r <= (1 - well) * capacity]
-    injected = [list(b) for b in good if rng.random() < 0.5]
+def settle(sizes: list[int], displaced: list[int], bins: Bins, room: list[int], capacity: int, rng: random.Random, tries: int = 12) -> None:
+    """Puts displaced pieces back: first in exchange for one or two smaller pieces of a bin that they fill better, then by best fit.
+
+    After an exchange the displaced pieces are smaller than before, so they fit more gaps.
+    """
+    out = sorted((sizes[i], i) for i in displaced)
+    order = [b for b, r in enumerate(room) if r and bins[b]]
+    rng.shuffle(order)
+    for b in order:
+        if not out:
+            break
+        own, r = bins[b], room[b]
+        leaving = [(sizes[i], (i,)) for i in own] + [(sizes[i] + sizes[j], (i, j)) for x, i in enumerate(own[:4]) for j in own[x + 1 : 4]]
+        best, least = None, 0
+        for size, gone in leaving:
+            limit = size + r
+            at = bisect_right(out, (limit, len(sizes))) - 1
+            if at >= 0 and out[at][0] - size > least:
+                least, best = out[at][0] - size, (gone, (at,))
+            for _ in range(tries if len(out) > 1 else 0):
+                one = rng.randrange(len(out))
+                two = bisect_right(out, (limit - out[one][0], len(sizes))) - 1
+                two -= two == one
+                if two >= 0 and out[one][0] + out[two][0] - size > least:
+                    least, best = out[one][0] + out[two][0] - size, (gone, (one, two))
+            if least == r:
+                break
+        if best:
+            gone, places = best
+            come = [out.pop(at)[1] for at in sorted(places, reverse=True)]
+            bins[b] = [i for i in own if i not in gone] + come
+            room[b] = r - least
+            for i in gone:
+                insort(out, (sizes[i], i))
+    best_fit(sizes, [i for _, i in out], bins, room, capacity)
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs at least: by the sum; by pieces of which at most k go into one; and by large pieces, whose bins have only so much room for the middling ones."""
+    ordered = np.sort(np.array(sizes, dtype=np.int64))[::-1]
+    out = -(-int(ordered.sum()) // capacity)
+    for k in range(1, 9):
+        out = max(out, -(-int((ordered * (k + 1) > capacity).sum()) // k))
+    sums = np.append(0, np.cumsum(ordered))
+    upto = lambda limit: int(np.searchsorted(-ordered, -limit, side="left"))  # noqa: E731  pieces larger than limit
+    half = upto(capacity // 2)
+    for at in np.unique(ordered[ordered <= capacity // 2]).tolist():
+        alone, rest = upto(capacity - at), upto(at - 1)
+        out = max(out, half + -(-max(0, int(sums[rest] - sums[half]) - ((half - alone) * capacity - int(sums[half] - sums[alone]))) // capacity))
+    return out
+
+
+def cross(sizes: list[int], one: Bins, other: Bins, capacity: int, rng: random.Random) -> Bins:
+    """other's well-filled bins (a random half of the fuller half) go into one whole; one's bins that share a piece with them dissolve."""
+    fills = rooms(sizes, other, capacity)
+    bar = sorted(fills)[len(fills) // 2]
+    injected = [list(b) for b, r in zip(other, fills, strict=True) if r <= bar and rng.random() < 0.5]
     inside = {i for b in injected for i in b}
     kept, displaced = [], []
     for b in one:
@@ -223,7 +278,7 @@ def cross(sizes: list[int], one: Bins, other: Bins, capacity: int, rng: random.R
         else:
             displaced += [i for i in b if i not in inside]
     bins = injected + kept
-    best_fit(sizes, displaced, bins, rooms(sizes, bins, capacity), capacity)
+    settle(sizes, displaced, bins, rooms(sizes, bins, capacity), capacity, rng)
     return bins
 
 
@@ -233,13 +288,13 @@ def mutate(sizes: list[int], bins: Bins, capacity: int, rng: random.Random) -> B
     gone = set(order[: max(1, len(bins) // 50)]) | {b for b in range(len(bins)) if rng.random() < 0.02}
     kept = [list(b) for k, b in enumerate(bins) if k not in gone]
     displaced = [i for k in gone for i in bins[k]]
-    best_fit(sizes, displaced, kept, rooms(sizes, kept, capacity), capacity)
+    settle(sizes, displaced, kept, rooms(sizes, kept, capacity), capacity, rng)
     return kept
 
 
-def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], generations: int, population: int) -> Bins:
-    """The best chromosome of an island after some generations, begun from the elites that it has been sent."""
-    least = -(-sum(sizes) // capacity)
+def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], generations: int, population: int, stall: int = 25) -> Bins:
+    """The best chromosome of an island after some generations, begun from the elites that it has been sent. An island that got no fuller for ``stall`` generations rests."""
+    least = least_bins(sizes, capacity)
     rng = random.Random(seed)
     people = [[list(b) for b in x] for x in elites]
     if not people:
@@ -254,21 +309,26 @@ def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], gener
         bins = []
         best_fit(sizes, first, bins, [], capacity)
         chosen = set(first)
-        best_fit(sizes, [i for i in range(len(sizes)) if i not in chosen], bins, rooms(sizes, bins, capacity), capacity)
+        settle(sizes, [i for i in range(len(sizes)) if i not in chosen], bins, rooms(sizes, bins, capacity), capacity, rng)
         people.append(bins)
-    key = lambda bins: fitness(sizes, bins, capacity)
-    people.sort(key=key, reverse=True)
+    scored = sorted(((fitness(sizes, x, capacity), x) for x in people), key=lambda p: p[0], reverse=True)
+    since = 0
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if -scored[0][0][0] <= least or since >= stall:
             break
-        one, other = rng.sample(people, 2)
+        (_, one), (_, other) = rng.sample(scored, 2)
         child = cross(sizes, one, other, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(sizes, child, capacity, rng)
-        people.append(child)
-        people.sort(key=key, reverse=True)
-        people.pop()
-    return people[0]
+        since += 1
+        fit = fitness(sizes, child, capacity)
+        if fit > scored[0][0]:
+            since = 0
+        if all(fit != known for known, _ in scored):  # a copy would leave the population without variety
+            scored.append((fit, child))
+            scored.sort(key=lambda p: p[0], reverse=True)
+            scored.pop()
+    return scored[0][1]
 
 
 def _to_array(bins: Bins, n: int) -> np.ndarray:
@@ -285,7 +345,7 @@ def _to_bins(array: np.ndarray) -> Bins:
     return bins
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, problem: int = 16_384, islands: int = 2, epochs: int = 2, generations: int = 6, population: int = 4, seed: int = 0) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, problem: int = 16_384, islands: int = 2, epochs: int = 3, generations: int = 60, population: int = 8, seed: int = 0) -> DataFrame:
     """pieces with sequence_id (long) and offset (long). Every piece lies in one sequence; offsets are gapless from 0.
 
     pieces has a long column length, from 1 to capacity. An empty table gives
@@ -352,8 +412,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, problem: int = 16_384,
 def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **how: int) -> DataFrame:
     """A row for each piece of each row of df: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
-    A null or empty text is one piece with the end id alone. Repeated rows are
-    packed as often as they occur. An empty table gives an empty result.
+    A null or empty text is one piece with the end id alone. A very long text
+    is cut into full pieces, the first of which may be shorter. Repeated rows are
+    packed as often as they occur. Other columns, whatever their names, are not
+    read. An empty table gives an empty result.
     """
     return pack_pieces(tokenize(df, tokenizer, capacity, 0, id_col, text_col, with_ids), capacity, **how)
 

@@ -301,7 +301,7 @@ def test_cross_keeps_pieces():
     one, other = ([], [])
     P.best_fit(sizes, list(range(80)), one, [], 100)
     other = P.evolve(sizes, 100, "s", [], 3, 4)
-    for bins in (P.cross(sizes, one, other, 100, rng, 0.5), P.mutate(sizes, one, 100, rng)):
+    for bins in (P.cross(sizes, one, other, 100, rng), P.mutate(sizes, one, 100, rng)):
         assert sorted(i for b in bins for i in b) == list(range(80)) and min(P.rooms(sizes, bins, 100)) >= 0
 
 
