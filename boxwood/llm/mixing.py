@@ -23,6 +23,7 @@ sizes, so reruns agree.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections import Counter
@@ -31,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import WORD, durable, table
+from boxwood.llm.common import WORD, durable, quoted, table
 
 #: Sources are listed on the driver; a table with more of them has a wrong source column.
 MAX_SOURCES = 100_000
@@ -113,10 +114,10 @@ class Source:
 
 
 def inline_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
-    """A small table from literals: name -> (type, values)."""
-    n = len(next(iter(columns.values()))[1])
-    rows = [F.struct(*(F.lit(values[i]).cast(kind).alias(name) if not isinstance(values[i], list) else F.array(*map(F.lit, values[i])).cast(kind).alias(name) for name, (kind, values) in columns.items())) for i in range(n)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """A small table from one literal: name -> (type, values)."""
+    rows = [dict(zip(columns, values, strict=True)) for values in zip(*(values for _, values in columns.values()), strict=True)]
+    schema = "array<struct<" + ",".join(f"{name}:{kind}" for name, (kind, _) in columns.items()) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def _key(seed: int, epoch: int | Column, id_col: Column, size: Column) -> Column:
@@ -208,7 +209,7 @@ def _place(sources: list[Source], shards: int, blocks: int, seed: int) -> None:
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """_id, _source, _size, _key, and _whole: the row itself, apart from these names."""
-    whole = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_in(F.col(text_col)).alias("_size"), F.struct(*df.columns).alias("_whole"))
+    whole = df.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(source_col)).cast("string").alias("_source"), words_in(F.col(quoted(text_col))).alias("_size"), F.struct(*map(quoted, df.columns)).alias("_whole"))
     return whole.withColumn("_key", _key(seed, 0, F.col("_id"), F.col("_size")))
 
 
@@ -257,7 +258,8 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     A null text has size 0 and is taken with no words; a null source is a
     source of its own and the last one. Rows with a repeated id and equal size are
-    taken together. An empty table gives an empty result.
+    taken together. A very long text is taken whole or not at all. Other columns,
+    whatever their names, pass through (mix) or are not read (mix_plan). An empty table gives an empty result.
     """
     slim = durable(_prepared(df, id_col, text_col, source_col, seed).drop("_whole"))
     out = _apply(slim, _decide(slim, weights, max_epochs, shards, blocks, seed, rounds, near), seed)

@@ -8,7 +8,8 @@ passed over, each name of a chain (``a = b = "x"``) is given the literal, and a
 definition whose line ends after the sign, or after a bracket that follows it,
 goes on in the next line that isn't blank. Names that are given a literal are constants of the document;
 ``b = a`` and ``b = a + "y"`` carry a's literals to b (later definitions
-replace earlier ones, and a chain is followed as it is read). A literal is
+replace earlier ones, a chain is followed as it is read, and a name that isn't defined yet stands for its last definition).
+Triple quotes, ``name <- "x"`` and the first line of a block (``name: |``) are read, too. A literal is
 scored by the words of every name that it reaches and by its own look;
 placeholders and plain words lose points. Spans are code points, end
 exclusive.
@@ -16,20 +17,20 @@ exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boxwood.llm.common import table
+from boxwood.llm.common import quoted, table
 
 #: The patterns of the query contract and the least lengths (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -53,9 +54,13 @@ PLACEHOLDERS = frozenset("changeme password passwd secret token example sample t
 
 THRESHOLD = 5
 
-_SIGN = re.compile(r"[=:]")
+_SIGN = re.compile(r"[=:]|<-")
+#: Marks after which the lines below are the value, and triple quotes.
+_BLOCK = re.compile(r"[|>][+-]?\Z")
+_OPENS_BLOCK = re.compile(r":[ \t]+[|>][+-]?\s*\Z")
+_TRIPLE = ('"""', "'''")
 _TOKEN = re.compile(
-    r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)
+    r"""(?P<string>"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)
     |(?P<comment>\#|//(?!\S{0,256}[=:]))
     |(?P<sign>:=|=>|<-|[=!<>]=+|[=:])
     |(?P<plus>\+|\.\.)
@@ -107,15 +112,25 @@ def literal_points(value: str) -> int:
 def _lines(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of each line that holds an assignment sign, with the lines that it goes on in."""
     at = 0
+    triple = [q for q in _TRIPLE if q in text]
     while m := _SIGN.search(text, at):
         begin = start = text.rfind("\n", at, m.start()) + 1 or at
         at = text.find("\n", m.end()) + 1 or len(text) + 1
+        for q in list(triple):  # a string that is open at the line's end goes on to its closing quotes
+            if text.count(q, start, at - 1) % 2:
+                close = text.find(q, at - 1)
+                if close < 0:
+                    triple.remove(q)
+                else:
+                    begin, at = close, text.find("\n", close) + 1 or len(text) + 1
         while at <= len(text) and _goes_on(text[begin : at - 1]) and (following := _FULL.search(text, at)):
             begin, at = at, text.find("\n", following.end()) + 1 or len(text) + 1
         yield start, at - 1
 
 
 def _goes_on(line: str) -> bool:
+    if _OPENS_BLOCK.search(line):
+        return True
     line = line.rstrip()
     return (line[:-1].rstrip() if line.endswith(("(", "[", "{")) else line).endswith(("=", ":", "=>", "<-"))
 
@@ -136,8 +151,8 @@ def _chained(tokens: list[Token], i: int) -> bool:
 
 
 def _past(tokens: list[Token], i: int) -> int:
-    """The place after line ends, and after opening brackets that end a line, at i."""
-    while i < len(tokens) and (tokens[i][1] == "\n" or (tokens[i][1] in ("(", "[", "{") and i + 1 < len(tokens) and tokens[i + 1][1] == "\n")):
+    """The place after line ends, and after opening brackets or block marks that end a line, at i."""
+    while i < len(tokens) and (tokens[i][1] == "\n" or ((tokens[i][1] in ("(", "[", "{") or _BLOCK.match(tokens[i][1])) and i + 1 < len(tokens) and tokens[i + 1][1] == "\n")):
         i += 1
     return i
 
@@ -164,23 +179,26 @@ def _typed(tokens: list[Token], i: int) -> tuple[int, bool]:
 
 @dataclass
 class Definition:
-    """A name with what it is given: spans of literals, and definitions that it uses, all of which stand before it."""
+    """A name with what it is given: spans of literals, in runs that plus signs join, definitions that it uses, and names that may be defined further on."""
 
     name: str
     spans: list[tuple[int, int]]
     uses: list[Definition]
     points: int = 0
+    runs: list[list[tuple[int, int]]] = field(default_factory=list)
+    later: list[str] = field(default_factory=list)
 
 
 def _value(tokens: list[Token], i: int, known: dict[str, Definition], made: Definition) -> int:
     """Give made the literals and the known names at i, joined by plus signs; the place after them."""
-    joined = True
+    joined, before = True, len(made.spans)
     while i < len(tokens) and joined:
         kind, raw, start, end = tokens[i]
         if kind == "string":
             if _assigns(tokens, i) and (made.spans or made.uses):
                 break
-            made.spans.append((start + 1, end - 1))
+            quotes = 3 if raw[:3] in _TRIPLE and len(raw) >= 6 else 1
+            made.spans.append((start + quotes, end - quotes))
         elif kind == "name" and (raw.strip("${}") in known):
             made.uses.append(known[raw.strip("${}")])
         elif kind in ("bare", "name"):
@@ -191,16 +209,19 @@ def _value(tokens: list[Token], i: int, known: dict[str, Definition], made: Defi
             if i + 1 < len(tokens) and tokens[i + 1][1] == "(" and tokens[i + 1][2] == last:
                 break  # a call's result is unknown
             made.spans.append((start, last))
+            if kind == "name" and last == end:
+                made.later.append(raw.strip("${}"))
         else:
             break
         i += 1
         joined = i < len(tokens) and tokens[i][0] == "plus"
         i += joined
+    made.runs.append(made.spans[before:])
     return i
 
 
 def assignments(text: str) -> list[Definition]:
-    """The definitions in reading order; a name that is used stands for its last definition so far."""
+    """The definitions in reading order; a name that is used stands for its last definition so far, or, if there is none, for the last one of the text."""
     known: dict[str, Definition] = {}
     out = []
     for first, last in _lines(text):
@@ -238,24 +259,38 @@ def assignments(text: str) -> list[Definition]:
                     known[own.name] = own
                 if own.name or own is made and names:
                     out.append(own)
+    for made in out:
+        made.uses += [known[x] for x in made.later if x in known]
     return out
 
 
 def value_spans(text: str, threshold: int = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Literals whose best name and own look reach the threshold together; a name alone or a look alone does not.
+    """Literals whose best name and own look reach the threshold together; a name alone or a look alone does not. Literals that plus signs join are also looked at as one.
 
-    Points go from a definition to those that it uses, last definition first,
-    so the work grows with the text, however names are chained or doubled.
+    Points go from a definition to those that it uses, last definition first;
+    where a name is defined after its use, they go on until none changes. They only
+    rise, by a few steps, so the work grows with the text, however names are chained or doubled.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "<-" not in text:
         return []
     found = set()
-    for made in reversed(assignments(text)):
+    made_all = assignments(text)
+    for made in reversed(made_all):
         made.points = max(made.points, name_points(made.name))
         for used in made.uses:
             used.points = max(used.points, made.points)
+    rising = [made for made in made_all if any(used.points < made.points for used in made.uses)]
+    while rising:
+        made = rising.pop()
+        for used in made.uses:
+            if used.points < made.points:
+                used.points = made.points
+                rising.append(used)
+    for made in made_all:
         if made.points >= 2:
-            found |= {(a, b, "value") for a, b in made.spans if made.points + literal_points(text[a:b]) >= threshold}
+            for run in made.runs:
+                whole = len(run) > 1 and made.points + literal_points("".join(text[a:b] for a, b in run)) >= threshold
+                found |= {(a, b, "value") for a, b in run if b > a and (whole or made.points + literal_points(text[a:b]) >= threshold)}
     return sorted(found)
 
 
@@ -283,17 +318,14 @@ def redact(text: str, found: list[tuple[int, int, str]] | None = None, mark: str
     return "".join(out) + text[at:] if out else text
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
-
-
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """A row for each row of df: id, the columns also, spans array<struct<start,end,kind>> and, if with_text, the redacted text.
 
     A null text is scanned as an empty one (no spans) and stays null in
-    ``redacted``. Repeated rows stay; an empty table gives an empty result.
+    ``redacted``; a very long one is scanned whole. Repeated rows stay. Columns
+    may have any names; those that are neither given nor in also are not read.
+    An empty table gives an empty result.
     """
-    kinds = dict(df.dtypes)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +339,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [*batch.columns[1:], pa.array(spans, span)] + [pa.array(clean, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "spans"] + ["redacted"] * with_text)
 
-    fields = [f"`{c}` {kinds[c]}" for c in (id_col, *also)] + ["spans array<struct<start:bigint,end:bigint,kind:string>>"] + ["redacted string"] * with_text
-    return df.select(F.col(text_col).alias("_text"), *(F.col(c) for c in (id_col, *also))).mapInArrow(scan, ", ".join(fields))
+    held = df.select(F.col(quoted(text_col)).alias("_text"), *map(quoted, (id_col, *also)))
+    found = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
+    return held.mapInArrow(scan, T.StructType([*held.schema.fields[1:], T.StructField("spans", found), *[T.StructField("redacted", T.StringType())] * with_text]))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +350,3 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     base = F.filter("spans", lambda s: s.kind != "value")
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def spans_sha256(spans: list[tuple[int, int, str]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

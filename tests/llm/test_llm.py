@@ -109,11 +109,16 @@ def test_secrets_declarations():
     literal = "Zk83hfLq02ndYw7"
     forms = [
         'const dbPwd: string = "{}"', 'auth_key: str = "{}"', 'val apiSecret: String = "{}"', 'db_pwd: Optional[str] = "{}"', 'let db_pwd: Map<string, string> = "{}";',
-        'static DB_PWD: const char = "{}"', 'dbPwd = x = "{}"', 'dbPwd=x="{}"', 'x = dbPwd = "{}"', 'x = y\ndbPwd = z = "{}"', 'dbPwd =\n    "{}"', 'dbPwd = (\n\n  "{}"\n)', 'db_auth:\n  {}', "const dbPwd: string =\n  '{}'",
+        'static DB_PWD: const char = "{}"', 'dbPwd = x = "{}"', 'dbPwd=x="{}"', 'x = dbPwd = "{}"', 'x = y\ndbPwd = z = "{}"', 'dbPwd =\n    "{}"', 'dbPwd = (\n\n  "{}"\n)', 'db_auth:\n  {}', "const dbPwd: string =\n  '{}'", 'db_auth <- "{}"', 'db_auth = """{}"""', "db_auth = '''\n{}\n'''", "db_pwd: |\n  {}", "db_pwd: >-\n  {}", 'db_auth = HELD\nx = 1\nHELD = "{}"',
     ]
     for form in forms:
         text = form.replace("{}", literal)
         assert literal not in S.redact(text), form
+    halves = S.redact('db_auth = "9fQ2" + "xT7LpZ0a"')
+    assert "9fQ2" not in halves and "xT7LpZ0a" not in halves
+    assert len(S.all_spans("a = b\nb = a\n" * 5000 + "db_auth = b\nb = 'Zk83hfLq02ndYw7'")[1]) >= 1
+    for text in ["a <- 3", "x | y: |", 'k = """ open']:
+        assert S.redact(text) == text
     for text in ["DB_PWD=\nHOST=Zk83hfLq02ndYw7", "auth:\n  host: Zk83hfLq02ndYw7", "a: b, c = 'Zk83hfLq02ndYw7'", "a plain text, token: the next = one"]:
         assert S.redact(text) == text
     for text in ["auth:\n  pwd: Zk83hfLq02ndYw7", "db_pwd: Zk83hfLq02ndYw7 user = 'bob'", "db_pwd=Zk83hfLq02ndYw7="]:
