@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import durable, n_partitions
+from boxwood.llm.common import discard, durable, n_partitions, quoted
 from boxwood.llm.jaccard_join import link_classes
 from boxwood.llm.mixing import mix
 from boxwood.llm.packing import pack
@@ -21,7 +21,7 @@ from boxwood.llm.secret_scans import scan_secrets
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
+    whole = docs.withColumn("_row", F.struct(*map(quoted, docs.columns)))
     return assess(whole, also=("_row",)).filter("kept").select("_row.*")
 
 
@@ -41,12 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select(number, F.struct(F.col("doc_id").isNull(), "doc_id", number).alias("place"))
     least = classes.filter("n_shingles > 0").join(ids, number).groupBy("component_id").agg(F.min("place").alias("place"))
     stays = least.select(F.col("place")[number].alias(number)).unionByName(classes.filter("n_shingles = 0").select(number))
-    return rows.join(stays, number, "left_semi").select(*docs.columns)
+    return rows.join(stays, number, "left_semi").select(*map(quoted, docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the texts, and n_chars is counted anew."""
-    whole = docs.withColumn("_row", F.struct(*(c for c in docs.columns if c != "text")))
+    whole = docs.withColumn("_row", F.struct(*(quoted(c) for c in docs.columns if c != "text")))
     clean = scan_secrets(whole, also=("_row",))
     new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(dict(docs.dtypes)["n_chars"])}
     return clean.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
@@ -72,6 +72,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read = []
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
