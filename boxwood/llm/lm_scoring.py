@@ -34,6 +34,7 @@ holds about three times the (compressed) input at most.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import discard, durable, let_go, mix64, n_partitions, quoted, table
+from boxwood.llm.common import discard, durable, let_go, mix64, quoted, table
 
 EXACT = 64
 _SLICE = 512
@@ -69,6 +70,12 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.concatenate([np.array([END], dtype=np.uint64), hashes[:-1]]), counts
 
 
+def bundles_for(size: int) -> int:
+    """Tasks that words are dealt to, by the bytes of all texts: 16 MB for each; beyond 64 GB more for each, as every partition sends a message to every task."""
+    parts = size / (1 << 24)
+    return max(1, math.ceil(min(parts, 64 * math.sqrt(parts))))
+
+
 def contexts_of(hashes: np.ndarray) -> np.ndarray:
     """48 bits stand for a context, which is a word too; 2 of 10^7 words share them by a chance of a fifth."""
     return hashes >> np.uint64(16)
@@ -148,9 +155,9 @@ def count_pairs(docs: DataFrame, width: int) -> DataFrame:
                 contexts = contexts_of(contexts)
                 parts.append(_merge([(mix64(hashes + mix64(contexts)), hashes, contexts, ~held, held)]))
                 waiting += len(parts[-1][0])
-                if waiting > 4_000_000:
+                if waiting > 2_000_000 + len(parts[0][0]) // 2:
                     parts = [_merge(parts)]
-                    waiting = len(parts[0][0]) // 2
+                    waiting = 0
         if not parts:
             return
         _, words, contexts, counts, held = _merge(parts)
@@ -392,7 +399,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         docs = durable(docs)
     blocks = max(1, docs.rdd.getNumPartitions())
     docs = docs.withColumn("block", F.spark_partition_id())
-    width = max(n_partitions(spark), blocks)  # so that bundles don't grow with the input
+    width = bundles_for(docs.agg(F.sum(F.length("data"))).first()[0] or 0)
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     messages = durable(_step(count_pairs(docs, width), width, lambda target, got: start(target, got, width)))
