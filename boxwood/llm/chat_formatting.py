@@ -9,8 +9,12 @@ does not begin with that for k - 1 turns rewrites history; that is reported
 for the conversation, and its spans are then found in the whole output by
 replacing one text at a time with the probe.
 
-The cost is 2 renderings a turn, so the square of a conversation's length;
-conversations are streamed, and one at a time is held.
+A long conversation is rendered in stretches of ``STRETCH`` turns: the prefixes of a
+stretch begin with the two turns before it, and what they add must be what the
+prefix of the whole conversation up to the stretch's end adds; else the
+stretch is rendered again with all turns before it. So a template that appends
+costs about ``STRETCH`` turns for each turn, and one rendering of the whole prefix for each stretch.
+Conversations are streamed, and one at a time is held.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import n_partitions, table
+from boxwood.llm.common import n_partitions, quoted, table
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -31,6 +35,9 @@ Template = Callable[[list[Turn]], str]
 #: Two code points for private use; a text that holds them is probed with a longer run.
 PROBE = "\ue000\ue001"
 
+#: Turns whose prefixes are rendered without those before, and the turns before that they begin with.
+STRETCH, CONTEXT = 64, 2
+
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -86,30 +93,45 @@ def _probe_for(text: str) -> str:
     return probe
 
 
-def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(output, span of each turn, span of each turn's text, whether the template rewrites history).
-
-    In a rewriting template, a turn's span is that of its text.
-    """
-    before = template([])
-    whole, spans, bodies, rewrites = [], [], [], False
-    for k, (role, text) in enumerate(turns):
-        after = template(turns[: k + 1])
-        if not after.startswith(before):
-            rewrites = True
-            break
+def _added(context: list[Turn], turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]] | None:
+    """What the turns add to the output for the context, with the spans of the turns and of their texts in it; None if an output doesn't begin with the one before."""
+    first = before = template(context)
+    spans, bodies = [], []
+    shown = list(context)
+    for role, text in turns:
         probe = _probe_for(text)
-        probed = template([*turns[:k], (role, probe)])
+        probed, after = template([*shown, (role, probe)]), template([*shown, (role, text)])
         at = probed.find(probe, len(before))
-        if at < 0 or not probed.startswith(before):
-            rewrites = True
-            break
+        if at < 0 or not probed.startswith(before) or not after.startswith(before):
+            return None
         tail = len(probed) - at - len(probe)
         spans.append((len(before), len(after)))
         bodies.append((at, len(after) - tail))
+        shown.append((role, text))
         before = after
-    if not rewrites:
-        return before, spans, bodies, False
+    moved = lambda pairs: [(a - len(first), b - len(first)) for a, b in pairs]
+    return before[len(first) :], moved(spans), moved(bodies)
+
+
+def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """(output, span of each turn, span of each turn's text, whether the template rewrites history).
+
+    In a rewriting template, a turn's span is that of its text.
+    """
+    whole, spans, bodies = template([]), [], []
+    for at in range(0, len(turns), STRETCH):
+        stretch = turns[at : at + STRETCH]
+        after = template(turns[: at + len(stretch)])
+        found = _added(turns[max(0, at - CONTEXT) : at], stretch, template)
+        if found is None or whole + found[0] != after:
+            found = _added(turns[:at], stretch, template) if at > CONTEXT else None
+        if found is None or whole + found[0] != after:
+            break
+        spans += [(a + len(whole), b + len(whole)) for a, b in found[1]]
+        bodies += [(a + len(whole), b + len(whole)) for a, b in found[2]]
+        whole = after
+    else:
+        return whole, spans, bodies, False
     whole = template(turns)
     bodies = []
     for k, (role, text) in enumerate(turns):
@@ -137,11 +159,12 @@ def format_conversations(df: DataFrame, template: Template = inst_template, conv
     Rows are taken by turn, those with equal turns by role, then text;
     repeated rows are turns of their own. A null turn comes first, null roles
     and texts are empty strings, rows without conv_id form one conversation.
-    An empty table gives an empty result. Other columns are not read.
+    Very long texts are formatted whole. An empty table gives an empty result.
+    Other columns, whatever their names, are not read.
     """
     learned = frozenset(learn)
     kind = dict(df.dtypes)[conv_col]
-    rows = df.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = df.select(F.col(quoted(conv_col)).alias("_conv"), F.col(quoted(turn_col)).alias("_turn"), F.coalesce(F.col(quoted(role_col)), F.lit("")).alias("_role"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("_text"))
     rows = rows.repartition(n_partitions(df.sparkSession), "_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text")
 
     def made(done: list[tuple[object, list[Turn]]], ids: pa.DataType) -> pa.RecordBatch:
@@ -171,7 +194,7 @@ def format_conversations(df: DataFrame, template: Template = inst_template, conv
             yield made(done, ids)
 
     span = "array<struct<start:bigint,end:bigint>>"
-    return rows.mapInArrow(run, f"`{conv_col}` {kind}, n_turns bigint, formatted string, loss {span}, spans {span}, rewrites_history boolean")
+    return rows.mapInArrow(run, f"{quoted(conv_col)} {kind}, n_turns bigint, formatted string, loss {span}, spans {span}, rewrites_history boolean")
 
 
 def digest_row(formatted: str, loss: list[tuple[int, int]]) -> tuple[int, str, int, str, int]:

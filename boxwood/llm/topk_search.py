@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import table
+from boxwood.llm.common import durable, quoted, table
 
-BLOCK, BINS = 1024, 1024
+BLOCK, BINS = 2048, 512
 #: Scores of so many cells are held at once in a task.
 _CELLS = 4_000_000
+#: Scaled components beyond this count as this, scores beyond a long as its ends.
+_LARGEST = 1e300
+_ENDS = -(2**63), 2**63 - 1
 
 
 def _vectors(batch: pa.RecordBatch, dim: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +39,11 @@ def _vectors(batch: pa.RecordBatch, dim: int, scale: float) -> tuple[np.ndarray,
     at = np.flatnonzero(lengths == dim)
     starts = np.cumsum(lengths) - lengths
     ids = np.asarray(batch.column(0))[at]
-    return ids, np.floor(scale * flat[starts[at][:, None] + np.arange(dim)])
+    return ids, _whole(scale * flat[starts[at][:, None] + np.arange(dim)])
+
+
+def _whole(scaled: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(scaled), -_LARGEST, _LARGEST)
 
 
 def _product(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -46,7 +53,7 @@ def _product(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     if np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1] < 2.0**53:
         return (vectors @ queries.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], dtype=object)
-    return (whole(vectors) @ whole(queries).T).astype(np.int64)
+    return np.minimum(np.maximum(whole(vectors) @ whole(queries).T, _ENDS[0]), _ENDS[1]).astype(np.int64)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -81,7 +88,7 @@ def _select_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
     high[few] = low[few]  # every row of these queries is in the result
 
     while np.any(high > low):
-        width = np.maximum(1, -((low - high - 1) // BINS))  # (high - low + 1) / BINS, rounded up
+        width = np.maximum(1, ((high.astype(np.float64) - low) / (BINS - 1)).astype(np.int64) + 1)  # in doubles, as the range may pass a long's
         open_at = np.flatnonzero(high > low)
         state = sc.broadcast((open_at, low[open_at], high[open_at], width[open_at]))
 
@@ -91,7 +98,7 @@ def _select_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
             own_ids, vectors = held.value
             for _, scores, use in _scores(batches, own_ids[at], vectors[at], scale):
                 use &= (scores >= low) & (scores <= high)
-                cells = (scores - low) // width + np.arange(len(at)) * BINS
+                cells = ((scores - low).view(np.uint64) // width.astype(np.uint64)).astype(np.int64) + np.arange(len(at)) * BINS  # differences as unsigned numbers don't overflow
                 counts += np.bincount(cells[use], minlength=len(counts))
             cell = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
@@ -105,8 +112,9 @@ def _select_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
         pick = (above >= need[open_at][:, None]).sum(1) - 1
         more = np.where(pick + 1 < BINS, np.take_along_axis(above, np.minimum(pick + 1, BINS - 1)[:, None], 1)[:, 0], 0)
         need[open_at] -= more
-        new_low = low[open_at] + pick * width[open_at]
-        high[open_at] = np.minimum(high[open_at], new_low + width[open_at] - 1)
+        new_low = low[open_at] + pick * width[open_at]  # wraps around where the range passes a long's, and back
+        rest = (high[open_at] - new_low).view(np.uint64)
+        high[open_at] = new_low + np.minimum(rest, (width[open_at] - 1).astype(np.uint64)).view(np.int64)
         low[open_at] = new_low
         state.unpersist()
 
@@ -128,7 +136,10 @@ def _select_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
             ties_q, ties_id = ties_q[few], ties_id[few]
         yield make(ties_q, ties_id, edge.value[ties_q])
 
-    return rows.mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
+    found = durable(rows.mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint"))
+    held.unpersist()
+    edge.unpersist()
+    return found
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block: int = BLOCK) -> DataFrame:
@@ -138,28 +149,30 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", v
     the smaller id; a query with fewer than k candidates gets all of them.
     Vectors that are null, or hold a null or a component that isn't finite,
     and rows without id take no part; vectors of another length than the query's
-    aren't compared with it. Rows with a repeated id are rows of their own,
-    but none is a candidate of a query with that id. Empty tables give an empty result.
+    aren't compared with it. Rows with a repeated id are rows of their own as candidates,
+    but none is a candidate of a query with that id; of query rows that share an
+    id and a length, the one with the smallest vector asks. A score that a long can't hold counts as the
+    least or largest long. Other columns, whatever their names, are not read. Empty tables give an empty result.
     """
     spark = df.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    vector = F.col(quoted(vector_col)).cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), queries.alias("asks")).filter(F.col("vector").isNotNull() & finite)
+    rows = df.filter(F.col(quoted(id_col)).isNotNull() & F.col(quoted(vector_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("id"), vector.alias("vector"), queries.alias("asks")).filter(F.col("vector").isNotNull() & finite)
     asking = rows.filter(F.col("asks")).withColumn("dim", F.size("vector"))
     rows = rows.select("id", "vector")
     out = None
     for dim in [r[0] for r in asking.select("dim").distinct().orderBy("dim").collect()]:
         last = None
-        while True:  # blocks by id; a block holds every row of its last id
+        while True:  # blocks by id
             part = asking.filter(F.col("dim") == dim)
             part = part if last is None else part.filter(F.col("id") > last)
-            got = part.select("id", "vector").orderBy("id").limit(block).collect()
+            got = part.select("id", "vector").orderBy("id", "vector").limit(block).collect()
             if not got:
                 break
             last = got[-1][0]
             got = [r for i, r in enumerate(got) if i == 0 or r[0] != got[i - 1][0]]
             ids = np.array([r[0] for r in got], dtype=np.int64)
-            vectors = np.floor(scale * np.array([r[1] for r in got], dtype=np.float64).reshape(len(got), dim))
+            vectors = _whole(scale * np.array([r[1] for r in got], dtype=np.float64).reshape(len(got), dim))
             found = _select_block(rows, ids, vectors, k, scale)
             out = found if out is None else out.unionByName(found)
     if out is None:
