@@ -34,6 +34,7 @@ def main() -> None:
     runs = {
         "tree_embed_depth8": lambda: build(meshes.mesh_embed(spark, SF_DIR)).leaves,
         "tree_orders_depth8": lambda: build(meshes.mesh_orders(spark, SF_DIR)).leaves,
+        "tree_orders_levels_depth3": lambda: build(meshes.mesh_orders(spark, SF_DIR), max_depth=3, finish_below=0).leaves,
         **{name: (lambda f=catalogue.QUERIES[name]: f(spark, SF_DIR)) for name in ("create_edges", "sah_root_best", "best_plane", "classify_triangles", "tree_text")},
     }
     took = {}

@@ -1,9 +1,9 @@
 """python -m boxwood.cli [options] MESH...: builds a tree over meshes (.obj, .obj.bz2, .blob, .parquet) and writes it.
 
 -h: this help. -n N: threads. -m D: depth, 8 unless set. -o: the tree as text
-on standard output. --to FILE: packed binary. --graphviz, --graphvizAccm: to
-output.dot (Accm: counts summed along paths). --csv, --csv-header: phases' stamps to standard
-error. -v: each split. -q: no report. --rdtsc is taken as --seconds:
+on standard output. --to: packed binary, to kdtree.binary. --graphviz, --graphvizAccm: to
+output.dot (Accm: counts summed along paths). --csv: stamps (microseconds) to standard
+error; --csv-header: the names of their columns, and nothing else. -v: each split. -q: no report. --rdtsc is taken as --seconds:
 microseconds in either case. --superfluous-prescans has no effect. An unknown
 option is reported and passed over.
 """
@@ -11,14 +11,17 @@ option is reported and passed over.
 from __future__ import annotations
 
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
 from boxwood.plans.tree import build
+from boxwood.schema import DEPTH
 from boxwood.sources import meshes, sinks
+from boxwood.timings import csv_header
 
-_FLAGS = {"-h", "-o", "-v", "-q", "--csv", "--csv-header", "--graphviz", "--graphvizAccm", "--seconds", "--rdtsc", "--superfluous-prescans"}
-_VALUES = {"-n", "-m", "--to"}
+_FLAGS = {"-h", "-o", "-v", "-q", "--csv", "--csv-header", "--to", "--graphviz", "--graphvizAccm", "--seconds", "--rdtsc", "--superfluous-prescans"}
+_VALUES = {"-n", "-m"}
 
 
 def parse(args: list[str]) -> tuple[set[str], dict[str, str], list[str], list[str]]:
@@ -46,25 +49,32 @@ def main(args: list[str]) -> int:
     flags, values, paths, unknown = parse(args)
     for x in unknown:
         print(f"unknown option {x}", file=sys.stderr)
+    depth = int(values.get("-m", DEPTH))
+    if "--csv-header" in flags and "-h" not in flags:
+        print(csv_header(depth), file=sys.stderr)
+        return 0
     if "-h" in flags or not paths:
         print(__doc__)
         return 0 if "-h" in flags else 1
+    now = lambda: time.perf_counter_ns() // 1000
+    began = now()
     spark = SparkSession.builder.master(f"local[{values.get('-n', 1)}]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    tree = build(meshes.load(spark, paths), max_depth=int(values.get("-m", 8)), superfluous_prescans="--superfluous-prescans" in flags)
+    boxes = meshes.load(spark, paths)
+    loaded = now()
+    tree = build(boxes, max_depth=depth, superfluous_prescans="--superfluous-prescans" in flags)
+    built = now()
     if "-o" in flags:
         for r in sinks.tree_text(tree).orderBy("ord").toLocalIterator():
             print(r["line"])
-    if "--to" in values:
-        sinks.write_manta(tree, values["--to"])
+    if "--to" in flags:
+        sinks.write_manta(tree, "kdtree.binary")
     if flags & {"--graphviz", "--graphvizAccm"}:
         sinks.write_graphviz(tree, "output.dot", "--graphvizAccm" in flags)
     if "-v" in flags:
         for r in sinks.split_trace(tree).orderBy("level", "node").toLocalIterator():
             print(f"{r['level']} [@ {r['t']} {r['axis']} {r['edge']} {r['tri']}: {r['na']}:{r['nb']} = {r['sah']}", file=sys.stderr)
-    if "--csv-header" in flags:
-        print(tree.timings.csv_header(), file=sys.stderr)
     if "--csv" in flags:
-        print(tree.timings.csv_row(), file=sys.stderr)
+        print(tree.timings.csv_row(depth, int(values.get("-n", 1)), began, loaded, loaded, built), file=sys.stderr)
     if not flags & {"-q", "--csv"}:
         for r in tree.timings.report().collect():
             print(f"{r['phase']}: {r['times']} x {r['mean_us']:.0f} us", file=sys.stderr)

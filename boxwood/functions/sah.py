@@ -60,8 +60,3 @@ def plane_cost(na: Column, nb: Column, pos: Column, terms: dict[str, Column], co
         .otherwise(step + box * (left * a + right * b))
     )
     return F.when(inv.isNotNull(), F.when((pos < lo) | (pos > hi), f32(FLT_MAX)).otherwise(inside)).cast("float")
-
-
-def sah_cost(axis: Column, na: Column, nb: Column, pos: Column, costs: Costs = Costs(), extent: tuple[str, ...] = EXTENT) -> Column:
-    """plane_cost from the columns of the node's extent, all in one expression."""
-    return plane_cost(na, nb, pos, axis_terms(axis, extent), costs)

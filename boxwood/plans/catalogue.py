@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from boxwood.operators import edges as E
 from boxwood.operators import planes as P
 from boxwood.operators import split as S
+from boxwood.operators.ordering import running
 from boxwood.plans import sql as Q
 from boxwood.plans.tree import Tree, build, mesh_extent, normalized, root_node
 from boxwood.schema import BOUNDS, DEPTH, EXTENT
 from boxwood.sources import meshes as M
 from boxwood.sources import sinks as K
-from boxwood.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,13 +118,8 @@ def _(spark, d):
 
 @query("triangles_by_x", ROOT0 + " SELECT tri, x0, row_number() OVER (ORDER BY x0, tri) - 1 AS pos FROM mesh")
 def _(spark, d):
-    # One order over all rows: the range partitions are counted, and numbers start from the counts of those before.
-    rows = Root(spark, d).mesh.select("tri", "x0").repartitionByRange("x0", "tri").sortWithinPartitions("x0", "tri")
-    rows = written(rows.withColumn("p", F.spark_partition_id()))
-    sizes = rows.groupBy("p").count()
-    first = sizes.select("p", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    at = F.row_number().over(Window.partitionBy("p").orderBy("x0", "tri")) - 1
-    return rows.withColumn("i", at).join(F.broadcast(first), "p").select("tri", "x0", (F.col("first") + F.col("i")).cast("bigint").alias("pos"))
+    rows = Root(spark, d).mesh.select("tri", "x0")
+    return running(rows, ["x0", "tri"], {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
 
 
 _RUNS = EDGES0 + ", a AS (SELECT t, tri, et FROM e WHERE axis = 0 AND tri % 2 = 0), b AS (SELECT t, tri, et FROM e WHERE axis = 0 AND tri % 2 = 1) "
@@ -138,8 +133,7 @@ def _two_runs(spark, d):
 @query("merge_sorted_runs", _RUNS + "SELECT t, tri, et, row_number() OVER (ORDER BY t, tri, et) - 1 AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def _(spark, d):
     a, b = _two_runs(spark, d)
-    both = a.unionByName(b)
-    return both.select("t", "tri", "et", (F.row_number().over(Window.orderBy("t", "tri", "et")) - 1).cast("bigint").alias("pos"))
+    return running(a.unionByName(b), ["t", "tri", "et"], {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
 
 
 @query("merge_split_rank", _RUNS + "SELECT a.tri, a.et, (SELECT count(*) FROM b WHERE b.t <= a.t) AS rank FROM a")
@@ -147,8 +141,7 @@ def _(spark, d):
     # The upper bound of each edge of one run in the other: a running count over the merged order, in place of a range join.
     a, b = _two_runs(spark, d)
     both = a.withColumn("run", F.lit(1)).unionByName(b.withColumn("run", F.lit(0)))
-    upto = Window.orderBy("t", "run").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = both.withColumn("rank", F.count_if(F.col("run") == 0).over(upto))
+    ranked = running(both, ["t", "run", "tri", "et"], {"rank": 1 - F.col("run")})
     return ranked.filter("run = 1").select("tri", "et", "rank")
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import f32
-from boxwood.schema import BOUNDS, BOXES
+from boxwood.operators.ordering import running
+from boxwood.schema import BOUNDS, BOXES, FLT_MAX
+from boxwood.storage import written
 
 VERTEX = tuple(f"v{k}{c}" for k in range(3) for c in "xyz")
 #: Fixed value: the layout of a packed triangle: min, max and three corners, little-endian float32.
@@ -32,7 +35,9 @@ def obj_tokens(lines: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
     """Contiguous numbers from 0 within each file, by line."""
-    return rows.withColumn(name, (F.row_number().over(Window.partitionBy("file_id").orderBy("line_no")) - 1).cast("bigint"))
+    numbered = running(rows, ["file_id", "line_no"], {name: F.lit(1)})
+    first = numbered.groupBy("file_id").agg(F.min(name).alias("_first"))
+    return numbered.join(F.broadcast(first), "file_id").withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def obj_tables(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,36 +72,47 @@ def triangle_bounds(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{c}{k}": g(*(F.col(f"v{i}{c}") for i in range(3))).cast("float") for c in "xyz" for k, g in ((0, F.least), (1, F.greatest))})
 
 
-def read_obj(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Boxes of OBJ files (plain or .bz2), one after another; a path that is missing is an error.
-
-    A file is read in one piece, so that its lines are in order; faces point
-    into their own file.
-    """
+def _obj_tables_of(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of OBJ files. Splits of a file are read by several tasks; a line's place is that of its split, then its own in it."""
     parts = None
     for i, path in enumerate(paths):
-        lines = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+        place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        lines = spark.read.text(path).select(F.lit(i).alias("file_id"), place.alias("line_no"), F.col("value").alias("line"))
         parts = lines if parts is None else parts.unionByName(lines)
-    vertices, faces = obj_tables(obj_tokens(parts))
-    return concatenated(face_boxes(vertices, faces))
+    return obj_tables(obj_tokens(parts))
+
+
+def read_obj(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Boxes of OBJ files (plain or .bz2), one after another; a path that is missing is an error. Faces point into their own file."""
+    return concatenated(face_boxes(*_obj_tables_of(spark, paths)))
 
 
-def concatenated(boxes: DataFrame) -> DataFrame:
+def read_obj_triangles(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As read_obj, with the corners v0x to v2z, too."""
+    return concatenated(triangle_bounds(face_corners(*_obj_tables_of(spark, paths))), (*BOUNDS, *VERTEX))
+
+
+def concatenated(boxes: DataFrame, columns: tuple[str, ...] = BOUNDS) -> DataFrame:
     """Boxes with file_id and fid, numbered through: a file's ids follow those of the files before."""
     sizes = boxes.groupBy("file_id").agg((F.max("fid") + 1).alias("size"))
     first = sizes.withColumn("first", F.coalesce(F.sum("size").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return boxes.join(F.broadcast(first), "file_id").select((F.col("fid") + F.col("first")).alias("tri"), *BOUNDS)
+    return boxes.join(F.broadcast(first), "file_id").select((F.col("fid") + F.col("first")).alias("tri"), *columns)
+
 
+#: A packed triangle's numbers among the columns of bounds and corners: lows, highs, corners.
+_PACKED = [0, 2, 4, 1, 3, 5, *range(6, BLOB_FLOATS)]
 
-def pack_blob(rows: list[tuple]) -> bytes:
-    """Bytes of triangles (tri, bounds, corners), in the order of their ids: the number, the triangles, the extent."""
-    data = np.array([r[1:] for r in sorted(rows)], dtype="<f4").reshape(-1, BLOB_FLOATS)
-    low_high = data[:, [0, 2, 4, 1, 3, 5, *range(6, 15)]]
-    if len(data):
-        box = np.concatenate([low_high[:, :3].min(0), low_high[:, 3:6].max(0)])
-    else:
-        box = np.array([3.4028234663852886e38] * 3 + [-3.4028234663852886e38] * 3)
-    return struct.pack("<i", len(data)) + low_high.astype("<f4").tobytes() + box.astype("<f4").tobytes()
+
+def pack_blob(triangles: Iterable[tuple], n: int) -> Iterator[bytes]:
+    """Bytes of n triangles (tri, bounds, corners) as they come: the number, the triangles, the extent."""
+    low, high = np.full(3, FLT_MAX, dtype="<f4"), np.full(3, -FLT_MAX, dtype="<f4")
+    yield struct.pack("<i", n)
+    rest = iter(triangles)
+    while some := list(islice(rest, 4096)):
+        data = np.array([r[1:] for r in some], dtype="<f4").reshape(-1, BLOB_FLOATS)[:, _PACKED]
+        low, high = np.minimum(low, data[:, :3].min(0)), np.maximum(high, data[:, 3:6].max(0))
+        yield data.astype("<f4").tobytes()
+    yield low.tobytes() + high.tobytes()
 
 
 def read_blob(spark: SparkSession, path: str) -> DataFrame:
@@ -116,10 +132,10 @@ def read_blob(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_blob(triangles: DataFrame, path: str) -> None:
-    """A packed mesh is one file with its number of triangles first; the driver writes it. Parquet is the format for large meshes."""
-    rows = [tuple(r) for r in triangles.select("tri", *BOUNDS, *VERTEX).toLocalIterator()]
+    """A packed mesh is one file with its number of triangles first; the driver writes it, a partition at a time. Parquet is the format for large meshes."""
+    triangles = written(triangles.select("tri", *BOUNDS, *VERTEX))
     with open(path, "wb") as f:
-        f.write(pack_blob(rows))
+        f.writelines(pack_blob(triangles.orderBy("tri").toLocalIterator(), triangles.count()))
 
 
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -165,12 +181,6 @@ def mesh_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("bigint").alias("tri"), *(c.cast("float").alias(n) for c, n in zip(ends, BOUNDS, strict=True)))
 
 
-def mesh_line_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    columns = (("x", "l_quantity"), ("y", "l_extendedprice"), ("z", "l_discount"))
-    return li.groupBy(F.col("l_orderkey").cast("bigint").alias("tri")).agg(*(g(F.col(c).cast("float")).alias(f"{a}{k}") for a, c in columns for k, g in ((0, F.min), (1, F.max))))
-
-
 def obj_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, line_no, line: the embedding triangles written as OBJ, three vertices and a face each, in two files."""
     rows = embed_corners(spark, sf_dir).withColumn("file_id", (F.col("tri") % 2).cast("int"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxwood.operators.ordering import running
 from boxwood.plans.tree import Tree
 
 
@@ -27,17 +28,17 @@ def leaf_lists(tree: Tree) -> DataFrame:
 
 def tree_text(tree: Tree) -> DataFrame:
     """ord (from 0), line: the ascending ids of each leaf that isn't empty, a space after each, leaves in preorder."""
-    order = Window.orderBy(preorder_key(tree.max_depth), "depth")
-    rows = _lists(tree).withColumn("ord", (F.row_number().over(order) - 1).cast("bigint"))
+    lists = _lists(tree)
+    places = running(tree.nodes.filter("is_leaf and n > 0").select("node", "depth", preorder_key(tree.max_depth).alias("_key")), ["_key", "depth"], {"ord": F.lit(1)})
+    rows = lists.join(places.select("node", (F.col("ord") - 1).alias("ord")), "node")
     return rows.select("ord", F.concat_ws("", F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(" ")))).alias("line"))
 
 
 def _numbered(tree: Tree) -> DataFrame:
     """All nodes with preorder rank among split nodes, index in the packed tree, and their own number of items."""
-    order = Window.orderBy(preorder_key(tree.max_depth), "depth")
     split = F.when(~F.col("is_leaf"), F.lit(1)).otherwise(F.lit(0))
     size = F.when(F.col("is_leaf"), F.col("n")).otherwise(F.lit(0))
-    rows = tree.nodes.withColumns({"rank": F.sum(split).over(order), "offset": F.sum(size).over(order) - size})
+    rows = running(tree.nodes.withColumn("_key", preorder_key(tree.max_depth)), ["_key", "depth"], {"rank": split, "offset": size}).withColumn("offset", F.col("offset") - size)
     # A split node's children stand next to each other, in the order in which split nodes are met.
     parents = rows.filter("not is_leaf").select(F.col("node").alias("parent"), (F.col("rank") * 2 - 1).alias("first"))
     placed = rows.withColumn("parent", F.expr("shiftright(node, 1)")).join(parents, "parent", "left")
@@ -84,11 +85,6 @@ def split_trace(tree: Tree) -> DataFrame:
     return tree.splits.join(level, "node").select("level", "node", F.element_at(F.array(*map(F.lit, "xyz")), F.col("axis") + 1).alias("axis"), F.when(F.col("et") == 0, "STR").otherwise("END").alias("edge"), "t", "tri", "na", "nb", "sah")
 
 
-def format_box(low: tuple[str, str, str] = ("lx", "ly", "lz"), high: tuple[str, str, str] = ("hx", "hy", "hz")) -> Column:
-    """[a,b]x[c,d]x[e,f]"""
-    return F.concat_ws("x", *(F.format_string("[%s,%s]", a, b) for a, b in zip(low, high, strict=True)))
-
-
 def write_text(tree: Tree, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         for r in tree_text(tree).orderBy("ord").toLocalIterator():
@@ -108,11 +104,11 @@ def write_manta(tree: Tree, path: str) -> None:
 
 
 def write_graphviz(tree: Tree, path: str, path_counts: bool = False) -> None:
-    counts = {r["node"]: r["path_n"] for r in tree_path_counts(tree).toLocalIterator()} if path_counts else {}
+    counts = tree_path_counts(tree).select("node", F.col("path_n").alias("shown")) if path_counts else tree.nodes.select("node", F.col("n").alias("shown"))
     with open(path, "w", encoding="utf-8") as f:
         f.write("digraph tree {\n")
-        for r in tree.nodes.orderBy("node").toLocalIterator():
-            f.write(f'  n{r["node"]} [label="{r["depth"]}: {counts.get(r["node"], r["n"])}"];\n')
+        for r in tree.nodes.join(counts, "node").orderBy("node").toLocalIterator():
+            f.write(f'  n{r["node"]} [label="{r["depth"]}: {r["shown"]}"];\n')
             if r["node"] > 1:
                 f.write(f"  n{r['node'] >> 1} -> n{r['node']};\n")
         f.write("}\n")

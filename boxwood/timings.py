@@ -32,8 +32,23 @@ class Timings:
         took = F.col("end_us") - F.col("start_us")
         return self.table().groupBy("phase").agg(F.count("*").alias("times"), F.sum(took).alias("total_us"), F.avg(took).alias("mean_us")).orderBy("phase")
 
-    def csv_header(self) -> str:
-        return ",".join(f"{name}{'' if level is None else f'_{level}'}_{edge}" for level, name, _, _ in self.rows for edge in ("start", "end"))
+    def csv_row(self, max_depth: int, *stamps: int) -> str:
+        """stamps (threads and those around the build), then each phase's, empty where it didn't take place; of a phase that took place more than once, the first start and the last end."""
+        spans: dict[str, tuple[int, int]] = {}
+        for level, name, start, end in self.rows:
+            key = f"{name}_{level}" if name in LEVEL_PHASES else name
+            spans[key] = (min(start, spans.get(key, (start,))[0]), end)
+        return ",".join(map(str, [*stamps, *(x for key in _phases(max_depth) for x in spans.get(key, ("", "")))]))
 
-    def csv_row(self) -> str:
-        return ",".join(f"{a},{b}" for _, _, a, b in self.rows)
+
+#: The names of the columns before those of the phases, and of the phases of a level.
+CSV_COLUMNS = ("Threads", "Start time", "Mesh load finish time", "Build start time", "Build finish time")
+LEVEL_PHASES = ("findBestPlane", "newGen", "classifyTriangles")
+
+
+def _phases(max_depth: int) -> list[str]:
+    return ["init_extent", *(f"{name}_{level}" for name in LEVEL_PHASES for level in range(max_depth)), "finish", "fill"]
+
+
+def csv_header(max_depth: int) -> str:
+    return ",".join([*CSV_COLUMNS, *(f"{name}_{edge}" for name in _phases(max_depth) for edge in ("start", "end"))])
