@@ -15,7 +15,8 @@ similarity of their sets reaches the threshold; classes are connected by links.
    Only shingles that begin sets of several classes count. Nodes that share
    such shingles stand together in the order of their min-hashes over them;
    ``GROUP`` in a row are a group, and the matrix has the union of their beginnings. Where a class shares
-   enough shingles with a group's union, apart from those that only the class itself has there, its nodes visit the group.
+   enough shingles with a group's union, apart from those that only the class itself has there, those
+   of its nodes that hold enough of them visit the group.
 4. A visited group is opened in two steps: posting lists of the members'
    beginnings tell which members and queries share enough; of these alone the
    whole sets are read, again as posting lists: the bound on the overlap of
@@ -525,13 +526,49 @@ def _candidates(nodes: DataFrame, entries: DataFrame, labels: DataFrame | None,
     asking = grouped.select("class", "n", F.explode(F.concat("inner", "outer")).alias("shingle"))
     asking = asking.groupBy("shingle", "class").agg(F.min("n").alias("_small"), F.max("n").alias("_large"))
     met = asking.join(matrix, "shingle").filter("(_low <> class or _high <> class) and _least <= _large").filter(F.col("_most") >= _sql_least("_small", threshold))
-    visits = met.groupBy("group", "class").agg(F.count("*").alias("_met"), F.min("_small").alias("_small")).filter(F.col("_met") >= _sql_level("_small", threshold))
-    visits = durable(visits.select("group", "class"))
-    members = grouped.join(visits.select("group").distinct(), "group", "left_semi").select("group", "node", "class", "n", "inner", "outer")
-    queries = grouped.drop("group").join(visits, "class").select(*members.columns)
+    visits = met.groupBy("group", "class").agg(F.count("*").alias("_met"), F.min("_small").alias("_small"), F.collect_list("shingle").alias("tokens")).filter(F.col("_met") >= _sql_level("_small", threshold))
+    visits = durable(visits.select("group", "class", "tokens"))
+    queries = durable(_visitors(grouped, visits, threshold))
+    members = grouped.join(queries.select("group").distinct(), "group", "left_semi").select(*queries.columns)
     return durable(descend(deal(members, queries), threshold))
 
 
+def _visitors(grouped: DataFrame, visits: DataFrame, threshold: Threshold) -> DataFrame:
+    """group, node, class, n, inner, outer: of each class that visits groups, the nodes that hold enough of the tokens that it shares with the group.
+
+    The nodes of a large class are dealt to several parts, each of which gets the class's visits.
+    """
+    parts = grouped.groupBy("class").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts"))
+    shown = visits.join(parts, "class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    shown = shown.select("class", "part", F.lit(0).alias("asks"), F.col("group").alias("id"), F.lit(0).cast("bigint").alias("n"), F.col("tokens").alias("inner"), F.array().cast("array<bigint>").alias("outer"))
+    asking = grouped.join(visits.select("class").distinct(), "class", "left_semi").join(parts, "class")
+    asking = asking.select("class", F.pmod(F.xxhash64("node"), F.col("_parts").cast("bigint")).cast("int").alias("part"), F.lit(1).alias("asks"), F.col("node").alias("id"), "n", "inner", "outer")
+    rows = shown.unionByName(asking).repartition(n_partitions(grouped.sparkSession), "class", "part").sortWithinPartitions("class", "part", "asks", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, groups, waiting, held = None, None, [], []
+        for batch in batches:
+            rows, found = [], []
+            inner, outer = (_lists(batch.column(k)) for k in (5, 6))
+            for k, (own, part, asks, i, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True)):
+                if (own, part) != at:
+                    at, groups, waiting, held = (own, part), None, [], []
+                if not asks:
+                    waiting.append(inner[k])
+                    held.append(i)
+                    continue
+                groups = groups or Postings(waiting)
+                tokens = np.concatenate([inner[k], outer[k]])
+                enough = np.flatnonzero(groups.shared(groups.places(tokens)) >= threshold.level(threshold.least(n)))
+                rows += [k] * len(enough)
+                found += [held[j] for j in enough.tolist()]
+            kept = batch.take(pa.array(rows, pa.int64()))
+            columns = [pa.array(found, pa.int64()), *(kept.column(j) for j in (3, 0, 4, 5, 6))]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "node", "class", "n", "inner", "outer"])
+
+    return rows.mapInArrow(run, "group bigint, node bigint, class bigint, n bigint, inner array<bigint>, outer array<bigint>")
+
+
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row for each row of df: id, n_shingles, component_id (the smallest id of the row's class).
 
