@@ -77,7 +77,7 @@ class Encoder:
     between such spaces, and the ids of common chunks are remembered.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -148,7 +148,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, encode_special_tokens=False)
+        encoder = Encoder(tokenizer)
         for batch in batches:
             at, columns = [], [[], [], [], [], []]
             for row, text in enumerate(batch.column(1).to_pylist()):
