@@ -378,8 +378,11 @@ class Group(Postings):
 
 
 def deal(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """members and queries as rows (group, part, asks, and their other columns). A group that many queries visit is opened in several parts, each with some of them."""
-    parts = queries.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts"))
+    """members and queries as rows (group, part, asks, and their other columns). A group that many queries visit is opened in several parts, each with some of them.
+
+    The numbers of parts are written first, so that Spark can split the join at a group that many queries visit.
+    """
+    parts = durable(queries.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts")))
     opened = members.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     asking = queries.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts").cast("long")).cast("int"))
     return opened.withColumn("asks", F.lit(0)).unionByName(asking.withColumn("asks", F.lit(1))).drop("_parts")
@@ -538,7 +541,7 @@ def _visitors(grouped: DataFrame, visits: DataFrame, threshold: Threshold) -> Da
 
     The nodes of a large class are dealt to several parts, each of which gets the class's visits.
     """
-    parts = grouped.groupBy("class").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts"))
+    parts = durable(grouped.groupBy("class").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_parts")))
     shown = visits.join(parts, "class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     shown = shown.select("class", "part", F.lit(0).alias("asks"), F.col("group").alias("id"), F.lit(0).cast("bigint").alias("n"), F.col("tokens").alias("inner"), F.array().cast("array<bigint>").alias("outer"))
     asking = grouped.join(visits.select("class").distinct(), "class", "left_semi").join(parts, "class")
