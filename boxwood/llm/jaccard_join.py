@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import durable, mix64, n_partitions, quoted, table
+from boxwood.llm.common import discard, durable, mix64, n_partitions, quoted, table
 
 #: Shared shingles that make a candidate; fewer for sets that are smaller.
 LEVEL = 3
@@ -161,8 +161,8 @@ def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], rank[order]
 
 
-def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """nodes: node, n, h0 to h3, share (of frequent shingles); entries: shingle, node, indexed, of the shingles that begin two nodes or more.
+def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written table of both, and of it nodes: node, n, h0 to h3, share (of frequent shingles); entries: shingle, node, indexed, of the shingles that begin two nodes or more.
 
     A task packs its entries by the task that a shingle goes to, and sends
     them with its nodes; there, repeated nodes and lone shingles go.
@@ -245,7 +245,7 @@ def describe(docs: DataFrame, width: int, threshold: Threshold, hot: tuple[np.nd
 
     sent = docs.mapInArrow(send, "target int, rows binary, share binary, shingle binary, node binary, indexed binary").repartitionById(parts, F.col("target"))
     found = durable(sent.mapInArrow(reduce, ", ".join(f"{c} bigint" for c in plain) + ", share double, shingle bigint, indexed boolean"))
-    return found.filter(F.col("shingle").isNull()).select(*plain, "share"), found.filter(F.col("shingle").isNotNull()).select("shingle", "node", "indexed")
+    return found, found.filter(F.col("shingle").isNull()).select(*plain, "share"), found.filter(F.col("shingle").isNotNull()).select("shingle", "node", "indexed")
 
 
 def bloom_of(nodes: DataFrame) -> np.ndarray:
@@ -464,13 +464,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        new = labels.select("node", "class").join(near, "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
         new = durable(new.join(jump, "class").select("node", "old", F.least("class", "further").alias("class")))
         done = new.filter(F.col("old") != F.col("class")).isEmpty()
-        labels = new.select("node", "class")
+        discard(labels)
         if done:
-            return labels
+            discard(both)
+            return new.select("node", "class")
+        labels = new
 
 
 def _class(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -532,8 +534,11 @@ def _candidates(nodes: DataFrame, entries: DataFrame, labels: DataFrame | None,
     visits = met.groupBy("group", "class").agg(F.count("*").alias("_met"), F.min("_small").alias("_small"), F.collect_list("shingle").alias("tokens")).filter(F.col("_met") >= _sql_level("_small", threshold))
     visits = durable(visits.select("group", "class", "tokens"))
     queries = durable(_visitors(grouped, visits, threshold))
+    discard(several, packed, visits)
     members = grouped.join(queries.select("group").distinct(), "group", "left_semi").select(*queries.columns)
-    return durable(descend(deal(members, queries), threshold))
+    out = durable(descend(deal(members, queries), threshold))
+    discard(grouped, queries)
+    return out
 
 
 def _visitors(grouped: DataFrame, visits: DataFrame, threshold: Threshold) -> DataFrame:
@@ -588,7 +593,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_name).alias("_id"), F.col(text_name).cast("binary").alias("data"))
     surveyed = durable(survey(docs, "_id", width))
     texts = docs.select("data")
-    nodes, entries = describe(texts, width, threshold, frequent(surveyed))
+    found, nodes, entries = describe(texts, width, threshold, frequent(surveyed))
 
     labels = edges = None
     stars = durable(_stars(nodes, threshold))
@@ -597,16 +602,21 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         needed = durable(stars.select("node").union(centres.select("node")).distinct())
         opened = open_sets(texts, width, needed)
         edges = durable(visit(deal(centres, stars.withColumn("class", F.col("node"))), opened, threshold))
+        discard(needed)
         if not edges.isEmpty():
             labels = components(edges)
 
+    discard(stars)
     candidates = _candidates(nodes, entries, labels, threshold)
+    discard(found)
     if not candidates.isEmpty():
         needed = durable(candidates.select("node").distinct())
         more = durable(visit(candidates, open_sets(texts, width, needed), threshold))
+        discard(needed)
         if not more.isEmpty():
             labels = components(more if edges is None else edges.union(more))
 
+    discard(candidates)
     rows = surveyed.filter(F.col("n").isNotNull()).select("_id", F.col("n").alias("n_shingles"), "node")
     rows = _class(labels, rows)
     alone = rows.filter(F.col("node").isNull()).select("_id", "n_shingles", F.col("_id").alias("component_id"))
