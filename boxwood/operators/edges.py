@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwood.schema import BOUNDS, END, START
+from boxwood.operators.keys import edge_type
+from boxwood.operators.ordering import running
+from boxwood.schema import BOUNDS, END, KEYS, START
 
 ORDER = ("t", "tri", "et")
 
@@ -16,31 +18,47 @@ def create_edges(boxes: DataFrame, keys: tuple[str, ...] = ("tri",)) -> DataFram
     return boxes.select(*keys, F.inline(F.array(*events)))
 
 
-def along(*keys: str) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*ORDER)
+def keyed_edges(mem: DataFrame) -> DataFrame:
+    """node, axis, key, t: the edges of boxes that have KEYS."""
+    events = [F.struct(F.lit(k // 2).alias("axis"), F.col(key).alias("key"), F.col(BOUNDS[k]).alias("t")) for k, key in enumerate(KEYS)]
+    return mem.select("node", F.inline(F.array(*events)))
 
 
-def running_counts(edges: DataFrame, keys: tuple[str, ...] = ("node", "axis"), n: str = "n") -> DataFrame:
-    """edges with na (starts before the edge) and nb (boxes that don't end before or at it); column n has the boxes of the node."""
-    w = along(*keys)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return edges.withColumns({
-        "na": F.coalesce(F.sum(F.lit(1) - F.col("et")).over(before), F.lit(0)).cast("long"),
-        "nb": (F.col(n) - F.sum("et").over(upto)).cast("long"),
-    })
+def positions(edges: DataFrame) -> DataFrame:
+    """edges with pos, their place (from 0) in the order of their axis."""
+    return running(edges, list(ORDER), {"pos": F.lit(1)}, keys=("axis",)).withColumn("pos", F.col("pos") - 1)
 
 
-def chunk_of(t: Column, axis: Column, bounds: list[list[float]]) -> Column:
-    """The number of the axis's bounds that are at most t: equal values share a chunk."""
-    held = F.array(*(F.array(*(F.lit(b).cast("float") for b in own)) if own else F.array().cast("array<float>") for own in bounds))
-    return F.size(F.filter(F.get(held, axis), lambda b: b <= t))
+def edge_positions(edges: DataFrame) -> DataFrame:
+    """For each box, the places (from 0) of its six edges in the order of their axes."""
+    at = lambda axis, et: F.max(F.when((F.col("axis") == axis) & (F.col("et") == et), F.col("pos")))
+    return positions(edges).groupBy("tri").agg(*(at(a, e).alias(f"{'xyz'[a]}{e}") for a in range(3) for e in (START, END)))
+
+
+def swept(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """edges with starts and ends up to the edge, itself included, among the edges of the same keys."""
+    along = Window.partitionBy(*keys).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    et = edge_type(F.col("key"))
+    return edges.withColumns({"starts": F.sum(F.lit(1) - et).over(along), "ends": F.sum(et).over(along)})
+
+
+def chunk_of(t: Column, axis: Column, bounds: list[list], kind: str = "float") -> Column:
+    """The number of the axis's bounds that are at most t; with many bounds, found in two steps."""
+    lists = lambda own: F.array(*(F.lit(b) for b in own)).cast(f"array<{kind}>")
+    upto = lambda held: F.size(F.filter(held, lambda b: b <= t))
+    step = max(1, round(max(map(len, bounds), default=0) ** 0.5))
+    if step < 8:
+        return upto(F.get(F.array(*map(lists, bounds)), axis))
+    firsts = F.array(*(lists(own[::step]) for own in bounds))
+    blocks = F.array(*(F.array(*(lists(own[i : i + step]) for i in range(0, len(own), step))).cast(f"array<array<{kind}>>") for own in bounds))
+    block = upto(F.get(firsts, axis))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + upto(F.get(F.get(blocks, axis), block - 1)))
 
 
-def chunk_bounds(edges: DataFrame, chunks: int) -> list[list[float]]:
-    """chunks - 1 approximate quantiles of each axis; they only set how the work is divided."""
+def key_bounds(mem: DataFrame, chunks: int) -> list[list[int]]:
+    """chunks - 1 approximate quantiles of the keys of each axis; they only set how the work is divided, also among equal t."""
     shares = [k / chunks for k in range(1, chunks)]
-    rows = edges.groupBy("axis").agg(F.percentile_approx("t", F.array(*map(F.lit, shares)), 1000).alias("q")).collect()
+    rows = keyed_edges(mem).groupBy("axis").agg(F.percentile_approx("key", F.array(*map(F.lit, shares)), 4 * chunks).alias("q")).collect()
     by = {r["axis"]: sorted(set(r["q"])) for r in rows}
     return [by.get(a, []) for a in range(3)]
 
@@ -54,19 +72,3 @@ def prescan_offsets(counts: DataFrame, keys: tuple[str, ...], chunk: str = "chun
     """counts with the starts and ends of all chunks before."""
     w = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long") for c in ("starts", "ends")})
-
-
-def running_counts_chunked(edges: DataFrame, chunks: int) -> DataFrame:
-    """running_counts for nodes that are too large for one task: each chunk of an axis is swept alone, from the totals of the chunks before."""
-    edges = edges.withColumn("chunk", chunk_of(F.col("t"), F.col("axis"), chunk_bounds(edges, chunks)))
-    totals = prescan_offsets(prescan(edges, ("node", "axis", "chunk")), ("node", "axis")).select("node", "axis", "chunk", "starts_before", "ends_before")
-    swept = running_counts(edges, ("node", "axis", "chunk"))
-    out = swept.join(totals, ["node", "axis", "chunk"])
-    return out.withColumns({"na": F.col("na") + F.col("starts_before"), "nb": F.col("nb") - F.col("ends_before")}).select(*edges.columns[:-1], "na", "nb")
-
-
-def edge_positions(edges: DataFrame) -> DataFrame:
-    """For each box, the places (from 0) of its six edges in the order of their axes."""
-    placed = edges.withColumn("pos", (F.row_number().over(along("axis")) - 1).cast("long"))
-    at = lambda axis, et: F.max(F.when((F.col("axis") == axis) & (F.col("et") == et), F.col("pos")))
-    return placed.groupBy("tri").agg(*(at(a, e).alias(f"{'xyz'[a]}{e}") for a in range(3) for e in (START, END)))

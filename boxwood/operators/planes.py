@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import Costs, axis_terms, f32, plane_cost
-from boxwood.operators.edges import create_edges, running_counts, running_counts_chunked
+from boxwood.operators.edges import chunk_of, keyed_edges, prescan, prescan_offsets, swept
+from boxwood.operators.keys import edge_type, number_of
 
 SPLIT = ("node", "axis", "t", "tri", "et", "na", "nb", "sah")
-
-
 TERMS = ("lo", "hi", "side", "rim", "inv")
+_GROUP = ("node", "axis", "chunk")
 
 
 def node_axes(nodes: DataFrame) -> DataFrame:
@@ -21,16 +21,49 @@ def node_axes(nodes: DataFrame) -> DataFrame:
     return axes.select("node", "axis", "n", *(terms[k].alias(k) for k in TERMS))
 
 
-def edge_costs(mem: DataFrame, nodes: DataFrame, costs: Costs = Costs(), chunks: int = 1) -> DataFrame:
-    """node, axis, t, tri, et, na, nb, n, sah of every edge of every node. With chunks over 1, an axis is swept in so many parts."""
-    edges = create_edges(mem, ("node", "tri")).join(node_axes(nodes), ["node", "axis"])
-    swept = running_counts(edges) if chunks <= 1 else running_counts_chunked(edges, chunks)
+def edge_costs(mem: DataFrame, nodes: DataFrame, costs: Costs = Costs(), bounds: list[list[int]] | None = None) -> DataFrame:
+    """node, axis, chunk, place, key, t, na, nb, n, sah of every edge of every node. mem has KEYS.
+
+    With bounds (of keys, by axis), an axis is swept in chunks: each is a group
+    of its own, and starts after the edges of the chunks before. What
+    a group needs of its node and of the chunks before is a row that meets the
+    edges where the sweep has put them, so edges move once.
+    """
+    edges, whole = keyed_edges(mem), node_axes(nodes)
+    if bounds and any(bounds):
+        edges = edges.withColumn("chunk", chunk_of(F.col("key"), F.col("axis"), bounds, "bigint"))
+        counts = prescan(edges.withColumn("et", edge_type(F.col("key"))), _GROUP)
+        groups = prescan_offsets(counts, ("node", "axis")).drop("starts", "ends").join(whole, ["node", "axis"])
+        found = swept(edges, _GROUP).join(groups, list(_GROUP))
+        starts, ends = F.col("starts") + F.col("starts_before"), F.col("ends") + F.col("ends_before")
+    else:
+        found = swept(edges, _GROUP[:2]).join(whole, list(_GROUP[:2])).withColumn("chunk", F.lit(0))
+        starts, ends = F.col("starts"), F.col("ends")
+    et = edge_type(F.col("key"))
+    found = found.withColumns({"na": starts - (F.lit(1) - et), "nb": F.col("n") - ends, "place": F.col("starts") + F.col("ends") - 1})
     cost = plane_cost(F.col("na"), F.col("nb"), F.col("t"), {k: F.col(k) for k in TERMS}, costs)
-    return swept.select("node", "axis", "t", "tri", "et", "na", "nb", "n", cost.alias("sah"))
+    return found.select(*_GROUP, "place", "key", "t", "na", "nb", "n", cost.alias("sah"))
+
+
+def named(priced: DataFrame) -> DataFrame:
+    """priced with tri and et, for boxes whose numbers are their ids."""
+    return priced.withColumns({"tri": number_of(F.col("key")), "et": edge_type(F.col("key"))})
+
+
+def _rank(sah: Column, place: Column) -> Column:
+    """A double that sorts as (sah, place): a float32 leaves 29 of a double's bits free, which hold a place below 2^28."""
+    cost, step = sah.cast("double"), place.cast("double") * F.lit(2.0**-52)
+    return F.when(cost == 0, step * F.lit(2.0**-400)).otherwise(cost + F.abs(cost) * step)
 
 
 def best_planes(priced: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """The cheapest plane of each node that costs less than to leave the node whole; of equal ones the first by axis and place."""
+    """node, axis, t, key, na, nb, sah of the cheapest plane of each node that costs less than to leave the node whole; of equal ones the first by axis and place.
+
+    Cost and place are one number, so both steps are hash aggregates.
+    """
     worth = priced.filter(F.col("sah") < F.col("n").cast("float") * f32(costs.box))
-    best = worth.groupBy("node").agg(F.min(F.struct("sah", "axis", "t", "tri", "et", "na", "nb")).alias("b"))
-    return best.select("node", *(F.col(f"b.{c}").alias(c) for c in SPLIT[1:]))
+    values = ("t", "key", "na", "nb", "sah")
+    first = worth.withColumn("_k", _rank(F.col("sah"), F.col("place"))).groupBy(*_GROUP).agg(*(F.min_by(c, "_k").alias(c) for c in values))
+    # An axis has fewer than 2^26 chunks.
+    among = first.withColumn("_k", _rank(F.col("sah"), F.shiftleft(F.col("axis").cast("bigint"), 26) + F.col("chunk")))
+    return among.groupBy("node").agg(*(F.min_by(c, "_k").alias(c) for c in ("axis", *values)))

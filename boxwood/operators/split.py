@@ -6,22 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import by_axis
-from boxwood.schema import BOUNDS, END, EXTENT, START
+from boxwood.schema import BOUNDS, EXTENT, KEYS
 
+#: What becomes of a row of a level.
+LEAF, SMALL, OPEN = 0, 1, 2
 
-def before(t: Column, tri: Column, et: Column, t2: Column, tri2: Column, et2: Column) -> Column:
-    """(t, tri, et) < (t2, tri2, et2), the total order of edges."""
-    return (t < t2) | ((t == t2) & ((tri < tri2) | ((tri == tri2) & (et < et2))))
 
-
-def sides(mem: DataFrame, splits: DataFrame, how: str = "inner") -> DataFrame:
-    """mem with goes_left and goes_right; with how="left", rows of nodes without a split have nulls."""
-    plane = splits.select("node", F.col("axis").alias("s_axis"), F.col("t").alias("s_t"), F.col("tri").alias("s_tri"), F.col("et").alias("s_et"))
-    low = by_axis(F.col("s_axis"), tuple(F.col(c) for c in BOUNDS[::2]))
-    high = by_axis(F.col("s_axis"), tuple(F.col(c) for c in BOUNDS[1::2]))
-    s = (F.col("s_t"), F.col("s_tri"), F.col("s_et"))
-    joined = mem.join(plane, "node", how)
-    return joined.withColumns({"goes_left": before(low, F.col("tri"), F.lit(START), *s), "goes_right": before(*s, high, F.col("tri"), F.lit(END))})
+def sides(mem: DataFrame, splits: DataFrame, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """mem with goes_left and goes_right: whether a box's start comes before the split's edge, and its end after; with how="left", rows of nodes without a split have nulls."""
+    plane = splits.select("node", F.col("axis").alias("s_axis"), F.col("key").alias("s_key"), *also)
+    low = by_axis(F.col("s_axis"), tuple(F.col(c) for c in KEYS[::2]))
+    high = by_axis(F.col("s_axis"), tuple(F.col(c) for c in KEYS[1::2]))
+    return mem.join(plane, "node", how).withColumns({"goes_left": low < F.col("s_key"), "goes_right": F.col("s_key") < high})
 
 
 def child_extents(nodes: DataFrame, splits: DataFrame) -> DataFrame:
@@ -43,8 +39,8 @@ def child_extents(nodes: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def classify(mem: DataFrame, splits: DataFrame) -> DataFrame:
-    """The memberships of the children: node, tri, bounds. A box across the plane is in both."""
-    return sides(mem, splits).select(F.explode(_children()).alias("node"), "tri", *BOUNDS)
+    """The memberships of the children: node, tri, bounds, keys. A box across the plane is in both."""
+    return sides(mem, splits).select(F.explode(_children()).alias("node"), "tri", *BOUNDS, *KEYS)
 
 
 def _children() -> Column:
@@ -53,8 +49,11 @@ def _children() -> Column:
     return F.concat(left, right)
 
 
-def descend(mem: DataFrame, splits: DataFrame) -> DataFrame:
-    """node, tri, bounds, leaf: what stays in an unsplit node is marked, the rest moves to the children; one join does both."""
-    joined = sides(mem, splits, "left")
-    to = F.when(F.col("s_t").isNull(), F.array("node")).otherwise(_children())
-    return joined.select(F.explode(to).alias("node"), "tri", *BOUNDS, F.col("s_t").isNull().alias("leaf"))
+def descend(mem: DataFrame, splits: DataFrame, finish_below: int = 0) -> DataFrame:
+    """node, tri, bounds, keys, state: rows of unsplit nodes stay (LEAF), the others move to the children, which are SMALL with at most finish_below boxes, else OPEN; one join does it all."""
+    joined = sides(mem, splits, "left", ("na", "nb"))
+    child = lambda node, n: F.array(F.struct(node.alias("node"), F.when(F.col(n) <= finish_below, SMALL).otherwise(OPEN).alias("state")))
+    none = F.array().cast("array<struct<node:bigint,state:int>>")
+    to = F.concat(F.when(F.col("goes_left"), child(F.col("node") * 2, "na")).otherwise(none), F.when(F.col("goes_right"), child(F.col("node") * 2 + 1, "nb")).otherwise(none))
+    to = F.when(F.col("s_key").isNull(), F.array(F.struct(F.col("node"), F.lit(LEAF).alias("state")))).otherwise(to)
+    return joined.select(F.inline(to), "tri", *BOUNDS, *KEYS)

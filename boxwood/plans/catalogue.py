@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxwood.operators import edges as E
+from boxwood.operators import keys as O
 from boxwood.operators import planes as P
 from boxwood.operators import split as S
 from boxwood.operators.ordering import running
@@ -39,13 +40,13 @@ class Root:
 
     def __init__(self, spark: SparkSession, d: str):
         self.mesh = normalized(M.mesh_embed(spark, d))
-        self.mem = self.mesh.withColumn("node", F.lit(1).cast("bigint"))
+        self.mem = O.with_keys(self.mesh).withColumn("node", F.lit(1).cast("bigint"))
         self.nodes = root_node(self.mesh)
         self.edges = E.create_edges(self.mesh)
 
     @property
     def priced(self) -> DataFrame:
-        return P.edge_costs(self.mem, self.nodes)
+        return P.named(P.edge_costs(self.mem, self.nodes))
 
     @property
     def splits(self) -> DataFrame:
@@ -108,7 +109,7 @@ def _(spark, d):
 
 @query("sorted_edges", EDGES0 + "SELECT axis, t, tri, et, row_number() OVER (PARTITION BY axis ORDER BY t, tri, et) - 1 AS pos FROM e")
 def _(spark, d):
-    return Root(spark, d).edges.select("axis", "t", "tri", "et", (F.row_number().over(E.along("axis")) - 1).cast("bigint").alias("pos"))
+    return E.positions(Root(spark, d).edges).select("axis", "t", "tri", "et", "pos")
 
 
 @query("edge_positions", EDGES0 + ", s AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY t, tri, et) - 1 AS pos FROM e) SELECT tri, " + ", ".join(f"max(pos) FILTER (axis = {a} AND et = {e}) AS {'xyz'[a]}{e}" for a in range(3) for e in (0, 1)) + " FROM s GROUP BY tri")
@@ -181,7 +182,7 @@ def _(spark, d):
 @query("running_counts_chunked", ROOT1 + " SELECT axis, t, tri, et, na, nb FROM r0")
 def _(spark, d):
     r = Root(spark, d)
-    return P.edge_costs(r.mem, r.nodes, chunks=4).select("axis", "t", "tri", "et", "na", "nb")
+    return P.named(P.edge_costs(r.mem, r.nodes, bounds=E.key_bounds(r.mem, 8))).select("axis", "t", "tri", "et", "na", "nb")
 
 
 @query("sah_cost", ROOT1 + " SELECT axis, tri, et, sah FROM c0")
@@ -196,7 +197,7 @@ def _(spark, d):
 
 @query("best_plane", ROOT1 + " SELECT node, axis, t, tri, et, na, nb, sah FROM sp0")
 def _(spark, d):
-    return Root(spark, d).splits
+    return P.named(Root(spark, d).splits).select(*P.SPLIT)
 
 
 # --- one split ---------------------------------------------------------------------------------
@@ -254,7 +255,7 @@ _filter_geom("right")
 def _(spark, d):
     r = Root(spark, d)
     kept = r.edges.join(r.sided.filter("goes_left").select("tri"), "tri", "left_semi")
-    return kept.select("axis", "tri", "et", (F.row_number().over(E.along("axis")) - 1).cast("bigint").alias("pos"))
+    return E.positions(kept).select("axis", "tri", "et", "pos")
 
 
 @query("straddling_triangles", ROOT1 + " SELECT tri FROM cl0 WHERE goes_left INTERSECT SELECT tri FROM cl0 WHERE goes_right")
@@ -314,8 +315,8 @@ TREE = Q.tree(Q.EMBED, DEPTH)
 SMALL = Q.tree(Q.ORDERS, 4)
 
 
-def _tree(spark: SparkSession, d: str, **how) -> Tree:
-    return build(M.mesh_embed(spark, d), **how)
+def _tree(spark: SparkSession, d: str, finish_below: int = 64, **how) -> Tree:
+    return build(M.mesh_embed(spark, d), finish_below=finish_below, **how)
 
 
 @query("kd_tree_leaves", TREE + "SELECT node, tri FROM leaves")

@@ -1,14 +1,17 @@
 """Whole trees: level by level as Spark jobs, and below a size in one task for each node.
 
-A level prices every edge of the open nodes, takes each node's best plane, and
-moves the boxes down with one join; its rows are written to the shared folder,
-which cuts the lineage. Nodes with no more boxes than ``finish_below`` leave the loop
-and are finished by ``finish``, all of them in one job; that bounds what a task holds.
+The order of edges is made into one number for each edge before the first
+level, and carried down. A level prices every edge of the open nodes, takes each
+node's best plane, and moves the boxes down with one join; its rows are
+written to the shared folder, which cuts the lineage, and deleted once the next
+level is there. Nodes with no more boxes than ``finish_below`` wait and are
+finished by ``finish`` in one job at the end, packed into tasks of even
+work; that bounds what a task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,17 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import Costs
-from boxwood.operators.planes import SPLIT, best_planes, edge_costs
-from boxwood.operators.split import child_extents, descend
-from boxwood.schema import BOUNDS, BOXES, DEPTH, EXTENT
-from boxwood.storage import written
+from boxwood.operators.edges import key_bounds
+from boxwood.operators.keys import numbered, with_keys
+from boxwood.operators.ordering import running
+from boxwood.operators.planes import SPLIT, best_planes, edge_costs, named
+from boxwood.operators.split import LEAF, OPEN, SMALL, child_extents, descend
+from boxwood.schema import BOUNDS, BOXES, DEPTH, EXTENT, KEYS
+from boxwood.storage import released, written
 from boxwood.timings import Timings
 
 NODES = "node bigint, depth int, " + ", ".join(f"{c} float" for c in EXTENT) + ", n bigint"
 SPLITS = "node bigint, axis int, t float, tri bigint, et int, na bigint, nb bigint, sah float"
 MAX_DEPTH = 30
-#: Boxes of the largest node that one task sweeps along an axis; beyond, an axis is divided.
-SWEEP = 4_000_000
+#: Edges of a node along an axis that are swept as one group; beyond, an axis is divided into chunks of about as many, but into no more than four for each shuffle partition.
+SWEEP = 1 << 15
+#: Strategies of a build: from the number of boxes below which a subtree may be finished in one task, the number that is used.
+BUILDERS: dict[str, Callable[[int], int]] = {"hybrid": lambda below: below, "levels": lambda below: 0, "tasks": lambda below: 1 << 62}
 
 
 @dataclass
@@ -113,61 +121,75 @@ def _finisher(max_depth: int, costs: Costs):
     return run, ", ".join(f"{n} {'string' if n == 'row' else {'int64': 'bigint', 'int32': 'int', 'float': 'float'}[str(k)]}" for n, k in kinds)
 
 
-def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), finish_below: int = 262_144, superfluous_prescans: bool = False) -> Tree:
+def chunk_bounds(mem: DataFrame, n: int) -> list[list[int]] | None:
+    """Keys at which an axis is divided for all levels of a build of n boxes; None if it isn't."""
+    chunks = min(-(-2 * n // SWEEP), 4 * int(mem.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return key_bounds(mem, chunks) if chunks > 1 else None
+
+
+def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), finish_below: int = 262_144, superfluous_prescans: bool = False, builder: str = "hybrid") -> Tree:
     """The greedy tree over boxes (tri, bounds).
 
-    finish_below=0 builds level by level to the end; any value gives the same
-    tree. superfluous_prescans is accepted and has no effect. An empty table
+    builder is one of BUILDERS: "levels" builds level by level to the end, "tasks"
+    the whole tree in one task, "hybrid" goes by finish_below; all give the
+    same tree. superfluous_prescans is accepted and has no effect. An empty table
     gives a root without boxes; ids need not be contiguous, but unique.
     """
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"max_depth is 1 to {MAX_DEPTH}")
-    spark = boxes.sparkSession
+    if builder not in BUILDERS:
+        raise ValueError(f"builder is one of {', '.join(BUILDERS)}")
+    spark, below = boxes.sparkSession, BUILDERS[builder](finish_below)
     clock = Timings(spark)
     with clock.phase("init_extent"):
-        mem = written(normalized(boxes).withColumn("node", F.lit(1).cast("bigint")).select("node", "tri", *BOUNDS))
+        own, renumbered = numbered(normalized(boxes))
+        mem = written(with_keys(own, "number").withColumn("node", F.lit(1).cast("bigint")).select("node", "tri", "number", *BOUNDS, *KEYS))
         nodes = written(root_node(mem))
-        root = nodes.first()
-    all_nodes, all_splits, all_leaves = [], [], []
-    if not root["n"]:
+        n = most = nodes.first()["n"]
+        bounds = chunk_bounds(mem, n) if n > below else None
+    ids = mem.select("number", "tri") if renumbered else None
+    all_nodes, all_splits, all_leaves, waiting, read = [], [], [], [], mem
+    if not n:
         empty = spark.createDataFrame([], "node bigint, tri bigint")
         return Tree(nodes.withColumn("is_leaf", F.lit(True)), spark.createDataFrame([], SPLITS), empty, max_depth, clock)
-    level, most = 0, root["n"]
-    while level < max_depth and most > finish_below:
-        small = nodes.filter(F.col("n") <= finish_below)
-        if finish_below and not small.isEmpty():
-            rows = _finished(mem.join(F.broadcast(small), "node"), max_depth, costs, clock, level)
-            _collect(rows, all_nodes, all_splits, all_leaves)
-            mem, nodes = mem.join(small.select("node"), "node", "left_anti"), nodes.filter(F.col("n") > finish_below)
+    if n <= below:
+        waiting.append((mem, nodes))
+    level = 0
+    while level < max_depth and most > below:
         with clock.phase("findBestPlane", level):
-            splits = written(best_planes(edge_costs(mem, nodes, costs, chunks=-(-most // SWEEP)), costs))
+            splits = written(best_planes(edge_costs(mem, nodes, costs, bounds if 2 * most > SWEEP else None), costs))
         with clock.phase("newGen", level):
             children = written(child_extents(nodes, splits))
-            peak = children.agg(F.max("n")).first()[0]
+            most, small = children.agg(F.coalesce(F.max("n"), F.lit(0)), F.count_if((F.col("n") > 0) & (F.col("n") <= below))).first()
         with clock.phase("classifyTriangles", level):
-            moved = written(descend(mem, splits))
-        all_nodes.append(nodes)
+            moved = written(descend(mem, splits, below), by="state")
+        if read is not mem:
+            released(read, f"state={OPEN}")
+        elif not renumbered:
+            released(read)
+        all_nodes += [nodes, children.filter("n = 0")]
         all_splits.append(splits)
-        all_leaves.append(moved.filter("leaf").select("node", "tri"))
-        mem, nodes = moved.filter("not leaf").drop("leaf"), children
-        level, most = level + 1, peak or 0
-        if peak is None:
-            break
-    else:
-        if finish_below and level < max_depth:
-            # Empty children are nodes too, but no task has rows for them.
-            all_nodes.append(nodes.filter("n = 0"))
-            _collect(_finished(mem.join(nodes, "node"), max_depth, costs, clock, level), all_nodes, all_splits, all_leaves)
-        else:
-            all_nodes.append(nodes)
-            all_leaves.append(mem.select("node", "tri"))
+        all_leaves.append(moved.filter(F.col("state") == LEAF).select("node", "tri"))
+        if small:
+            waiting.append((moved.filter(F.col("state") == SMALL), children.filter((F.col("n") > 0) & (F.col("n") <= below))))
+        read, mem, nodes = moved, moved.filter(F.col("state") == OPEN).drop("state"), children.filter((F.col("n") > below) & (F.col("n") > 0))
+        level += 1
+    if most > below:
+        all_nodes.append(nodes)
+        all_leaves.append(mem.select("node", "tri"))
+    splits = named(_union(all_splits)) if all_splits else None
+    if ids is not None and splits is not None:
+        splits = splits.withColumnRenamed("tri", "number").join(ids, "number")
+    every, cuts = [*all_nodes], [splits.select(*SPLIT)] if splits is not None else []
+    if waiting:
+        with clock.phase("finish", level):
+            rows = _finished(_union([m.select("node", "tri", *BOUNDS) for m, _ in waiting]), _union([x for _, x in waiting]), max_depth, costs)
+        _collect(rows, every, cuts, all_leaves)
     with clock.phase("fill"):
-        union = lambda parts: _union(parts)
-        splits = union(all_splits) if all_splits else spark.createDataFrame([], SPLITS)
-        every = union(all_nodes)
+        splits = _union(cuts) if cuts else spark.createDataFrame([], SPLITS)
         split_ids = splits.select("node", F.lit(False).alias("_s"))
-        nodes = every.join(split_ids, "node", "left").withColumn("is_leaf", F.coalesce("_s", F.lit(True))).drop("_s")
-        leaves = union(all_leaves)
+        nodes = _union(every).join(split_ids, "node", "left").withColumn("is_leaf", F.coalesce("_s", F.lit(True))).drop("_s")
+        leaves = _union(all_leaves)
     return Tree(nodes.select("node", "depth", *EXTENT, "n", "is_leaf"), splits.select(*SPLIT), leaves.select("node", "tri"), max_depth, clock)
 
 
@@ -178,11 +200,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _finished(rows: DataFrame, max_depth: int, costs: Costs, clock: Timings, level: int) -> DataFrame:
+def packed_subtrees(nodes: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+    """nodes with the task that finishes each, and the number of tasks, at most ``tasks``.
+
+    A subtree of n boxes is n log n of work. In falling order of work, the
+    running sum says which task a subtree belongs to; there are as few tasks as
+    keep the largest subtree no larger than an even share.
+    """
+    work = F.ceil(F.col("n") * F.log2(F.col("n") + 1) + 1)
+    rows = running(nodes.withColumn("_work", work), ["_work desc", "node"], {"_upto": F.col("_work")})
+    total, largest = nodes.agg(F.sum(work), F.max(work)).first()
+    count = max(1, min(tasks, int(total // largest)))
+    middle = F.col("_upto") - F.col("_work") / 2
+    return rows.withColumn("task", F.least(F.floor(middle * count / total), F.lit(count - 1)).cast("int")).drop("_work", "_upto"), count
+
+
+def _finished(rows: DataFrame, nodes: DataFrame, max_depth: int, costs: Costs) -> DataFrame:
     run, schema = _finisher(max_depth, costs)
-    with clock.phase("finish", level):
-        by_node = rows.repartition("node").sortWithinPartitions("node").select("node", "depth", *EXTENT, "tri", *BOUNDS)
-        return written(by_node.mapInArrow(run, schema))
+    tasks, n = packed_subtrees(nodes, 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.join(tasks, "node").repartitionById(n, F.col("task")).sortWithinPartitions("node")
+    return written(dealt.select("node", "depth", *EXTENT, "tri", *BOUNDS).mapInArrow(run, schema))
 
 
 def _collect(rows: DataFrame, nodes: list[DataFrame], splits: list[DataFrame], leaves: list[DataFrame]) -> None:

@@ -21,8 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. by: a column whose values get folders of their own."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._path = path
+    return out
+
+
+def released(table: DataFrame, part: str = "") -> None:
+    """Deletes what written wrote for a table that nothing reads any more, or a folder of it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table._path}/{part}".rstrip("/"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
