@@ -1,10 +1,11 @@
 """Cross-tokenizer alignment: where two tokenizers' tokens of a text begin and end together, and which overlap.
 
-Texts are cut at single spaces between visible characters. No token of either
-kind crosses such a place (the pattern of byte-level vocabularies begins a
-token there, and no piece of the other has a space after another character,
-which is checked), so both encode a text as its chunks, and chunks repeat: each
-different chunk is aligned once, with the number of its occurrences.
+Space+text is cut before single spaces between visible characters, around
+line ends and before marks after Latin letters. No token of either kind crosses such a place
+(the pattern of byte-level vocabularies begins a token there, and no piece of
+the other has these characters side by side, which is checked), so both encode
+a text as its chunks, and chunks repeat: each different chunk is aligned once,
+with the number of its occurrences.
 
 The alignment is relational, the chunks being its documents:
 
@@ -28,8 +29,10 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +46,26 @@ from boxwood.llm.packing import Encoder, _byte_of
 KNOWN, SHORT = 200_000, 64
 #: Id pairs whose counts are broadcast; the others are joined by a shuffle.
 PAIRS = 200_000
-#: Chunks that a task counts before it passes them on.
-_HELD = 300_000
+#: Words that a task counts before it passes them on, or remembers.
+_HELD = 200_000
 _DOC = ["k1", "k2"]
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: A space beside white space, where splitting at each space would cut too often.
 _ODD = re.compile(r"\s | \s|^ | $")
+#: Within what lies between such spaces: before a line end, after a single one, and between a Latin letter and a mark.
+_FINER = re.compile(r"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
 #: Fixed value: the character by which pieces write a space.
 _SPACE = "▁"
 
 
-def chunks_of(text: str) -> list[str]:
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+def words_of(text: str) -> list[str]:
+    """What lies between single spaces; of space+text, each with the space before it."""
+    return _WORDS.split(text) if _ODD.search(text) else text.split(" ")
+
+
+def chunks_of(word: str) -> list[str]:
+    """The chunks of " " + word."""
+    return _FINER.split(" " + word)
 
 
 @dataclass(frozen=True)
@@ -69,42 +80,57 @@ class Pair:
 
 
 class Tokenizers:
+    """Both tokenizers; the libraries are opened when something is to be encoded."""
+
     def __init__(self, pair: Pair):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self._a = Encoder(pair.a, encode_special_tokens=True)
-        byte_of = _byte_of()
-        with open(pair.a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self._a_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            if all(c in byte_of for c in token):
-                self._a_bytes[i] = bytes(byte_of[c] for c in token)
+        self._pair = pair
         with open(pair.b, "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
-        self._b = sentencepiece.SentencePieceProcessor(model_file=pair.b)
-        self._b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(_SPACE, " ").encode() for p in model.pieces]
-        crossing = any(re.search(f"[^{_SPACE}]{_SPACE}", p.piece) for p in model.pieces)
-        rules = model.normalizer_spec
-        if crossing or not rules.add_dummy_prefix or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        rules, pieces = model.normalizer_spec, [p.piece.replace(_SPACE, " ") for p in model.pieces if p.type == p.NORMAL]
+        if not rules.add_dummy_prefix or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix or any(re.search(r"\S ", p) or _FINER.search(p) for p in pieces):
             raise ValueError("chunks of a text aren't encoded as in it")
         #: Whether B's pieces give the text back unless it has the character that stands for a space.
         self._plain = rules.name == "identity" and not rules.remove_extra_whitespaces and model.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in model.pieces)
+        self._b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(_SPACE, " ").encode() for p in model.pieces]
+        rules.add_dummy_prefix = False  # chunks have their own spaces
+        self._model = model.SerializeToString()
         self._judged: dict[str, bool] = {}
 
+    @cached_property
+    def _a(self) -> Callable[[str], list[int]]:
+        return Encoder(self._pair.a, encode_special_tokens=True)._plain
+
+    @cached_property
+    def _b(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self._model)
+
+    @cached_property
+    def _a_bytes(self) -> list[bytes]:
+        byte_of = _byte_of()
+        with open(self._pair.a, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        out = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            if all(c in byte_of for c in token):
+                out[i] = bytes(byte_of[c] for c in token)
+        return out
+
     def encode(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """A's ids of space+chunk, B's ids of chunk, and whether both give space+chunk back."""
+        """A's and B's ids of each chunk, and whether both give it back."""
         for chunk, b in zip(chunks, self._b.encode(chunks, num_threads=1), strict=True):
-            a, whole = self._a.ids(" " + chunk), (" " + chunk).encode()
+            a, whole = self._a(chunk), chunk.encode()
             same = b"".join(map(self._a_bytes.__getitem__, a)) == whole and b"".join(map(self._b_bytes.__getitem__, b)) == whole
-            yield a, np.array(b, dtype=np.int32), same
+            yield np.array(a, dtype=np.int32), np.array(b, dtype=np.int32), same
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(list(map(len, self._a_bytes)), dtype=np.int32), np.array(list(map(len, self._b_bytes)), dtype=np.int32)
 
-    def chunks(self, raw: bytes | None) -> list[str]:
-        """The chunks of a text; none if it is null, empty, no UTF-8, or not given back by both tokenizers."""
+    def words(self, raw: bytes | None) -> list[str]:
+        """The words of a text; none if it is null, empty, no UTF-8, or not given back by both tokenizers."""
         if not raw:
             return []
         try:
@@ -113,15 +139,15 @@ class Tokenizers:
             return []
         if _SPACE in text:
             return []
-        own = chunks_of(text)
+        own = words_of(text)
         return own if self._plain or self._all_same(own) else []
 
     def _all_same(self, own: list[str]) -> bool:
         if len(self._judged) > _HELD:
             self._judged.clear()
-        if new := list({c for c in own if c not in self._judged}):
+        if new := list({c for w in own for c in chunks_of(w) if c not in self._judged}):
             self._judged |= {c: same for c, (_, _, same) in zip(new, self.encode(new), strict=True)}
-        return all(map(self._judged.__getitem__, own))
+        return all(self._judged[c] for w in own for c in chunks_of(w))
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,14 +162,18 @@ def chunk_counts(documents: DataFrame, pair: Pair) -> DataFrame:
         tokenizers, held = pair.open(), Counter()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            names, numbers = list(held), list(held.values())
+            chunks = Counter()
+            for word, n in held.items():
+                for chunk in chunks_of(word):
+                    chunks[chunk] += n
             held.clear()
+            names, numbers = list(chunks), list(chunks.values())
             for at in range(0, len(names), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 20_000], pa.string()), pa.array(numbers[at : at + 20_000])], names=["chunk", "n"])
 
         for batch in batches:
             for raw in batch.column(0):
-                held.update(tokenizers.chunks(raw.as_py()))
+                held.update(tokenizers.words(raw.as_py()))
                 if len(held) > _HELD:
                     yield from rows()
         yield from rows()
@@ -262,6 +292,19 @@ class _Known:
         self.at = {c: i for i, c in enumerate(got.column("chunk").to_pylist())}
         self.numbers = np.column_stack([got.column(c).to_numpy().astype(np.int64) for c in _NUMBERS]) if len(got) else np.zeros((0, len(_NUMBERS)), np.int64)
         self.groups = got.column("groups").to_pylist()
+        self._words: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_words": {}}
+
+    def places(self, word: str) -> tuple[int, ...]:
+        """Where the word's chunks stand; -1 for those that aren't known."""
+        found = self._words.get(word)
+        if found is None:
+            if len(self._words) > _HELD:
+                self._words.clear()
+            found = self._words[word] = tuple(self.at.get(c, -1) for c in chunks_of(word))
+        return found
 
 
 def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +315,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     included; count_sum adds the corpus-wide counts of the links' pairs. Null
     and empty texts, and those that a tokenizer doesn't give back, have no tokens: zeros and ''.
     Repeated rows each get their row and each count in the corpus. Very long texts are
-    read whole; one without spaces is one chunk, aligned in one window. Other columns,
+    read whole; one without such places is one chunk, aligned in one window. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
     spark, pair = df.sparkSession, Pair(path_a, path_b)
@@ -293,20 +336,28 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places of chunks that aren't among the known; of equal rows in a task, the first one's."""
-        tokenizers, known, seen = pair.open(), held.value.at, set()
+        tokenizers, known, seen = pair.open(), held.value, set()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if (k1, k2) not in seen:
                     seen.add((k1, k2))
-                    for pos, chunk in enumerate(tokenizers.chunks(raw.as_py())):
-                        if chunk not in known:
-                            for column, value in zip(out, (k1, k2, pos, chunk), strict=True):
-                                column.append(value)
+                    pos = 0
+                    for word in tokenizers.words(raw.as_py()):
+                        at = known.places(word)
+                        if -1 in at:
+                            for i, chunk in enumerate(chunks_of(word)):
+                                if at[i] < 0:
+                                    for column, value in zip(out, (k1, k2, pos + i, chunk), strict=True):
+                                        column.append(value)
+                        pos += len(at)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=[*_DOC, "pos", "chunk"])
 
-    rare = documents.select(*_DOC, "text").mapInArrow(others, "k1 bigint, k2 int, pos int, chunk string").join(info.filter(~common).drop("n"), "chunk")
-    rare = durable(rare.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", *(F.col(c).cast("long").alias(c) for c in _NUMBERS), "groups")).alias("rest")))
+    # Written after the join, so that the joined tables can go before the rows move again.
+    met = durable(documents.select(*_DOC, "text").mapInArrow(others, "k1 bigint, k2 int, pos int, chunk string").join(info.filter(~common).drop("n"), "chunk").drop("chunk"))
+    discard(info)
+    rare = durable(met.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", *(F.col(c).cast("long").alias(c) for c in _NUMBERS), "groups")).alias("rest")))
+    discard(met)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, known = pair.open(), held.value
@@ -317,14 +368,13 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
             places, texts = rest.field(0).to_numpy(), rest.field(len(_NUMBERS) + 1).to_pylist()
             sums = np.column_stack([rest.field(i + 1).to_numpy() for i in range(len(_NUMBERS))])
             for i, (raw, end) in enumerate(zip(batch.column(1), ends, strict=True)):
-                own = tokenizers.chunks(raw.as_py())
                 begin = ends[i - 1] if i else 0
-                found = list(map(known.at.get, own))
-                at = np.array([-1 if x is None else x for x in found], dtype=np.int64)
-                if len(own) != (at >= 0).sum() + end - begin:
+                found = list(chain.from_iterable(map(known.places, tokenizers.words(raw.as_py()))))
+                at = np.array(found, dtype=np.int64)
+                if (at < 0).sum() != end - begin:
                     raise ValueError("chunks of a document differ from those counted")
                 numbers[i] = known.numbers[at[at >= 0]].sum(0) + sums[begin:end].sum(0)
-                parts = [None if x is None else known.groups[x] for x in found]
+                parts = [None if x < 0 else known.groups[x] for x in found]
                 for j in range(begin, end):
                     parts[places[j]] = texts[j]
                 groups.append(";".join(parts))

@@ -83,7 +83,7 @@ def run(spark, rows):
 
 def odd_texts():
     rng = random.Random(8)
-    alphabet = [" ", " ", " ", "  ", "\n", "\t", " ", "　", " ", "'s", "'", "▁", "é", "é", "日本", "😀", "👩‍👩‍👧", "12", "345", "the", "Xy", "-", "<s>", "</s>", "<unk>", "<|endoftext|>", "<0x0A>", "\x00", "\x85", "\x1f", "ſ", "...", "=="]
+    alphabet = [" ", " ", " ", "  ", "\n", "\t", " ", "　", " ", "'s", "'", "▁", "é", "é", "日本", "😀", "👩‍👩‍👧", "12", "345", "the", "Xy", "-", "<s>", "</s>", "<unk>", "<|endoftext|>", "<0x0A>", "\x00", "\x85", "\x1f", "ſ", "...", "==", "a.b", "x,", "ß!", "½.", "\n", "\n\n", "end.\nNext"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(250)]
     plain = [x.replace("▁", "") for x in texts]
     return texts + plain + ["", " ", "  ", " a", "a ", "\n a", "a \n b", "plain words in a row", "the the the the"]
@@ -113,7 +113,7 @@ def test_empty(spark):
 
 def test_chunks_give_text_back():
     for text in odd_texts():
-        assert " ".join(T.chunks_of(text)) == text
+        assert "".join(c for w in T.words_of(text) for c in T.chunks_of(w)) == " " + text
 
 
 def test_registered(spark):
