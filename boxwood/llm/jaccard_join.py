@@ -50,7 +50,7 @@ GROUP, VISITS = 256, 512
 #: Entries of the table of frequent shingles, and the documents that make one frequent.
 HOT, HOT_DOCS = 1 << 18, 24
 #: Shingles in which a task looks for repeated ones at once.
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 _SLICE = 256
 #: Min-hashes of a node, and how many of them a node shares with a pivot that it is compared with.
 _MINHASHES, _AGREE = 4, 3
