@@ -4,8 +4,8 @@
 on standard output. --to: packed binary, to kdtree.binary. --graphviz, --graphvizAccm: to
 output.dot (Accm: counts summed along paths). --csv: stamps (microseconds) to standard
 error; --csv-header: the names of their columns, and nothing else. -v: each split. -q: no report. --rdtsc is taken as --seconds:
-microseconds in either case. --superfluous-prescans has no effect. An unknown
-option is reported and passed over.
+microseconds in either case. --superfluous-prescans has no effect. --builder NAME: hybrid,
+levels or tasks. --costs STEP,BOX,BONUS: 15,20,0 unless set. An unknown option is reported and passed over.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import time
 
 from pyspark.sql import SparkSession
 
-from boxwood.plans.tree import build
+from boxwood.functions.sah import Costs
+from boxwood.plans.tree import BUILDERS, build
 from boxwood.schema import DEPTH
 from boxwood.sources import meshes, sinks
 from boxwood.timings import csv_header
 
 _FLAGS = {"-h", "-o", "-v", "-q", "--csv", "--csv-header", "--to", "--graphviz", "--graphvizAccm", "--seconds", "--rdtsc", "--superfluous-prescans"}
-_VALUES = {"-n", "-m"}
+_VALUES = {"-n", "-m", "--builder", "--costs"}
 
 
 def parse(args: list[str]) -> tuple[set[str], dict[str, str], list[str], list[str]]:
@@ -42,9 +43,22 @@ def parse(args: list[str]) -> tuple[set[str], dict[str, str], list[str], list[st
     for name in ("-n", "-m"):
         if name in values and (not values[name].isdigit() or int(values[name]) < 1):
             raise SystemExit(f"{name} takes a whole number from 1")
+    if values.get("--builder", "hybrid") not in BUILDERS:
+        raise SystemExit(f"--builder is one of {', '.join(BUILDERS)}")
+    costs_of(values)
     return flags, values, paths, unknown
 
 
+def costs_of(values: dict[str, str]) -> Costs:
+    if "--costs" not in values:
+        return Costs()
+    try:
+        step, box, bonus = map(float, values["--costs"].split(","))
+    except ValueError:
+        raise SystemExit("--costs takes three numbers: step,box,bonus") from None
+    return Costs(step, box, bonus)
+
+
 def main(args: list[str]) -> int:
     flags, values, paths, unknown = parse(args)
     for x in unknown:
@@ -61,7 +75,7 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.master(f"local[{values.get('-n', 1)}]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     boxes = meshes.load(spark, paths)
     loaded = now()
-    tree = build(boxes, max_depth=depth, superfluous_prescans="--superfluous-prescans" in flags)
+    tree = build(boxes, max_depth=depth, costs=costs_of(values), builder=values.get("--builder", "hybrid"), superfluous_prescans="--superfluous-prescans" in flags)
     built = now()
     if "-o" in flags:
         for r in sinks.tree_text(tree).orderBy("ord").toLocalIterator():

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from boxwood.operators.keys import edge_type
 from boxwood.operators.ordering import running
-from boxwood.schema import BOUNDS, END, KEYS, START
+from boxwood.schema import BOUNDS, CHUNKS, END, KEYS, START
 
 ORDER = ("t", "tri", "et")
+#: A node (of at most 31 bits) and an axis need 33 bits of a group's number.
+CHUNK_BITS = 26
 
 
 def create_edges(boxes: DataFrame, keys: tuple[str, ...] = ("tri",)) -> DataFrame:
@@ -18,10 +20,12 @@ def create_edges(boxes: DataFrame, keys: tuple[str, ...] = ("tri",)) -> DataFram
     return boxes.select(*keys, F.inline(F.array(*events)))
 
 
-def keyed_edges(mem: DataFrame) -> DataFrame:
-    """node, axis, key, t: the edges of boxes that have KEYS."""
-    events = [F.struct(F.lit(k // 2).alias("axis"), F.col(key).alias("key"), F.col(BOUNDS[k]).alias("t")) for k, key in enumerate(KEYS)]
-    return mem.select("node", F.inline(F.array(*events)))
+def keyed_edges(mem: DataFrame, chunked: bool = False) -> DataFrame:
+    """group, key, t: the edges of boxes that have KEYS and CHUNKS. A group is an axis of a node, or a chunk of it, as one number."""
+    node = F.col("node") * 3
+    chunk = lambda k: F.col(CHUNKS[k]).cast("bigint") if chunked else F.lit(0).cast("bigint")
+    events = [F.struct(F.shiftleft(node + k // 2, CHUNK_BITS).bitwiseOR(chunk(k)).alias("group"), F.col(KEYS[k]).alias("key"), F.col(BOUNDS[k]).alias("t")) for k in range(6)]
+    return mem.select(F.inline(F.array(*events)))
 
 
 def positions(edges: DataFrame) -> DataFrame:
@@ -35,31 +39,24 @@ def edge_positions(edges: DataFrame) -> DataFrame:
     return positions(edges).groupBy("tri").agg(*(at(a, e).alias(f"{'xyz'[a]}{e}") for a in range(3) for e in (START, END)))
 
 
-def swept(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """edges with starts and ends up to the edge, itself included, among the edges of the same keys."""
-    along = Window.partitionBy(*keys).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    et = edge_type(F.col("key"))
-    return edges.withColumns({"starts": F.sum(F.lit(1) - et).over(along), "ends": F.sum(et).over(along)})
+def swept(edges: DataFrame, group: str) -> DataFrame:
+    """edges with place (from 1) and starts up to the edge, itself included, among the edges of the same group."""
+    along = Window.partitionBy(group).orderBy("key")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return edges.withColumns({"place": F.row_number().over(along), "starts": F.sum(F.lit(1) - edge_type(F.col("key"))).over(upto)})
 
 
-def chunk_of(t: Column, axis: Column, bounds: list[list], kind: str = "float") -> Column:
-    """The number of the axis's bounds that are at most t; with many bounds, found in two steps."""
-    lists = lambda own: F.array(*(F.lit(b) for b in own)).cast(f"array<{kind}>")
-    upto = lambda held: F.size(F.filter(held, lambda b: b <= t))
-    step = max(1, round(max(map(len, bounds), default=0) ** 0.5))
-    if step < 8:
-        return upto(F.get(F.array(*map(lists, bounds)), axis))
-    firsts = F.array(*(lists(own[::step]) for own in bounds))
-    blocks = F.array(*(F.array(*(lists(own[i : i + step]) for i in range(0, len(own), step))).cast(f"array<array<{kind}>>") for own in bounds))
-    block = upto(F.get(firsts, axis))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + upto(F.get(F.get(blocks, axis), block - 1)))
+def chunk_of(t: Column, axis: Column, bounds: list[list[float]]) -> Column:
+    """The number of the axis's bounds that are at most t."""
+    held = F.array(*(F.array(*(F.lit(b).cast("float") for b in own)) for own in bounds))
+    return F.size(F.filter(F.get(held, axis), lambda b: b <= t))
 
 
-def key_bounds(mem: DataFrame, chunks: int) -> list[list[int]]:
-    """chunks - 1 approximate quantiles of the keys of each axis; they only set how the work is divided, also among equal t."""
-    shares = [k / chunks for k in range(1, chunks)]
-    rows = keyed_edges(mem).groupBy("axis").agg(F.percentile_approx("key", F.array(*map(F.lit, shares)), 4 * chunks).alias("q")).collect()
-    by = {r["axis"]: sorted(set(r["q"])) for r in rows}
+def key_bounds(boxes: DataFrame, chunks: int) -> list[list[int]]:
+    """chunks - 1 approximate quantiles of the KEYS of each axis; they only set how the work is divided, also among equal t."""
+    shares = F.array(*(F.lit(k / chunks) for k in range(1, chunks)))
+    keys = boxes.select(F.inline(F.array(*(F.struct(F.lit(k // 2).alias("axis"), F.col(key).alias("key")) for k, key in enumerate(KEYS)))))
+    by = {r["axis"]: sorted(set(r["q"])) for r in keys.groupBy("axis").agg(F.percentile_approx("key", shares, 4 * chunks).alias("q")).collect()}
     return [by.get(a, []) for a in range(3)]
 
 

@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import Costs, axis_terms, f32, plane_cost
-from boxwood.operators.edges import chunk_of, keyed_edges, prescan, prescan_offsets, swept
+from boxwood.operators.edges import CHUNK_BITS, keyed_edges, prescan_offsets, swept
 from boxwood.operators.keys import edge_type, number_of
 
 SPLIT = ("node", "axis", "t", "tri", "et", "na", "nb", "sah")
 TERMS = ("lo", "hi", "side", "rim", "inv")
-_GROUP = ("node", "axis", "chunk")
-
-
 def node_axes(nodes: DataFrame) -> DataFrame:
     """node, axis, n and the cost's terms: three rows for each node, so that an edge's own expression stays small."""
     axes = nodes.withColumn("axis", F.explode(F.array(*map(F.lit, range(3)))))
@@ -21,28 +18,29 @@ def node_axes(nodes: DataFrame) -> DataFrame:
     return axes.select("node", "axis", "n", *(terms[k].alias(k) for k in TERMS))
 
 
-def edge_costs(mem: DataFrame, nodes: DataFrame, costs: Costs = Costs(), bounds: list[list[int]] | None = None) -> DataFrame:
-    """node, axis, chunk, place, key, t, na, nb, n, sah of every edge of every node. mem has KEYS.
+def edge_costs(mem: DataFrame, nodes: DataFrame, costs: Costs = Costs(), chunked: bool = False) -> DataFrame:
+    """group, node, axis, place, key, t, na, nb, n, sah of every edge of every node. mem has KEYS and CHUNKS.
 
-    With bounds (of keys, by axis), an axis is swept in chunks: each is a group
-    of its own, and starts after the edges of the chunks before. What
+    chunked: a node's axis is swept in its chunks, each a group
+    of its own that starts after the edges of the chunks before. What
     a group needs of its node and of the chunks before is a row that meets the
     edges where the sweep has put them, so edges move once.
     """
-    edges, whole = keyed_edges(mem), node_axes(nodes)
-    if bounds and any(bounds):
-        edges = edges.withColumn("chunk", chunk_of(F.col("key"), F.col("axis"), bounds, "bigint"))
-        counts = prescan(edges.withColumn("et", edge_type(F.col("key"))), _GROUP)
-        groups = prescan_offsets(counts, ("node", "axis")).drop("starts", "ends").join(whole, ["node", "axis"])
-        found = swept(edges, _GROUP).join(groups, list(_GROUP))
-        starts, ends = F.col("starts") + F.col("starts_before"), F.col("ends") + F.col("ends_before")
+    edges, whole = keyed_edges(mem, chunked), node_axes(nodes)
+    if chunked:
+        start = F.lit(1) - edge_type(F.col("key"))
+        counts = edges.groupBy("group").agg(F.sum(start).alias("starts"), F.sum(F.lit(1) - start).alias("ends"))
+        of = F.shiftright("group", CHUNK_BITS)
+        counts = counts.withColumns({"node": F.floor(of / 3), "axis": F.pmod(of, F.lit(3)).cast("int")})
+        groups = prescan_offsets(counts, ("node", "axis"), "group").drop("starts", "ends").join(whole, ["node", "axis"])
     else:
-        found = swept(edges, _GROUP[:2]).join(whole, list(_GROUP[:2])).withColumn("chunk", F.lit(0))
-        starts, ends = F.col("starts"), F.col("ends")
+        none = F.lit(0).cast("bigint")
+        groups = whole.select("*", F.shiftleft(F.col("node") * 3 + F.col("axis"), CHUNK_BITS).alias("group"), none.alias("starts_before"), none.alias("ends_before"))
+    found = swept(edges, "group").join(groups, "group")
     et = edge_type(F.col("key"))
-    found = found.withColumns({"na": starts - (F.lit(1) - et), "nb": F.col("n") - ends, "place": F.col("starts") + F.col("ends") - 1})
+    found = found.withColumns({"na": F.col("starts_before") + F.col("starts") - (F.lit(1) - et), "nb": F.col("n") - F.col("ends_before") - (F.col("place") - F.col("starts"))})
     cost = plane_cost(F.col("na"), F.col("nb"), F.col("t"), {k: F.col(k) for k in TERMS}, costs)
-    return found.select(*_GROUP, "place", "key", "t", "na", "nb", "n", cost.alias("sah"))
+    return found.select("group", "node", "axis", "place", "key", "t", "na", "nb", "n", cost.alias("sah"))
 
 
 def named(priced: DataFrame) -> DataFrame:
@@ -61,9 +59,8 @@ def best_planes(priced: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
     Cost and place are one number, so both steps are hash aggregates.
     """
-    worth = priced.filter(F.col("sah") < F.col("n").cast("float") * f32(costs.box))
-    values = ("t", "key", "na", "nb", "sah")
-    first = worth.withColumn("_k", _rank(F.col("sah"), F.col("place"))).groupBy(*_GROUP).agg(*(F.min_by(c, "_k").alias(c) for c in values))
-    # An axis has fewer than 2^26 chunks.
-    among = first.withColumn("_k", _rank(F.col("sah"), F.shiftleft(F.col("axis").cast("bigint"), 26) + F.col("chunk")))
-    return among.groupBy("node").agg(*(F.min_by(c, "_k").alias(c) for c in ("axis", *values)))
+    least = lambda names: [F.min_by(c, "_k").alias(c) for c in names]
+    first = priced.withColumn("_k", _rank(F.col("sah"), F.col("place"))).groupBy("group", "node", "axis", "n").agg(*least(("t", "key", "na", "nb", "sah")))
+    chunk = F.col("group").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
+    among = first.withColumn("_k", _rank(F.col("sah"), F.shiftleft(F.col("axis").cast("bigint"), CHUNK_BITS) + chunk)).groupBy("node", "n").agg(*least(("axis", "t", "key", "na", "nb", "sah")))
+    return among.filter(F.col("sah") < F.col("n").cast("float") * f32(costs.box)).drop("n")

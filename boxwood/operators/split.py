@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.sah import by_axis
-from boxwood.schema import BOUNDS, EXTENT, KEYS
+from boxwood.schema import BOUNDS, CHUNKS, EXTENT, KEYS
 
 #: What becomes of a row of a level.
 LEAF, SMALL, OPEN = 0, 1, 2
@@ -39,8 +39,8 @@ def child_extents(nodes: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def classify(mem: DataFrame, splits: DataFrame) -> DataFrame:
-    """The memberships of the children: node, tri, bounds, keys. A box across the plane is in both."""
-    return sides(mem, splits).select(F.explode(_children()).alias("node"), "tri", *BOUNDS, *KEYS)
+    """The memberships of the children: node, tri, bounds, keys, chunks. A box across the plane is in both."""
+    return sides(mem, splits).select(F.explode(_children()).alias("node"), "tri", *BOUNDS, *KEYS, *CHUNKS)
 
 
 def _children() -> Column:
@@ -50,10 +50,10 @@ def _children() -> Column:
 
 
 def descend(mem: DataFrame, splits: DataFrame, finish_below: int = 0) -> DataFrame:
-    """node, tri, bounds, keys, state: rows of unsplit nodes stay (LEAF), the others move to the children, which are SMALL with at most finish_below boxes, else OPEN; one join does it all."""
+    """node, state, tri, bounds, keys, chunks: rows of unsplit nodes stay (LEAF), the others move to the children, which are SMALL with at most finish_below boxes, else OPEN; one join does it all."""
     joined = sides(mem, splits, "left", ("na", "nb"))
     child = lambda node, n: F.array(F.struct(node.alias("node"), F.when(F.col(n) <= finish_below, SMALL).otherwise(OPEN).alias("state")))
     none = F.array().cast("array<struct<node:bigint,state:int>>")
     to = F.concat(F.when(F.col("goes_left"), child(F.col("node") * 2, "na")).otherwise(none), F.when(F.col("goes_right"), child(F.col("node") * 2 + 1, "nb")).otherwise(none))
     to = F.when(F.col("s_key").isNull(), F.array(F.struct(F.col("node"), F.lit(LEAF).alias("state")))).otherwise(to)
-    return joined.select(F.inline(to), "tri", *BOUNDS, *KEYS)
+    return joined.select(F.inline(to), "tri", *BOUNDS, *KEYS, *CHUNKS)

@@ -44,6 +44,10 @@ class Root:
         self.nodes = root_node(self.mesh)
         self.edges = E.create_edges(self.mesh)
 
+    def divided(self, chunks: int) -> DataFrame:
+        """mem with each axis in so many chunks."""
+        return O.with_keys(self.mesh, bounds=E.key_bounds(self.mem, chunks)).withColumn("node", F.lit(1).cast("bigint"))
+
     @property
     def priced(self) -> DataFrame:
         return P.named(P.edge_costs(self.mem, self.nodes))
@@ -182,7 +186,7 @@ def _(spark, d):
 @query("running_counts_chunked", ROOT1 + " SELECT axis, t, tri, et, na, nb FROM r0")
 def _(spark, d):
     r = Root(spark, d)
-    return P.named(P.edge_costs(r.mem, r.nodes, bounds=E.key_bounds(r.mem, 8))).select("axis", "t", "tri", "et", "na", "nb")
+    return P.named(P.edge_costs(r.divided(8), r.nodes, chunked=True)).select("axis", "t", "tri", "et", "na", "nb")
 
 
 @query("sah_cost", ROOT1 + " SELECT axis, tri, et, sah FROM c0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from boxwood.functions.sah import Costs
 from boxwood.schema import BOUNDS, EXTENT
 
 _E = "CAST({0} AS FLOAT)"
@@ -24,19 +25,19 @@ def axis_case(axis: str, values: tuple[str, str, str]) -> str:
     return f"CASE {axis} WHEN 0 THEN {values[0]} WHEN 1 THEN {values[1]} ELSE {values[2]} END"
 
 
-def sah(axis: str = "axis", na: str = "na", nb: str = "nb", t: str = "t") -> str:
+def sah(axis: str = "axis", na: str = "na", nb: str = "nb", t: str = "t", costs: Costs = Costs()) -> str:
     d = [f"({h} - {low})" for low, h in zip(EXTENT[::2], EXTENT[1::2], strict=True)]
     surface = f"({d[0]} * {d[1]} + {d[1]} * {d[2]} + {d[2]} * {d[0]})"
     inv = f"(CAST(0.5 AS FLOAT) / {surface})"
     side = f"({axis_case(axis, (f'{d[1]} * {d[2]}', f'{d[2]} * {d[0]}', f'{d[0]} * {d[1]}'))})"
     rim = f"({axis_case(axis, (f'{d[1]} + {d[2]}', f'{d[2]} + {d[0]}', f'{d[0]} + {d[1]}'))})"
     lo, hi = f"({axis_case(axis, EXTENT[::2])})", f"({axis_case(axis, EXTENT[1::2])})"
-    two, box, step = "CAST(2 AS FLOAT)", "CAST(20 AS FLOAT)", "CAST(15 AS FLOAT)"
+    two, box, step, keep = (_E.format(x) for x in (2, costs.box, costs.step, 1 - costs.bonus))
     left, right = f"({two} * ({side} + ({t} - {lo}) * {rim}) * {inv})", f"({two} * ({side} + ({hi} - {t}) * {rim}) * {inv})"
     a, b = f"CAST({na} AS FLOAT)", f"CAST({nb} AS FLOAT)"
     return f"""CASE WHEN {surface} > 0 THEN CAST(CASE WHEN {t} < {lo} OR {t} > {hi} THEN CAST(3.4028234663852886e38 AS FLOAT)
-      WHEN {na} = 0 AND {t} > {lo} THEN {step} + {box} * {right} * {b}
-      WHEN {nb} = 0 AND {t} < {hi} THEN {step} + {box} * {left} * ({a} + {b})
+      WHEN {na} = 0 AND {t} > {lo} THEN {step} + {box} * {right} * {b} * {keep}
+      WHEN {nb} = 0 AND {t} < {hi} THEN {step} + {box} * {left} * ({a} + {b}) * {keep}
       ELSE {step} + {box} * ({left} * {a} + {right} * {b}) END AS FLOAT) END"""
 
 
@@ -44,7 +45,7 @@ def unpivot(source: str, keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, {axis} AS axis, {et} AS et, {BOUNDS[2 * axis + et]} AS t FROM {source}" for axis in range(3) for et in (0, 1))
 
 
-def _level(k: int) -> str:
+def _level(k: int, costs: Costs) -> str:
     """e, r, sp of level k; mem and n of level k + 1."""
     low, high = axis_case("s.axis", BOUNDS[::2]), axis_case("s.axis", BOUNDS[1::2])
     extent = ", ".join(f"CASE WHEN s.axis = {i // 2} AND side.s = {1 - i % 2} THEN s.t ELSE n.{c} END AS {c}" for i, c in enumerate(EXTENT))
@@ -56,9 +57,9 @@ r{k} AS MATERIALIZED (
     CAST(coalesce(sum(1 - et) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS na,
     CAST(n.n - sum(et) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS nb
   FROM e{k} e JOIN n{k} n ON e.node = n.node WINDOW w AS (PARTITION BY e.node, axis ORDER BY t, tri, et)),
-c{k} AS MATERIALIZED (SELECT *, {sah()} AS sah FROM r{k}),
+c{k} AS MATERIALIZED (SELECT *, {sah(costs=costs)} AS sah FROM r{k}),
 sp{k} AS MATERIALIZED (
-  SELECT node, axis, t, tri, et, na, nb, sah FROM c{k} WHERE sah < CAST(n AS FLOAT) * CAST(20 AS FLOAT)
+  SELECT node, axis, t, tri, et, na, nb, sah FROM c{k} WHERE sah < CAST(n AS FLOAT) * {_E.format(costs.box)}
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY sah, axis, t, tri, et) = 1),
 cl{k} AS MATERIALIZED (
   SELECT m.*, ({low}, m.tri, 0) < (s.t, s.tri, s.et) AS goes_left, ({high}, m.tri, 1) > (s.t, s.tri, s.et) AS goes_right
@@ -77,18 +78,18 @@ mem0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS node, tri, {', '.join(BOUNDS)}
 n0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth, {ends}, count(*) AS n FROM mesh)"""
 
 
-def levels(mesh: str, depth: int) -> str:
+def levels(mesh: str, depth: int, costs: Costs = Costs()) -> str:
     """The expressions down to a depth."""
-    return root(mesh) + "".join(_level(k) for k in range(depth))
+    return root(mesh) + "".join(_level(k, costs) for k in range(depth))
 
 
-def tree(mesh: str, depth: int) -> str:
+def tree(mesh: str, depth: int, costs: Costs = Costs()) -> str:
     """levels, and the whole tree: nodes, splits, leaves."""
     splits = " UNION ALL ".join(f"SELECT * FROM sp{k}" for k in range(depth))
     nodes = " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(depth + 1))
     members = " UNION ALL ".join([f"SELECT node, tri FROM mem{k} WHERE node NOT IN (SELECT node FROM sp{k})" for k in range(depth)] + [f"SELECT node, tri FROM mem{depth}"])
     return (
-        levels(mesh, depth)
+        levels(mesh, depth, costs)
         + f""",
 splits AS MATERIALIZED ({splits}),
 nodes AS MATERIALIZED (SELECT n.*, n.node NOT IN (SELECT node FROM splits) AS is_leaf FROM ({nodes}) n),

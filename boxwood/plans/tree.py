@@ -25,7 +25,7 @@ from boxwood.operators.keys import numbered, with_keys
 from boxwood.operators.ordering import running
 from boxwood.operators.planes import SPLIT, best_planes, edge_costs, named
 from boxwood.operators.split import LEAF, OPEN, SMALL, child_extents, descend
-from boxwood.schema import BOUNDS, BOXES, DEPTH, EXTENT, KEYS
+from boxwood.schema import BOUNDS, BOXES, CHUNKS, DEPTH, EXTENT, KEYS
 from boxwood.storage import released, written
 from boxwood.timings import Timings
 
@@ -68,10 +68,15 @@ def mesh_extent(boxes: DataFrame) -> DataFrame:
 
 
 def root_node(boxes: DataFrame) -> DataFrame:
+    return _root(boxes).select("node", "depth", *EXTENT, "n")
+
+
+def _root(boxes: DataFrame) -> DataFrame:
+    """The root, and the smallest and largest id."""
     low = {c: F.min(b) for c, b in zip(EXTENT[::2], BOUNDS[::2], strict=True)}
     high = {c: F.max(b) for c, b in zip(EXTENT[1::2], BOUNDS[1::2], strict=True)}
     both = low | high
-    return boxes.agg(*(both[c].alias(c) for c in EXTENT), F.count("*").alias("n")).select(F.lit(1).cast("bigint").alias("node"), F.lit(0).alias("depth"), *EXTENT, "n")
+    return boxes.agg(*(both[c].alias(c) for c in EXTENT), F.count("*").alias("n"), F.min("tri").alias("first"), F.max("tri").alias("last")).select(F.lit(1).cast("bigint").alias("node"), F.lit(0).alias("depth"), *EXTENT, "n", "first", "last")
 
 
 def _finisher(max_depth: int, costs: Costs):
@@ -121,10 +126,10 @@ def _finisher(max_depth: int, costs: Costs):
     return run, ", ".join(f"{n} {'string' if n == 'row' else {'int64': 'bigint', 'int32': 'int', 'float': 'float'}[str(k)]}" for n, k in kinds)
 
 
-def chunk_bounds(mem: DataFrame, n: int) -> list[list[int]] | None:
+def chunk_bounds(boxes: DataFrame, n: int) -> list[list[int]] | None:
     """Keys at which an axis is divided for all levels of a build of n boxes; None if it isn't."""
-    chunks = min(-(-2 * n // SWEEP), 4 * int(mem.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return key_bounds(mem, chunks) if chunks > 1 else None
+    chunks = min(-(-2 * n // SWEEP), 4 * int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return key_bounds(with_keys(boxes, "number"), chunks) if chunks > 1 else None
 
 
 def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), finish_below: int = 262_144, superfluous_prescans: bool = False, builder: str = "hybrid") -> Tree:
@@ -142,13 +147,15 @@ def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), fini
     spark, below = boxes.sparkSession, BUILDERS[builder](finish_below)
     clock = Timings(spark)
     with clock.phase("init_extent"):
-        own, renumbered = numbered(normalized(boxes))
-        mem = written(with_keys(own, "number").withColumn("node", F.lit(1).cast("bigint")).select("node", "tri", "number", *BOUNDS, *KEYS))
-        nodes = written(root_node(mem))
-        n = most = nodes.first()["n"]
-        bounds = chunk_bounds(mem, n) if n > below else None
-    ids = mem.select("number", "tri") if renumbered else None
-    all_nodes, all_splits, all_leaves, waiting, read = [], [], [], [], mem
+        loaded = written(normalized(boxes))
+        top = written(_root(loaded))
+        nodes, root = top.select("node", "depth", *EXTENT, "n"), top.first()
+        n = most = root["n"]
+        own, renumbered = numbered(loaded, n, root["first"] or 0, root["last"] or 0)
+        bounds = chunk_bounds(own, n) if n > below else None
+        mem = written(with_keys(own, "number", bounds).select(F.lit(1).cast("bigint").alias("node"), "tri", "number", *BOUNDS, *KEYS, *CHUNKS)) if n > below else loaded.withColumn("node", F.lit(1).cast("bigint"))
+    ids = own.select("number", "tri") if renumbered else None
+    all_nodes, all_splits, all_leaves, waiting, read = [], [], [], [], None
     if not n:
         empty = spark.createDataFrame([], "node bigint, tri bigint")
         return Tree(nodes.withColumn("is_leaf", F.lit(True)), spark.createDataFrame([], SPLITS), empty, max_depth, clock)
@@ -157,16 +164,16 @@ def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), fini
     level = 0
     while level < max_depth and most > below:
         with clock.phase("findBestPlane", level):
-            splits = written(best_planes(edge_costs(mem, nodes, costs, bounds if 2 * most > SWEEP else None), costs))
+            splits = written(best_planes(edge_costs(mem, nodes, costs, bounds is not None and 2 * most > SWEEP), costs))
         with clock.phase("newGen", level):
             children = written(child_extents(nodes, splits))
             most, small = children.agg(F.coalesce(F.max("n"), F.lit(0)), F.count_if((F.col("n") > 0) & (F.col("n") <= below))).first()
         with clock.phase("classifyTriangles", level):
             moved = written(descend(mem, splits, below), by="state")
-        if read is not mem:
+        if read is None:
+            released(mem)
+        else:
             released(read, f"state={OPEN}")
-        elif not renumbered:
-            released(read)
         all_nodes += [nodes, children.filter("n = 0")]
         all_splits.append(splits)
         all_leaves.append(moved.filter(F.col("state") == LEAF).select("node", "tri"))

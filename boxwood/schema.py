@@ -7,6 +7,8 @@ BOUNDS = ("x0", "x1", "y0", "y1", "z0", "z1")
 EXTENT = ("lx", "hx", "ly", "hy", "lz", "hz")
 #: Of each bound, its place in the order (t, tri, et) of its axis, as one number (operators.keys).
 KEYS = ("kx0", "kx1", "ky0", "ky1", "kz0", "kz1")
+#: Of each key, the chunk of its axis in which it is swept.
+CHUNKS = ("cx0", "cx1", "cy0", "cy1", "cz0", "cz1")
 BOXES = "tri bigint, " + ", ".join(f"{c} float" for c in BOUNDS)
 #: Edge types: a box starts before it ends.
 START, END = 0, 1
