@@ -19,6 +19,7 @@ from boxwood.functions.sah import Costs
 from boxwood.plans.tree import BUILDERS, build
 from boxwood.schema import DEPTH
 from boxwood.sources import meshes, sinks
+from boxwood.storage import released, written
 from boxwood.timings import csv_header
 
 _FLAGS = {"-h", "-o", "-v", "-q", "--csv", "--csv-header", "--to", "--graphviz", "--graphvizAccm", "--seconds", "--rdtsc", "--superfluous-prescans"}
@@ -73,7 +74,7 @@ def main(args: list[str]) -> int:
     now = lambda: time.perf_counter_ns() // 1000
     began = now()
     spark = SparkSession.builder.master(f"local[{values.get('-n', 1)}]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    boxes = meshes.load(spark, paths)
+    boxes = written(meshes.load(spark, paths))  # Spark reads when something asks: here, so that the stamp tells when the meshes are loaded
     loaded = now()
     tree = build(boxes, max_depth=depth, costs=costs_of(values), builder=values.get("--builder", "hybrid"), superfluous_prescans="--superfluous-prescans" in flags)
     built = now()
@@ -92,6 +93,7 @@ def main(args: list[str]) -> int:
     if not flags & {"-q", "--csv"}:
         for r in tree.timings.report().collect():
             print(f"{r['phase']}: {r['times']} x {r['mean_us']:.0f} us", file=sys.stderr)
+    released(boxes)
     return 0
 
 

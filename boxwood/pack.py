@@ -1,4 +1,7 @@
-"""python -m boxwood.pack [MESH.obj]... > MESH.blob: packs OBJ meshes, or the one on standard input, with their corners."""
+"""python -m boxwood.pack [MESH.obj]... > MESH.blob: packs OBJ meshes, or the one on standard input, with their corners.
+
+Standard input and the packed mesh pass through the folder of spark.checkpoint.dir, which executors share.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from boxwood.sources import meshes
+from boxwood.sources.ranges import local
+from boxwood.storage import shared_dir
 
 
 def main(args: list[str]) -> int:
@@ -17,7 +22,7 @@ def main(args: list[str]) -> int:
         print(__doc__)
         return 0
     spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory(dir=local(shared_dir(spark))) as folder:
         if not args:
             args = [os.path.join(folder, "in.obj")]
             with open(args[0], "wb") as f:

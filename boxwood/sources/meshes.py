@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +12,9 @@ from pyspark.sql import functions as F
 
 from boxwood.functions.sah import f32
 from boxwood.operators.ordering import running
-from boxwood.schema import BOUNDS, BOXES, FLT_MAX
-from boxwood.storage import written
+from boxwood.schema import BOUNDS, FLT_MAX
+from boxwood.sources.ranges import BLOB_FLOATS, HEAD, PACKED, RECORD, VERTEX, read_blob, write_ranges
 
-VERTEX = tuple(f"v{k}{c}" for k in range(3) for c in "xyz")
-#: Fixed value: the layout of a packed triangle: min, max and three corners, little-endian float32.
-BLOB_FLOATS = 15
-_BLOB_SCHEMA = BOXES + ", " + ", ".join(f"{c} float" for c in VERTEX)
 
 
 def obj_tokens(lines: DataFrame) -> DataFrame:
@@ -99,43 +94,31 @@ def concatenated(boxes: DataFrame, columns: tuple[str, ...] = BOUNDS) -> DataFra
     return boxes.join(F.broadcast(first), "file_id").select((F.col("fid") + F.col("first")).alias("tri"), *columns)
 
 
-#: A packed triangle's numbers among the columns of bounds and corners: lows, highs, corners.
-_PACKED = [0, 2, 4, 1, 3, 5, *range(6, BLOB_FLOATS)]
-
-
 def pack_blob(triangles: Iterable[tuple], n: int) -> Iterator[bytes]:
-    """Bytes of n triangles (tri, bounds, corners) as they come: the number, the triangles, the extent."""
-    low, high = np.full(3, FLT_MAX, dtype="<f4"), np.full(3, -FLT_MAX, dtype="<f4")
+    """Bytes of n triangles (tri, bounds, corners) as they come, for small meshes that are at hand: the number, the triangles, the extent."""
+    rows = np.array([r[1:] for r in triangles], dtype="<f4").reshape(-1, BLOB_FLOATS)[:, PACKED]
     yield struct.pack("<i", n)
-    rest = iter(triangles)
-    while some := list(islice(rest, 4096)):
-        data = np.array([r[1:] for r in some], dtype="<f4").reshape(-1, BLOB_FLOATS)[:, _PACKED]
-        low, high = np.minimum(low, data[:, :3].min(0)), np.maximum(high, data[:, 3:6].max(0))
-        yield data.astype("<f4").tobytes()
-    yield low.tobytes() + high.tobytes()
+    yield rows.tobytes()
+    yield rows[:, :3].min(0, initial=FLT_MAX).tobytes() + rows[:, 3:6].max(0, initial=-FLT_MAX).tobytes()
 
 
-def read_blob(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes and corners of a packed mesh; ids are places in the file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def write_blob(triangles: DataFrame, path: str) -> None:
+    """A packed mesh, its triangles in the order of tri, written by as many tasks as there are partitions: a triangle's place says where its bytes go."""
+    spark = triangles.sparkSession
+    placed = running(triangles.select("tri", *BOUNDS, *VERTEX), ["tri"], {"place": F.lit(1)})
+    ends = triangles.agg(F.count("*"), *(F.min(c) for c in BOUNDS[::2]), *(F.max(c) for c in BOUNDS[1::2])).first()
+    n, low, high = ends[0], ends[1:4], ends[4:]
+    low, high = ([FLT_MAX] * 3, [-FLT_MAX] * 3) if not n else (low, high)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                (n,) = struct.unpack_from("<i", raw)
-                if len(raw) != 4 + 4 * BLOB_FLOATS * n + 24:
-                    raise ValueError("not a packed mesh")
-                data = np.frombuffer(raw, dtype="<f4", count=BLOB_FLOATS * n, offset=4).reshape(n, BLOB_FLOATS)
-                columns = [data[:, k] for k in (0, 3, 1, 4, 2, 5, *range(6, 15))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["tri", *BOUNDS, *VERTEX])
+            place = batch.column(0).to_numpy() - 1
+            data = np.column_stack([batch.column(k + 1).to_numpy() for k in PACKED]).astype("<f4") if len(place) else np.zeros((0, BLOB_FLOATS), "<f4")
+            yield pa.RecordBatch.from_arrays([pa.array(HEAD + RECORD * place), pa.array([row.tobytes() for row in data], pa.binary())], names=["at", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _BLOB_SCHEMA)
-
-
-def write_blob(triangles: DataFrame, path: str) -> None:
-    """A packed mesh is one file with its number of triangles first; the driver writes it, a partition at a time. Parquet is the format for large meshes."""
-    triangles = written(triangles.select("tri", *BOUNDS, *VERTEX))
-    with open(path, "wb") as f:
-        f.writelines(pack_blob(triangles.orderBy("tri").toLocalIterator(), triangles.count()))
+    body = placed.select("place", *BOUNDS, *VERTEX).sortWithinPartitions("place").mapInArrow(pack, "at bigint, data binary")
+    rest = [(0, struct.pack("<i", n)), (HEAD + RECORD * n, np.array([*low, *high], dtype="<f4").tobytes())]
+    write_ranges(body.unionByName(spark.createDataFrame([(a, bytearray(d)) for a, d in rest], "at bigint, data binary")), path)
 
 
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.operators.ordering import running
 from boxwood.plans.tree import Tree
+from boxwood.schema import EXTENT
+from boxwood.sources.ranges import write_ranges
+from boxwood.storage import released, written
 
 
 def preorder_key(max_depth: int) -> Column:
@@ -85,30 +91,58 @@ def split_trace(tree: Tree) -> DataFrame:
     return tree.splits.join(level, "node").select("level", "node", F.element_at(F.array(*map(F.lit, "xyz")), F.col("axis") + 1).alias("axis"), F.when(F.col("et") == 0, "STR").otherwise("END").alias("edge"), "t", "tri", "na", "nb", "sah")
 
 
+def format_box(extent: tuple[str, ...] = EXTENT) -> Column:
+    """A box as text: [low,high]x[low,high]x[low,high]."""
+    side = lambda a, b: F.concat(F.lit("["), F.col(a).cast("string"), F.lit(","), F.col(b).cast("string"), F.lit("]"))
+    return F.concat_ws("x", *(side(a, b) for a, b in zip(extent[::2], extent[1::2], strict=True)))
+
+
+def _write_lines(rows: DataFrame, order: list[str], path: str, before: bytes = b"", after: bytes = b"") -> None:
+    """Column line of rows, in an order, each with a line end: running sums of the lengths say where each goes."""
+    data = rows.withColumn("data", F.encode(F.concat("line", F.lit("\n")), "utf-8"))
+    placed = written(running(data, order, {"_end": F.octet_length("data")}).withColumn("at", F.col("_end") - F.octet_length("data") + len(before)).select("at", "data"))
+    end = placed.agg(F.coalesce(F.max(F.col("at") + F.octet_length("data")), F.lit(len(before)))).first()[0]
+    ends = [(a, bytearray(x)) for a, x in ((0, before), (end, after)) if x]
+    write_ranges(placed.sortWithinPartitions("at").unionByName(rows.sparkSession.createDataFrame(ends, "at bigint, data binary")), path)
+    released(placed)
+
+
 def write_text(tree: Tree, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        for r in tree_text(tree).orderBy("ord").toLocalIterator():
-            f.write(r["line"] + "\n")
+    _write_lines(tree_text(tree), ["ord"], path)
+
+
+def _packed(rows: DataFrame, at: Column, columns: dict[str, str]) -> DataFrame:
+    """rows as (at, data): the columns' numbers (name -> numpy type) one after another."""
+    layout = np.dtype([(c, t) for c, t in columns.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, dtype=layout)
+            for k, c in enumerate(columns):
+                out[c] = batch.column(k + 1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], names=["at", "data"])
+
+    return rows.select(at.cast("bigint").alias("at"), *columns).sortWithinPartitions("at").mapInArrow(run, "at bigint, data binary")
 
 
 def write_manta(tree: Tree, path: str) -> None:
     """uint32 number of items, int32 items, uint32 number of nodes, 8 bytes a node: a float or int, then bits is_leaf:1, plane_dim:2, child_idx:29."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<I", tree.leaves.count()))
-        for r in manta_items(tree).orderBy("pos").toLocalIterator():
-            f.write(struct.pack("<i", r["tri"]))
-        f.write(struct.pack("<I", tree.nodes.count()))
-        for r in manta_nodes(tree).orderBy("idx").toLocalIterator():
-            head = struct.pack("<i", r["num_prims"]) if r["is_leaf"] else struct.pack("<f", r["plane_pos"])
-            f.write(head + struct.pack("<I", int(r["is_leaf"]) | r["plane_dim"] << 1 | r["child_idx"] << 3))
+    spark = tree.leaves.sparkSession
+    n_items, n_nodes = tree.leaves.count(), tree.nodes.count()
+    items = _packed(manta_items(tree), F.col("pos") * 4 + 4, {"tri": "<i4"})
+    bits = F.col("is_leaf").cast("bigint").bitwiseOR(F.shiftleft(F.col("plane_dim").cast("bigint"), 1)).bitwiseOR(F.shiftleft("child_idx", 3))
+    nodes = manta_nodes(tree).withColumns({"bits": bits, "plane_pos": F.coalesce("plane_pos", F.lit(0.0).cast("float"))})
+    first = F.col("idx") * 8 + (8 + 4 * n_items)
+    leaves = _packed(nodes.filter("is_leaf"), first, {"num_prims": "<i4", "bits": "<u4"})
+    splits = _packed(nodes.filter("not is_leaf"), first, {"plane_pos": "<f4", "bits": "<u4"})
+    heads = spark.createDataFrame([(0, bytearray(struct.pack("<I", n_items))), (4 + 4 * n_items, bytearray(struct.pack("<I", n_nodes)))], "at bigint, data binary")
+    write_ranges(items.unionByName(leaves).unionByName(splits).unionByName(heads), path)
 
 
 def write_graphviz(tree: Tree, path: str, path_counts: bool = False) -> None:
     counts = tree_path_counts(tree).select("node", F.col("path_n").alias("shown")) if path_counts else tree.nodes.select("node", F.col("n").alias("shown"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("digraph tree {\n")
-        for r in tree.nodes.join(counts, "node").orderBy("node").toLocalIterator():
-            f.write(f'  n{r["node"]} [label="{r["depth"]}: {r["shown"]}"];\n')
-            if r["node"] > 1:
-                f.write(f"  n{r['node'] >> 1} -> n{r['node']};\n")
-        f.write("}\n")
+    name = lambda c: F.concat(F.lit("  n"), c.cast("string"))
+    label = F.concat(name(F.col("node")), F.lit(' [label="'), F.col("depth").cast("string"), F.lit(": "), F.col("shown").cast("string"), F.lit('"];'))
+    edge = F.when(F.col("node") > 1, F.concat(name(F.expr("shiftright(node, 1)")), F.lit(" -> n"), F.col("node").cast("string"), F.lit(";")))
+    rows = tree.nodes.join(counts, "node").select("node", F.concat_ws("\n", label, edge).alias("line"))
+    _write_lines(rows, ["node"], path, b"digraph tree {\n", b"}\n")
