@@ -154,13 +154,16 @@ def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), fini
         own, renumbered = numbered(loaded, n, root["first"] or 0, root["last"] or 0)
         bounds = chunk_bounds(own, n) if n > below else None
         mem = written(with_keys(own, "number", bounds).select(F.lit(1).cast("bigint").alias("node"), "tri", "number", *BOUNDS, *KEYS, *CHUNKS)) if n > below else loaded.withColumn("node", F.lit(1).cast("bigint"))
+    if n > below and not renumbered:
+        released(loaded)
     ids = own.select("number", "tri") if renumbered else None
-    all_nodes, all_splits, all_leaves, waiting, read = [], [], [], [], None
+    all_nodes, all_splits, all_leaves, waiting, finished, read = [], [], [], [], [], None
     if not n:
         empty = spark.createDataFrame([], "node bigint, tri bigint")
         return Tree(nodes.withColumn("is_leaf", F.lit(True)), spark.createDataFrame([], SPLITS), empty, max_depth, clock)
     if n <= below:
         waiting.append((mem, nodes))
+        finished.append((loaded, ""))
     level = 0
     while level < max_depth and most > below:
         with clock.phase("findBestPlane", level):
@@ -178,6 +181,7 @@ def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), fini
         all_splits.append(splits)
         all_leaves.append(moved.filter(F.col("state") == LEAF).select("node", "tri"))
         if small:
+            finished.append((moved, f"state={SMALL}"))
             waiting.append((moved.filter(F.col("state") == SMALL), children.filter((F.col("n") > 0) & (F.col("n") <= below))))
         read, mem, nodes = moved, moved.filter(F.col("state") == OPEN).drop("state"), children.filter((F.col("n") > below) & (F.col("n") > 0))
         level += 1
@@ -192,6 +196,8 @@ def build(boxes: DataFrame, max_depth: int = DEPTH, costs: Costs = Costs(), fini
         with clock.phase("finish", level):
             rows = _finished(_union([m.select("node", "tri", *BOUNDS) for m, _ in waiting]), _union([x for _, x in waiting]), max_depth, costs)
         _collect(rows, every, cuts, all_leaves)
+        for table, part in finished:
+            released(table, part)
     with clock.phase("fill"):
         splits = _union(cuts) if cuts else spark.createDataFrame([], SPLITS)
         split_ids = splits.select("node", F.lit(False).alias("_s"))

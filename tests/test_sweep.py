@@ -131,3 +131,17 @@ def test_ids_beyond_31_bits(spark):
     near, wide = (tree.build(boxes(spark, r), 4, finish_below=15) for r in (rows, [(far(i), b) for i, b in rows]))
     assert leaves_of(wide) == sorted((node, far(i)) for node, i in leaves_of(near))
     assert sorted((r["node"], far(r["tri"]), r["sah"]) for r in near.splits.collect()) == sorted((r["node"], r["tri"], r["sah"]) for r in wide.splits.collect())
+
+
+def test_tables_of_levels_go(spark):
+    """What is left of a build is what its result reads: no boxes of levels that are done."""
+    from pathlib import Path
+
+    from boxwood.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    built = tree.build(meshes.mesh_embed(spark, SF), 5, finish_below=60)
+    left = [p for p in set(folder.iterdir()) - before if any("kx0" in spark.read.parquet(str(f)).columns for f in p.rglob("part-*.parquet"))]
+    assert all({d.name for d in p.glob("state=*")} <= {"state=0"} for p in left)
+    assert built.leaves.count() == len(leaves_of(built)) > 500
