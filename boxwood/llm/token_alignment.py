@@ -283,6 +283,15 @@ def _with_counts(chunks: DataFrame) -> DataFrame:
 
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+#: What is sent of the rarer chunks of a document, besides their groups' text.
+_SENT = ["pos", "n_a", "n_best", "count_sum"]
+
+
+def _counts(texts: str, n_a: np.ndarray, n_best: np.ndarray, count_sum: np.ndarray) -> list[int]:
+    """Sums of the numbers of chunks with these groups: a group has two lists, and one link less than tokens."""
+    groups, a = texts.count("|"), int(n_a.sum())
+    b = texts.count(",") + 2 * groups - a
+    return [a, b, groups, a + b - groups, int(n_best.sum()), int(count_sum.sum())]
 
 
 class _Known:
@@ -356,32 +365,35 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     # Written after the join, so that the joined tables can go before the rows move again.
     met = durable(documents.select(*_DOC, "text").mapInArrow(others, "k1 bigint, k2 int, pos int, chunk string").join(info.filter(~common).drop("n"), "chunk").drop("chunk"))
     discard(info)
-    rare = durable(met.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", *(F.col(c).cast("long").alias(c) for c in _NUMBERS), "groups")).alias("rest")))
+    # Numbers travel as arrays of their own and groups as one text for each document, a third of what structs take; the other counts follow from these.
+    rest = met.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", F.col("n_a").cast("int").alias("n_a"), F.col("n_best").cast("int").alias("n_best"), F.col("count_sum").cast("long").alias("count_sum"), "groups")).alias("rest"))
+    each = lambda c: F.transform("rest", lambda x: x[c])
+    rare = durable(rest.select(*_DOC, *(each(c).alias(c) for c in _SENT), F.array_join(each("groups"), "\n").alias("texts")))
     discard(met)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, known = pair.open(), held.value
         for batch in batches:
             numbers, groups = np.zeros((batch.num_rows, len(_NUMBERS)), dtype=np.int64), []
-            ends = np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            rest = batch.column(2).flatten()
-            places, texts = rest.field(0).to_numpy(), rest.field(len(_NUMBERS) + 1).to_pylist()
-            sums = np.column_stack([rest.field(i + 1).to_numpy() for i in range(len(_NUMBERS))])
-            for i, (raw, end) in enumerate(zip(batch.column(1), ends, strict=True)):
+            ends = np.cumsum(batch.column("pos").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            places, *sent = (batch.column(c).flatten().to_numpy() for c in _SENT)
+            for i, (raw, texts, end) in enumerate(zip(batch.column("text"), batch.column("texts").to_pylist(), ends, strict=True)):
                 begin = ends[i - 1] if i else 0
                 found = list(chain.from_iterable(map(known.places, tokenizers.words(raw.as_py()))))
                 at = np.array(found, dtype=np.int64)
                 if (at < 0).sum() != end - begin:
                     raise ValueError("chunks of a document differ from those counted")
-                numbers[i] = known.numbers[at[at >= 0]].sum(0) + sums[begin:end].sum(0)
+                numbers[i] = known.numbers[at[at >= 0]].sum(0)
                 parts = [None if x < 0 else known.groups[x] for x in found]
-                for j in range(begin, end):
-                    parts[places[j]] = texts[j]
+                if end > begin:
+                    numbers[i] += _counts(texts, *(x[begin:end] for x in sent))
+                    for place, own in zip(places[begin:end].tolist(), texts.split("\n"), strict=True):
+                        parts[place] = own
                 groups.append(";".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, j]) for j in range(len(_NUMBERS))), pa.array(groups, pa.string())], names=["id", *_NUMBERS, "groups"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(numbers[:, j]) for j in range(len(_NUMBERS))), pa.array(groups, pa.string())], names=["id", *_NUMBERS, "groups"])
 
     kind = documents.schema["id"].dataType.simpleString()
-    out = documents.join(rare, _DOC, "left").select("id", "text", "rest")
+    out = documents.join(rare, _DOC, "left").select("id", "text", *_SENT, "texts")
     return out.mapInArrow(assemble, f"id {kind}, {', '.join(f'{c} bigint' for c in _NUMBERS)}, groups string").withColumnRenamed("id", id_col)
 
 
