@@ -13,11 +13,9 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))  # for Python workers
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from boxwood.plans import catalogue
 from boxwood.plans.tree import build
-from boxwood.schema import BOUNDS
 from boxwood.sources import meshes
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -35,12 +33,10 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    million = meshes.mesh_orders(spark, SF_DIR).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("copy")).select((F.col("tri") * 8 + F.col("copy")).alias("tri"), *((F.col(c) + F.col("copy") * 977).cast("float").alias(c) for c in BOUNDS))
     runs = {
         "tree_embed_depth8": lambda: build(meshes.mesh_embed(spark, SF_DIR)).leaves,
         "tree_orders_depth8": lambda: build(meshes.mesh_orders(spark, SF_DIR)).leaves,
         "tree_orders_levels_depth3": lambda: build(meshes.mesh_orders(spark, SF_DIR), max_depth=3, finish_below=0).leaves,
-        "tree_million_depth6": lambda: build(million, max_depth=6).leaves,
         **{name: (lambda f=catalogue.QUERIES[name]: f(spark, SF_DIR)) for name in ("create_edges", "sah_root_best", "best_plane", "classify_triangles", "tree_text")},
     }
     took = {}
