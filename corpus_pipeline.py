@@ -22,7 +22,7 @@ from boxwood.llm.secret_scans import scan_secrets
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
     whole = docs.withColumn("_row", F.struct(*map(quoted, docs.columns)))
-    return assess(whole, also=("_row",)).filter("kept").select("_row.*")
+    return assess(whole, also=("_row",), folded=False).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
