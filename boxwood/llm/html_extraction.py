@@ -13,8 +13,9 @@ items get a bullet or number and are indented by depth, ``pre`` keeps its white
 and table cells are padded to the width of their columns, those over several columns or rows to all of them.
 A cell of several lines (blocks, lists, inner tables) is laid out as those lines beside the
 cells of its row. A table whose rows hold one cell each is a column of blocks, not padded. A column is
-padded to ``PAD`` characters at most and a line to ``PAD_LINE`` in all: longer cells stand whole, what is right of them moves on. A
-table that would need more padding than ``PAD_FREE`` and twice its text has none. Cells in tables
+padded to ``PAD`` characters at most: longer cells stand whole, what is right of them moves on. Columns
+that begin beyond ``PAD_LINE`` characters are not padded to, so a line has no more padding than that; how
+many rows a table has or how long its text is changes nothing. Cells in tables
 within ``NESTED`` others are blocks, too, and cells beyond the thousandth column don't reach into rows below.
 """
 
@@ -65,10 +66,10 @@ _HIDING = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 #: The most columns and rows that a cell may span in the HTML standard.
 _COLUMNS, _ROWS = 1000, 65534
-#: The widest padding of a column, and of a line.
+#: The widest padding of a column, and where the last column begins that lines are padded to.
 PAD, PAD_LINE = 40, 160
-#: Characters of padding that any table may have; a table that would need more, and more than twice its text, isn't padded.
-PAD_FREE = 16384
+#: Characters of texts that a task gives on at a time.
+_HELD = 1 << 24
 #: Tables in more tables than these are blocks.
 NESTED = 6
 #: Inputs whose value is a label.
@@ -403,14 +404,13 @@ def align(rows: list[list[Cell]]) -> str:
     more = [0] * len(starts)
     for a, b, longest in wide:  # what a cell over several columns lacks is added before the column behind it
         more[b] = max(more[b], longest + 3 - (starts[b] - starts[a]))
-    starts = [min(PAD_LINE, x + y) for x, y in zip(starts, accumulate(more), strict=True)]
-    most = max(PAD_FREE, 2 * sum(len(x[2]) for own in placed for x in own))
-    return _laid(cut, starts, most) or _laid(cut, [0] * len(starts), 0) or ""
+    starts = [x + y for x, y in zip(starts, accumulate(more), strict=True)]
+    return _laid(cut, [x if x <= PAD_LINE else 0 for x in starts])
 
 
-def _laid(cut: list[list[tuple[int, int, list[str]]]], starts: list[int], most: int) -> str | None:
-    """The lines of the rows with their columns at starts; None if that takes more padding than most."""
-    out, padding = [], 0
+def _laid(cut: list[list[tuple[int, int, list[str]]]], starts: list[int]) -> str:
+    """The lines of the rows with their columns at starts."""
+    out = []
     for own in cut:
         k, left = 0, own[: max(i for i, x in enumerate(own) if x[2] != [""]) + 1]  # after the first line, only the cells that go on are looked at
         while left:
@@ -422,14 +422,11 @@ def _laid(cut: list[list[tuple[int, int, list[str]]]], starts: list[int], most:
                     gap = max(0, starts[a] - 3 - length)
                     line.append(" " * gap + " | ")
                     length += gap + 3
-                    padding += gap
                 line.append(lines[k])
                 length += len(lines[k])
             out.append("".join(line).rstrip(" "))
             k += 1
             left = [x for x in left if len(x[2]) > k]
-        if padding > most:
-            return None
     return "\n".join(out)
 
 
@@ -444,8 +441,13 @@ def extract_html(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [render(parse(x)) if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+            at, texts, held = 0, [], 0
+            for row, x in enumerate(batch.column(1).to_pylist()):
+                texts.append(render(parse(x)) if x else "")
+                held += len(texts[-1])
+                if held > _HELD or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(texts, pa.string())], names=[id_col, "text"])
+                    at, texts, held = row + 1, [], 0
 
     return df.select(quoted(id_col), quoted(html_col)).mapInArrow(extract, f"{quoted(id_col)} {kind}, text string")
 
