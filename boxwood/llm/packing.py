@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from boxwood.llm.common import durable, n_partitions, quoted, table
 
 #: Chunks of text whose ids a task remembers: about 60 MB.
 _CACHE = 200_000
+#: Characters of texts, and chunks, that are encoded at a time.
+_TEXTS, _CHUNKS = 1 << 23, 4096
 
 
 def _byte_of() -> dict[str, int]:
@@ -99,6 +102,9 @@ class Encoder:
             own = {x["content"]: x for x in added if bool(x.get("normalized")) == normalized}
             if own:
                 self._added.append((own, re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True))))))
+        self._widths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)  # bytes of each token
+        for token, i in ranks.items():
+            self._widths[i] = len(token)
         #: White space at a chunk's beginning, or none between two spaces.
         self._odd = re.compile(r"  | \s|^\s")
 
@@ -133,6 +139,58 @@ class Encoder:
         return self._pack(first) + b"".join(out)
 
 
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has. Each different chunk is looked up once."""
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        chunks, at, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        first, last = edges[:-1], edges[1:] - 1
+        # White space at a chunk's beginning, or none between two spaces: such texts are encoded whole, as are those with added tokens.
+        odd = pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 0, 1)).to_numpy(zero_copy_only=False)[at]
+        if "" in chunks:
+            none = at == chunks.index("")
+            none[last] = False
+            odd |= none
+        whole = np.maximum.reduceat(odd, first)
+        for own, _ in self._added:
+            whole |= np.fromiter((any(x in t for x in own) for t in texts), dtype=bool, count=len(texts))
+        found = self._packed(chunks, pc.binary_length(coded.dictionary).to_numpy())
+        begins = [self.ids(t).tobytes() if w else self._pack(chunks[k]) for t, w, k in zip(texts, whole.tolist(), at[first].tolist(), strict=True)]
+        at[np.repeat(whole, np.diff(edges))] = len(chunks)
+        at[first] = len(chunks) + 1 + np.arange(len(texts))
+        every = [*found, b"", *begins]
+        lengths = np.fromiter(map(len, every), dtype=np.int64, count=len(every)) // 4
+        begin, own = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        place = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        return np.frombuffer(b"".join(every), dtype="<u4")[place], np.add.reduceat(own, first)
+
+    def _packed(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The packed ids of each of these different chunks (of so many bytes) with a space before it."""
+        known = self._known
+        out = list(map(known.get, chunks))
+        new = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(new), _CHUNKS):
+            some = new[k : k + _CHUNKS]
+            for i, x in zip(some, self._apart([chunks[i] for i in some], sizes[some]), strict=True):
+                out[i] = x
+                if len(known) < _CACHE:
+                    known[chunks[i]] = x
+        return out
+
+    def _apart(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The same for chunks that are encoded as one text: each takes the tokens of its bytes. If a token reaches into two chunks, they are encoded one by one."""
+        ids = np.array(self._plain(" " + " ".join(chunks)), dtype="<u4")
+        ends = np.cumsum(self._widths[ids])
+        stops = np.cumsum(sizes.astype(np.int64) + 1)
+        cuts = np.searchsorted(ends, stops)
+        if ends[-1] != stops[-1] or (ends[cuts] != stops).any():
+            return [self._pack(" " + x) for x in chunks]
+        packed, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+        return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
     if n <= capacity:
@@ -145,17 +203,28 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32 and, if with_ids, ids (little-endian uint32)."""
     kind = dict(df.dtypes)[id_col]
-    end = np.array([end_id], dtype="<u4")
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _TEXTS
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             at, columns = [], [[], [], [], [], []]
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.concatenate([encoder.ids(text or ""), end])
-                raw = memoryview(ids.tobytes())
-                for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
-                    own = raw[4 * start : 4 * (start + length)]
+            texts, counts = encoder.many([x or "" for x in batch.column(1).to_pylist()])
+            stops = np.cumsum(counts + 1)
+            ids = np.full(len(texts) + len(counts), end_id, dtype="<u4")
+            inside = np.ones(len(ids), dtype=bool)
+            inside[stops - 1] = False
+            ids[inside] = texts
+            raw = memoryview(ids.tobytes())
+            for row, (n, stop) in enumerate(zip((counts + 1).tolist(), stops.tolist(), strict=True)):
+                first = stop - n
+                for k, (start, length) in enumerate(pieces_of(n, capacity)):
+                    own = raw[4 * (first + start) : 4 * (first + start + length)]
                     at.append(row)
                     for column, x in zip(columns, (k, start, length, zlib.crc32(own), bytes(own) if with_ids else None), strict=True):
                         column.append(x)
@@ -205,7 +274,8 @@ def best_fit(sizes: list[int], items: list[int], bins: Bins, room: list[int], ca
 
 
 def rooms(sizes: list[int], bins: Bins, capacity: int) -> list[int]:
-    return [capacity - sum(sizes[i] for i in b) for b in bins]
+    size = sizes.__getitem__
+    return [capacity - sum(map(size, b)) for b in bins]
 
 
 def fitness(sizes: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
@@ -284,7 +354,7 @@ def cross(sizes: list[int], one: Bins, other: Bins, capacity: int, rng: random.R
 
 def mutate(sizes: list[int], bins: Bins, capacity: int, rng: random.Random) -> Bins:
     """Dissolves the least filled bins and a few others."""
-    order = sorted(range(len(bins)), key=lambda b: -(capacity - sum(sizes[i] for i in bins[b])))
+    order = sorted(range(len(bins)), key=[-r for r in rooms(sizes, bins, capacity)].__getitem__)
     gone = set(order[: max(1, len(bins) // 50)]) | {b for b in range(len(bins)) if rng.random() < 0.02}
     kept = [list(b) for k, b in enumerate(bins) if k not in gone]
     displaced = [i for k in gone for i in bins[k]]
