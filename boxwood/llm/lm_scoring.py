@@ -58,6 +58,26 @@ _MESSAGE = "kind int, target int, origin int, data binary"
 Message = tuple[int, int, int, object]
 
 
+def packed(data: object, level: int = 3) -> bytes:
+    """A message's bytes: what shuffles and tables hold of it."""
+    raw = pickle.dumps(data, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
+def unpacked(raw: bytes) -> object:
+    return pickle.loads(pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+
+
+def planes(x: np.ndarray) -> tuple[tuple[int, ...], bytes]:
+    """float32 numbers, byte by byte."""
+    return x.shape, np.ascontiguousarray(np.ascontiguousarray(x, dtype="<f4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def joined(planes_: tuple[tuple[int, ...], bytes]) -> np.ndarray:
+    shape, raw = planes_
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<f4").reshape(shape)
+
+
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each token, hash of the token before it, tokens of each text), texts one after another, an end after each."""
     words = [t.lower().split() for t in texts]
@@ -125,7 +145,7 @@ def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 def _sent(messages: list[Message]) -> Iterator[pa.RecordBatch]:
     """A batch for each message, so that large ones don't meet in one."""
     for kind, target, origin, data in messages:
-        values = [pa.array([x], pa.int32()) for x in (kind, target, origin)] + [pa.array([pickle.dumps(data, protocol=5)], pa.binary())]
+        values = [pa.array([x], pa.int32()) for x in (kind, target, origin)] + [pa.array([packed(data)], pa.binary())]
         yield pa.RecordBatch.from_arrays(values, names=["kind", "target", "origin", "data"])
 
 
@@ -133,7 +153,7 @@ def _step(messages: DataFrame, width: int, of) -> DataFrame:
     """The messages that of(target, messages by kind and origin) gives for each target; a target's messages meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r["kind"], r["origin"], r["target"], pickle.loads(r["data"])) for batch in batches for r in batch.to_pylist()]
+        got = [(r["kind"], r["origin"], r["target"], unpacked(r["data"])) for batch in batches for r in batch.to_pylist()]
         if got:
             got.sort(key=lambda r: r[:2])
             yield from _sent(of(got[0][2], [(kind, origin, data) for kind, origin, _, data in got]))
@@ -372,14 +392,28 @@ def answers(target: int, got: list, hyper: Hyper, totals: np.ndarray, n_sweeps:
     out = []
     for block, at, own in asked:
         at, own = np.cumsum(at, dtype=np.int64), np.cumsum(own, dtype=np.int64)
-        out.append((REPLY, block, target, (squeezed(words[at]), c_word[at], parents[:, at], small(tables[:, at]), squeezed(keys[own]), rest[own])))
+        out.append((REPLY, block, target, (squeezed(words[at]), c_word[at], planes(parents[:, at]), small(tables[:, at]), squeezed(keys[own]), planes(rest[own]))))
     return out
 
 
+def packed_texts(docs: DataFrame, kind: str) -> DataFrame:
+    """block, kind (1), ids, held_out, data: a row for each slice of an input partition, its texts packed together, as they cross a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                one = lambda c: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c))  # noqa: E731, B023
+                data = packed([t or b"" for t in part.column("data").to_pylist()], 9)
+                yield pa.RecordBatch.from_arrays([part.column("block").slice(0, 1), pa.array([1], pa.int32()), one("id"), one("held_out"), pa.array([data], pa.binary())], names=["block", "kind", "ids", "held_out", "data"])
+
+    return docs.select("block", "id", "held_out", "data").mapInArrow(run, f"block int, kind int, ids array<{kind}>, held_out array<boolean>, data binary")
+
+
 def _sums(messages: DataFrame) -> np.ndarray | None:
     """The sum of the SUM messages; None if there is none."""
     rows = messages.filter(F.col("kind") == SUM).select("data").collect()
-    return sum(pickle.loads(r["data"]) for r in rows) if rows else None
+    return sum(unpacked(r["data"]) for r in rows) if rows else None
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, n_sweeps: int = 4, burn: int = 1, seed: int = 0) -> DataFrame:
@@ -427,8 +461,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     del messages, gathered, given
     discard(*written)
     none = lambda t: F.lit(None).cast(t)
-    rows = docs.select("block", F.lit(1).alias("kind"), "id", "held_out", "data")
-    rows = rows.unionByName(replies.select(F.col("target").alias("block"), F.lit(0).alias("kind"), none(kind).alias("id"), none("boolean").alias("held_out"), "data"))
+    rows = packed_texts(docs, kind)
+    rows = rows.unionByName(replies.select(F.col("target").alias("block"), F.lit(0).alias("kind"), none(f"array<{kind}>").alias("ids"), none("array<boolean>").alias("held_out"), "data"))
     rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("kind")
     tokens, unit = hyper.tokens, hyper.tokens + 0.5 * (hyper.known + 1)
 
@@ -436,13 +470,16 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         got, words = [], None
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            got += [pickle.loads(x) for x in batch.filter(pa.array(kinds == 0)).column("data").to_pylist()]
+            for data in batch.filter(pa.array(kinds == 0)).column("data"):
+                x = unpacked(data.as_py())
+                got.append((spread(x[0]), x[1], joined(x[2]), x[3], spread(x[4]), joined(x[5])))
+                del x
             asked = batch.filter(pa.array(kinds == 1))
             if not asked.num_rows:
                 continue
             if words is None:
-                got = [(spread(x[0]), *x[1:4], spread(x[4]), x[5]) for x in got]
                 words, counts, parents, tables, keys, rest = (np.concatenate(x, axis=-1) for x in zip(*got, strict=True))
+                got = []
                 counts = counts.astype(np.int64)
                 order, key_order = np.argsort(words), np.argsort(keys)
                 words, counts, parents, tables = words[order], counts[order], parents[:, order], tables[:, order]
@@ -450,24 +487,24 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 keys, rest = np.append(keys[key_order], np.uint64(0)), np.append(rest[key_order], np.float32(0))
                 seen, bases = len(keys) - 1, np.log10((counts + 0.5) / unit)
                 weights = (hyper.s1 + hyper.d1 * tables) / (hyper.s1 + counts) / len(tables)
-                got = []
-            for at in range(0, asked.num_rows, _SLICE):
-                part = asked.slice(at, _SLICE)
-                hashes, contexts, n = tokens_of([t or b"" for t in part.column("data").to_pylist()])
+            for at in range(asked.num_rows):
+                part = asked.slice(at, 1)
+                ids, held = part.column("ids").flatten(), part.column("held_out").flatten()
+                hashes, contexts, n = tokens_of(unpacked(part.column("data")[0].as_py()))
                 spots, before = np.searchsorted(words, hashes), np.searchsorted(words, contexts[:1])
                 if spots.max() == len(words) or (words[spots] != hashes).any():
                     raise RuntimeError("the input was divided into other partitions when it was read again")
                 before = np.concatenate([before, spots[:-1]])
                 asked_keys = pair_keys(hashes, contexts_of(contexts))
                 places = np.searchsorted(keys[:seen], asked_keys)
-                trained = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+                trained = ~np.asarray(held.to_numpy(zero_copy_only=False), dtype=bool)
                 alone = np.repeat(np.where(trained, 1 - hyper.d1, 0.0), n)
                 p = np.where((keys[places] == asked_keys) & (places < seen), rest[places], alone) / (hyper.s1 + counts[before])
                 for weight, parent in zip(weights, parents, strict=True):
                     p += weight[before] * parent[spots]
                 starts = np.cumsum(n) - n
                 add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
-                columns = [part.column("id"), part.column("held_out"), pa.array(n), pa.array(add((counts > 0).astype(np.int64)[spots])), pa.array(np.full(len(n), tokens)), pa.array(add(bases[spots])), pa.array(add(np.log10(p)))]
+                columns = [ids, held, pa.array(n), pa.array(add((counts > 0).astype(np.int64)[spots])), pa.array(np.full(len(n), tokens)), pa.array(add(bases[spots])), pa.array(add(np.log10(p)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, schema)
