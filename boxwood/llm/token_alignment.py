@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -36,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +46,18 @@ from boxwood.llm.packing import Encoder, _byte_of
 KNOWN, SHORT = 200_000, 64
 #: Id pairs whose counts are broadcast; the others are joined by a shuffle.
 PAIRS = 200_000
-#: Words that a task counts before it passes them on, or remembers.
+#: Chunks that a task remembers as given back or not.
 _HELD = 200_000
+#: Bytes of texts that a task splits at a time; of each part it looks up every different word once.
+_TEXTS = 1 << 22
 _DOC = ["k1", "k2"]
 _WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: A space beside white space, where splitting at each space would cut too often.
 _ODD = re.compile(r"\s | \s|^ | $")
 #: Within what lies between such spaces: before a line end, after a single one, and between a Latin letter and a mark.
 _FINER = re.compile(r"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
+#: A word without any of these is one chunk.
+_CUTS = re.compile(r"[\n.,;:!?]")
 #: Fixed value: the character by which pieces write a space.
 _SPACE = "▁"
 
@@ -68,6 +72,35 @@ def chunks_of(word: str) -> list[str]:
     return _FINER.split(" " + word)
 
 
+def _parts(batch: pa.RecordBatch, of: str) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with about _TEXTS bytes in its column ``of``, which bounds what is made of them at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(of)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _TEXTS
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _along(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), and so on for each."""
+    starts, counts = starts.astype(np.int64), counts.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the rows of values between each two edges."""
+    return np.diff(np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])[edges], axis=0)
+
+
+@dataclass
+class Chunks:
+    """Chunks of texts: the different ones, the place among them of each that occurs, text by text, and where each text's begin and end."""
+
+    names: pa.Array
+    at: np.ndarray
+    edges: np.ndarray
+
+
 @dataclass(frozen=True)
 class Pair:
     """Paths of a byte-level BPE file (A) and of a sentencepiece model (B); opened in the tasks."""
@@ -129,25 +162,70 @@ class Tokenizers:
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(list(map(len, self._a_bytes)), dtype=np.int32), np.array(list(map(len, self._b_bytes)), dtype=np.int32)
 
-    def words(self, raw: bytes | None) -> list[str]:
-        """The words of a text; none if it is null, empty, no UTF-8, or not given back by both tokenizers."""
-        if not raw:
-            return []
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            return []
-        if _SPACE in text:
-            return []
-        own = words_of(text)
-        return own if self._plain or self._all_same(own) else []
-
-    def _all_same(self, own: list[str]) -> bool:
+    def sides(self, chunks: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """Of A and of B: the ids of all chunks, one after another, and where each chunk's begin and end. A chunk that isn't given back is an error."""
+        out, raw = [], [c.encode() for c in chunks]
+        stops, whole = np.cumsum([0, *map(len, raw)]), b"".join(raw)
+        for ids, entries in ((list(map(self._a, chunks)), self._a_bytes), (self._b.encode(chunks, num_threads=1), self._b_bytes)):
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+            tokens = list(map(entries.__getitem__, flat.tolist()))
+            if b"".join(tokens) != whole or (np.cumsum([0, *map(len, tokens)])[ends] != stops).any():
+                bad = next(c for c, (_, _, same) in zip(chunks, self.encode(chunks), strict=True) if not same)
+                raise ValueError(f"tokens of {bad!r} don't give it back")
+            out.append((flat, ends))
+        return tuple(out)
+
+    def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of these texts, the place among them of each that occurs, and how many each text has.
+
+        A text has none if it is null, empty, no UTF-8, or has the character that stands for a space.
+        """
+        texts = pa.array([_decoded(x) for x in texts.to_pylist()], pa.string())
+        split = pc.split_pattern(texts, " ")
+        lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, at, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *lengths.tolist()])
+        # White space at a word's beginning or end, or none between two spaces: not every space of such a text divides words.
+        begins, ends, none = (np.array(x, dtype=bool)[at] if words else np.zeros(0, bool) for x in ([w[:1].isspace() for w in words], [w[-1:].isspace() for w in words], [not w for w in words]))
+        has = lengths > 0
+        begins[edges[:-1][has]] = ends[edges[1:][has] - 1] = False
+        odd = np.flatnonzero(_sums((begins | ends | none).astype(np.int64), edges))
+        if len(odd):
+            place, own = {w: i for i, w in enumerate(words)}, np.split(at, edges[1:-1])
+            for i in odd.tolist():
+                own[i] = np.array([place.setdefault(w, len(place)) for w in words_of(texts[i].as_py())], dtype=np.int64)
+            words, at, lengths = list(place), np.concatenate(own), np.array(list(map(len, own)), dtype=np.int64)
+        return words, at, lengths
+
+    def chunks(self, texts: pa.Array) -> Chunks:
+        """The chunks of these texts; none of those that aren't given back by both tokenizers."""
+        words, at, lengths = self.words(texts)
+        own = [_FINER.split(f" {w}") if _CUTS.search(w) else (f" {w}",) for w in words]
+        counts = np.array(list(map(len, own)), dtype=np.int64)
+        coded = pa.array(chain.from_iterable(own), pa.string()).dictionary_encode()
+        if not self._plain:
+            bad = ~np.array(self._same(coded.dictionary.to_pylist()), dtype=bool)[coded.indices.to_numpy()]
+            bad = _sums(_sums(bad.astype(np.int64), np.cumsum([0, *counts.tolist()]))[at], np.cumsum([0, *lengths.tolist()])) > 0
+            at, lengths = at[~np.repeat(bad, lengths)], np.where(bad, 0, lengths)
+        each = counts[at]
+        places = coded.indices.to_numpy()[_along((np.cumsum(counts) - counts)[at], each)] if len(at) else np.zeros(0, np.int64)
+        return Chunks(coded.dictionary, places, np.cumsum([0, *_sums(each, np.cumsum([0, *lengths.tolist()])).tolist()]))
+
+    def _same(self, chunks: list[str]) -> list[bool]:
         if len(self._judged) > _HELD:
             self._judged.clear()
-        if new := list({c for w in own for c in chunks_of(w) if c not in self._judged}):
+        if new := [c for c in chunks if c not in self._judged]:
             self._judged |= {c: same for c, (_, _, same) in zip(new, self.encode(new), strict=True)}
-        return all(self._judged[c] for w in own for c in chunks_of(w))
+        return [self._judged[c] for c in chunks]
+
+
+def _decoded(raw: bytes | None) -> str | None:
+    try:
+        text = raw.decode() if raw else None
+    except UnicodeDecodeError:
+        return None
+    return None if text is None or _SPACE in text else text
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,24 +237,13 @@ def chunk_counts(documents: DataFrame, pair: Pair) -> DataFrame:
     """(chunk, n) over all texts that both tokenizers give back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, held = pair.open(), Counter()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            chunks = Counter()
-            for word, n in held.items():
-                for chunk in chunks_of(word):
-                    chunks[chunk] += n
-            held.clear()
-            names, numbers = list(chunks), list(chunks.values())
-            for at in range(0, len(names), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 20_000], pa.string()), pa.array(numbers[at : at + 20_000])], names=["chunk", "n"])
-
+        tokenizers = pair.open()
         for batch in batches:
-            for raw in batch.column(0):
-                held.update(tokenizers.words(raw.as_py()))
-                if len(held) > _HELD:
-                    yield from rows()
-        yield from rows()
+            for part in _parts(batch, "text"):
+                got = tokenizers.chunks(part.column("text"))
+                n = np.bincount(got.at, minlength=len(got.names)).astype(np.int64)
+                there = n > 0
+                yield pa.RecordBatch.from_arrays([got.names.filter(pa.array(there)), pa.array(n[there])], names=["chunk", "n"])
 
     return documents.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
 
@@ -188,17 +255,8 @@ def encoded(chunks: DataFrame, pair: Pair) -> DataFrame:
         tokenizers = pair.open()
         sizes = tokenizers.lengths()
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            sides: tuple[list, list] = ([], [])
-            for chunk, (a, b, same) in zip(names, tokenizers.encode(names), strict=True):
-                if not same:
-                    raise ValueError(f"tokens of {chunk!r} don't give it back")
-                sides[0].append(a)
-                sides[1].append(b)
             lists = []
-            for own, size in zip(sides, sizes, strict=True):
-                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                flat = np.concatenate(own or [np.zeros(0, np.int32)]).astype(np.int32)
+            for (flat, ends), size in zip(tokenizers.sides(batch.column(0).to_pylist()), sizes, strict=True):
                 lists += [pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, size[flat])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["chunk", "n", "a", "a_len", "b", "b_len"])
 
@@ -298,22 +356,12 @@ class _Known:
     """The alignment of common chunks, as arrays."""
 
     def __init__(self, got: pa.Table):
-        self.at = {c: i for i, c in enumerate(got.column("chunk").to_pylist())}
+        self.chunks, self.groups = (pa.concat_arrays([pa.array([], pa.string()), *got.column(c).cast(pa.string()).chunks]) for c in ("chunk", "groups"))
         self.numbers = np.column_stack([got.column(c).to_numpy().astype(np.int64) for c in _NUMBERS]) if len(got) else np.zeros((0, len(_NUMBERS)), np.int64)
-        self.groups = got.column("groups").to_pylist()
-        self._words: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}}
 
-    def places(self, word: str) -> tuple[int, ...]:
-        """Where the word's chunks stand; -1 for those that aren't known."""
-        found = self._words.get(word)
-        if found is None:
-            if len(self._words) > _HELD:
-                self._words.clear()
-            found = self._words[word] = tuple(self.at.get(c, -1) for c in chunks_of(word))
-        return found
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where these chunks stand; -1 for those that aren't known."""
+        return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,20 +395,16 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
         """Places of chunks that aren't among the known; of equal rows in a task, the first one's."""
         tokenizers, known, seen = pair.open(), held.value, set()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    pos = 0
-                    for word in tokenizers.words(raw.as_py()):
-                        at = known.places(word)
-                        if -1 in at:
-                            for i, chunk in enumerate(chunks_of(word)):
-                                if at[i] < 0:
-                                    for column, value in zip(out, (k1, k2, pos + i, chunk), strict=True):
-                                        column.append(value)
-                        pos += len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=[*_DOC, "pos", "chunk"])
+            new = []
+            for key in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            for part in _parts(batch.filter(pa.array(new, pa.bool_())), "text"):
+                got = tokenizers.chunks(part.column("text"))
+                rare = np.flatnonzero((known.places(got.names)[got.at] < 0) if len(got.at) else np.zeros(0, bool))
+                doc = np.searchsorted(got.edges, rare, side="right") - 1
+                keys = [part.column(c).take(pa.array(doc)) for c in _DOC]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(rare - got.edges[doc], pa.int32()), got.names.take(pa.array(got.at[rare]))], names=[*_DOC, "pos", "chunk"])
 
     # Written after the join, so that the joined tables can go before the rows move again.
     met = durable(documents.select(*_DOC, "text").mapInArrow(others, "k1 bigint, k2 int, pos int, chunk string").join(info.filter(~common).drop("n"), "chunk").drop("chunk"))
@@ -374,23 +418,24 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, known = pair.open(), held.value
         for batch in batches:
-            numbers, groups = np.zeros((batch.num_rows, len(_NUMBERS)), dtype=np.int64), []
-            ends = np.cumsum(batch.column("pos").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            places, *sent = (batch.column(c).flatten().to_numpy() for c in _SENT)
-            for i, (raw, texts, end) in enumerate(zip(batch.column("text"), batch.column("texts").to_pylist(), ends, strict=True)):
-                begin = ends[i - 1] if i else 0
-                found = list(chain.from_iterable(map(known.places, tokenizers.words(raw.as_py()))))
-                at = np.array(found, dtype=np.int64)
-                if (at < 0).sum() != end - begin:
+            for part in _parts(batch, "text"):
+                got = tokenizers.chunks(part.column("text"))
+                at = known.places(got.names)[got.at] if len(got.at) else got.at
+                rare = np.flatnonzero(at < 0)
+                doc = np.searchsorted(got.edges, rare, side="right") - 1
+                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(part.column("pos")), 0).to_pylist()])
+                pos, *sent = (part.column(c).flatten().to_numpy() for c in _SENT)
+                order = np.lexsort((pos, np.repeat(np.arange(part.num_rows), np.diff(ends))))
+                if len(order) != len(rare) or (np.diff(ends) != np.bincount(doc, minlength=part.num_rows)).any() or (pos[order] != rare - got.edges[doc]).any():
                     raise ValueError("chunks of a document differ from those counted")
-                numbers[i] = known.numbers[at[at >= 0]].sum(0)
-                parts = [None if x < 0 else known.groups[x] for x in found]
-                if end > begin:
-                    numbers[i] += _counts(texts, *(x[begin:end] for x in sent))
-                    for place, own in zip(places[begin:end].tolist(), texts.split("\n"), strict=True):
-                        parts[place] = own
-                groups.append(";".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(numbers[:, j]) for j in range(len(_NUMBERS))), pa.array(groups, pa.string())], names=["id", *_NUMBERS, "groups"])
+                numbers = _sums(np.where(at[:, None] < 0, 0, known.numbers[at]) if len(known.numbers) else np.zeros((len(at), len(_NUMBERS)), np.int64), got.edges)
+                texts = part.column("texts")
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    numbers[i] += _counts(texts[i].as_py(), *(x[ends[i] : ends[i + 1]] for x in sent))
+                at[rare] = len(known.groups) + order
+                found = pa.concat_arrays([known.groups, pc.split_pattern(texts.cast(pa.string()), "\n").flatten()]).take(pa.array(at))
+                groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(got.edges, pa.int32()), found), ";")
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(numbers[:, j]) for j in range(len(_NUMBERS))), groups], names=["id", *_NUMBERS, "groups"])
 
     kind = documents.schema["id"].dataType.simpleString()
     out = documents.join(rare, _DOC, "left").select("id", "text", *_SENT, "texts")

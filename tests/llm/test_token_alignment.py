@@ -116,6 +116,28 @@ def test_chunks_give_text_back():
         assert "".join(c for w in T.words_of(text) for c in T.chunks_of(w)) == " " + text
 
 
+def test_parts_of_a_batch(monkeypatch):
+    """A batch is split part by part, which bounds what a task holds; each different word of a part is looked up once, with the chunks of a plain reading."""
+    import pyarrow as pa
+
+    texts = [t.encode() for t in odd_texts()] + [None, b"a \xff b", b"\xed\xa0\x80", *[b"many words. again, many words"] * 50]
+    batch, tokenizers = pa.record_batch([pa.array(texts, pa.binary())], names=["text"]), T.Pair(*PATHS).open()
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr(T, "_TEXTS", size)
+        found, parts = [], list(T._parts(batch, "text"))
+        assert all(p.num_rows == 1 or sum(len(x or b"") for x in p.column(0).to_pylist()[1:]) <= size for p in parts)
+        for part in parts:
+            got = tokenizers.chunks(part.column("text"))
+            names = got.names.to_pylist()
+            assert len(set(names)) == len(names)
+            found += [[names[k] for k in got.at[a:b]] for a, b in zip(got.edges, got.edges[1:])]
+        text_of = lambda raw: (raw or b"").decode(errors="replace")
+        assert found == [[c for w in T.words_of(text_of(x)) for c in T.chunks_of(w)] if x and not set("▁\ufffd") & set(text_of(x)) else [] for x in texts]
+    with pytest.raises(ValueError, match="don't give it back"):
+        tokenizers._b_bytes = [b"?"] * len(tokenizers._b_bytes)
+        tokenizers.sides([" a", " b"])
+
+
 def test_registered(spark):
     from boxwood.llm.registry import QUERIES
 
