@@ -75,6 +75,26 @@ def test_segments_cut_equal_values(spark):
     assert "SortAggregate" not in plan_of(planes.best_planes(swept)) and plan_of(planes.best_planes(swept)).count("HashAggregate") >= 4
 
 
+@pytest.mark.parametrize("costs", [Costs(), Costs(1.0, 2.0, 0.25), Costs(40.0, 10.0, -0.5), Costs(15.0, 20.0, 1.5)])
+def test_cheapest_planes_from_few_edges(spark, costs):
+    """Chunks that can't hold the cheapest plane aren't swept; the planes are those of the full sweep: two nodes, ties, empty ends, a node without surface, infinite bounds."""
+    rng = np.random.default_rng(7)
+    low = rng.integers(0, 60, (1500, 3)) * np.array([1, 9, 2])
+    low[:300, 0] += 400
+    rows = [(4096 * i, [x for k in range(3) for x in (low[i, k], low[i, k] + rng.integers(0, 4))]) for i in range(1500)]
+    rows += [(4096 * i, [1, 1, 2, 2, 0, 5]) for i in range(1500, 1600)] + [(4096 * i, [float("-inf"), 1, 2, 2, 0, float(i)]) for i in range(1600, 1650)]
+    mesh = boxes(spark, rows)
+    node = F.when(F.col("tri") >= 4096 * 1600, 4).when(F.col("tri") >= 4096 * 1500, 3).otherwise(F.when(F.col("x0") > 30, 2).otherwise(1)).cast("bigint")
+    own = keys.with_keys(mesh, bounds=edges.key_bounds(keys.with_keys(mesh), 64)).withColumn("node", node)
+    parts = [tree.root_node(own.filter(F.col("node") == k)).withColumn("node", F.lit(k).cast("bigint")) for k in (1, 2, 3, 4)]
+    nodes = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    full, few = (planes.edge_costs(own, nodes, costs, chunked=True, cheapest=c) for c in (False, True))
+    planes_of = lambda priced: sorted(map(tuple, planes.best_planes(priced, costs).collect()))
+    assert planes_of(few) == planes_of(full) and len(planes_of(full)) >= 2
+    swept = lambda priced: priced.filter("node < 3").count()
+    assert swept(few) <= swept(full) // (3 if costs == Costs() else 1)
+
+
 def test_orders_as_in_sql(spark):
     """running takes orders as expressions; NaN, nulls, signs of zero and directions as DuckDB has them."""
     rng = random.Random(4)
