@@ -29,7 +29,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import chain
 
@@ -57,7 +57,11 @@ _ODD = re.compile(r"\s | \s|^ | $")
 #: Within what lies between such spaces: before a line end, after a single one, and between a Latin letter and a mark.
 _FINER = re.compile(r"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
 #: A word without any of these is one chunk.
-_CUTS = re.compile(r"[\n.,;:!?]")
+_CUTS = "\n.,;:!?"
+#: White space, of which RE2's \s has the ASCII part only.
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+#: Of each character, the last standing for all after it: whether it is white space, a Latin letter as above.
+_IS_WHITE, _IS_LATIN = (np.array([bool(re.match(p, chr(i))) for i in range(0x3002)]) for p in (r"\s", "[A-Za-zÀ-ÖØ-öø-ɏ]"))
 #: Fixed value: the character by which pieces write a space.
 _SPACE = "▁"
 
@@ -92,6 +96,44 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])[edges], axis=0)
 
 
+def _raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, one after another, and where each word's begin and end."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _like(words: pa.Array, maybe: np.ndarray, pattern: str) -> np.ndarray:
+    """Which words fit; looked for among these only."""
+    at = np.flatnonzero(maybe)
+    out = np.zeros(len(words), bool)
+    out[at[pc.match_substring_regex(words.take(pa.array(at)), pattern).to_numpy(zero_copy_only=False)]] = True
+    return out
+
+
+def _with_cuts(words: pa.Array) -> np.ndarray:
+    """Which words have a character of _CUTS."""
+    raw, edges = _raw(words)
+    out = np.zeros(len(words), bool)
+    out[np.searchsorted(edges, np.flatnonzero(np.isin(np.arange(256), list(_CUTS.encode()))[raw]), side="right") - 1] = True
+    return out
+
+
+def _cut(spaced: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What _FINER makes of these words, each with the space before it, one after another; and how many of each."""
+    raw, edges = _raw(spaced)
+    chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at = np.cumsum(np.concatenate([np.zeros(1, np.int64), 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)]))
+    kind = np.minimum(chars, len(_IS_WHITE) - 1)
+    shown, latin, line, mark = ~_IS_WHITE[kind], _IS_LATIN[kind], chars == ord("\n"), np.isin(chars, list(map(ord, _CUTS[1:])))
+    after = lambda x: np.concatenate([np.zeros(1, bool), x])[:-1]
+    begins = after(shown) & line | after(after(shown) & line) & shown | after(latin) & mark  # none of them across words, as a word's first is its space
+    begins[np.searchsorted(at, edges[:-1])] = True
+    starts = np.append(at[:-1][begins], at[-1])
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(raw)), np.diff(np.searchsorted(starts, edges))
+
+
 @dataclass
 class Chunks:
     """Chunks of texts: the different ones, the place among them of each that occurs, text by text, and where each text's begin and end."""
@@ -103,33 +145,50 @@ class Chunks:
 
 @dataclass(frozen=True)
 class Pair:
-    """Paths of a byte-level BPE file (A) and of a sentencepiece model (B); opened in the tasks."""
+    """Paths of a byte-level BPE file (A) and of a sentencepiece model (B); opened in the tasks. plain is as in Tokenizers, None if not yet known."""
 
     a: str
     b: str
+    plain: bool | None = None
 
     def open(self) -> Tokenizers:
         return Tokenizers(self)
 
+    def judged(self) -> Pair:
+        """This pair with plain known, so that tasks that only split texts don't read B's model."""
+        return replace(self, plain=self.open()._plain)
+
 
 class Tokenizers:
-    """Both tokenizers; the libraries are opened when something is to be encoded."""
+    """Both tokenizers; files and libraries are opened when something needs them."""
 
     def __init__(self, pair: Pair):
+        self._pair = pair
+        self._judged: dict[str, bool] = {}
+
+    @cached_property
+    def _parsed(self):
         from sentencepiece import sentencepiece_model_pb2
 
-        self._pair = pair
-        with open(pair.b, "rb") as f:
+        with open(self._pair.b, "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
         rules, pieces = model.normalizer_spec, [p.piece.replace(_SPACE, " ") for p in model.pieces if p.type == p.NORMAL]
         if not rules.add_dummy_prefix or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix or any(re.search(r"\S ", p) or _FINER.search(p) for p in pieces):
             raise ValueError("chunks of a text aren't encoded as in it")
-        #: Whether B's pieces give the text back unless it has the character that stands for a space.
-        self._plain = rules.name == "identity" and not rules.remove_extra_whitespaces and model.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in model.pieces)
-        self._b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(_SPACE, " ").encode() for p in model.pieces]
         rules.add_dummy_prefix = False  # chunks have their own spaces
-        self._model = model.SerializeToString()
-        self._judged: dict[str, bool] = {}
+        return model
+
+    @cached_property
+    def _plain(self) -> bool:
+        """Whether B's pieces give the text back unless it has the character that stands for a space."""
+        if self._pair.plain is not None:
+            return self._pair.plain
+        model, rules = self._parsed, self._parsed.normalizer_spec
+        return rules.name == "identity" and not rules.remove_extra_whitespaces and model.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in model.pieces)
+
+    @cached_property
+    def _b_bytes(self) -> list[bytes]:
+        return [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(_SPACE, " ").encode() for p in self._parsed.pieces]
 
     @cached_property
     def _a(self) -> Callable[[str], list[int]]:
@@ -139,7 +198,7 @@ class Tokenizers:
     def _b(self):
         import sentencepiece
 
-        return sentencepiece.SentencePieceProcessor(model_proto=self._model)
+        return sentencepiece.SentencePieceProcessor(model_proto=self._parsed.SerializeToString())
 
     @cached_property
     def _a_bytes(self) -> list[bytes]:
@@ -176,7 +235,7 @@ class Tokenizers:
             out.append((flat, ends))
         return tuple(out)
 
-    def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The different words of these texts, the place among them of each that occurs, and how many each text has.
 
         A text has none if it is null, empty, no UTF-8, or has the character that stands for a space.
@@ -185,31 +244,45 @@ class Tokenizers:
         split = pc.split_pattern(texts, " ")
         lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words, at, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *lengths.tolist()])
+        words, at, edges = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *lengths.tolist()])
         # White space at a word's beginning or end, or none between two spaces: not every space of such a text divides words.
-        begins, ends, none = (np.array(x, dtype=bool)[at] if words else np.zeros(0, bool) for x in ([w[:1].isspace() for w in words], [w[-1:].isspace() for w in words], [not w for w in words]))
-        has = lengths > 0
-        begins[edges[:-1][has]] = ends[edges[1:][has] - 1] = False
-        odd = np.flatnonzero(_sums((begins | ends | none).astype(np.int64), edges))
-        if len(odd):
-            place, own = {w: i for i, w in enumerate(words)}, np.split(at, edges[1:-1])
-            for i in odd.tolist():
-                own[i] = np.array([place.setdefault(w, len(place)) for w in words_of(texts[i].as_py())], dtype=np.int64)
-            words, at, lengths = list(place), np.concatenate(own), np.array(list(map(len, own)), dtype=np.int64)
+        raw, stops = _raw(words)
+        none, raw, white = stops[1:] == stops[:-1], np.append(raw, np.uint8(0)), "[" + "".join(_WHITE) + "]"
+        begins, ends = (_like(words, ~none & np.isin(np.arange(256), [c.encode()[k] for c in _WHITE])[raw[x]], p) for x, k, p in ((stops[:-1], 0, rf"\A{white}"), (stops[1:] - 1, -1, rf"{white}\z")))
+        if begins.any() or ends.any() or none.any():
+            begins, ends, none = begins[at], ends[at], none[at]
+            has = lengths > 0
+            begins[edges[:-1][has]] = ends[edges[1:][has] - 1] = False
+            odd = np.flatnonzero(_sums((begins | ends | none).astype(np.int64), edges))
+            if len(odd):
+                found = [words_of(texts[i].as_py()) for i in odd.tolist()]
+                coded = pa.concat_arrays([words, pa.array(chain.from_iterable(found), pa.string())]).dictionary_encode()
+                stops = np.cumsum([len(words), *map(len, found)])
+                own = np.split(at, edges[1:-1])
+                for i, a, b in zip(odd.tolist(), stops[:-1], stops[1:], strict=True):
+                    own[i] = coded.indices[int(a) : int(b)].to_numpy().astype(np.int64)
+                words, at, lengths = coded.dictionary, np.concatenate(own), np.array(list(map(len, own)), dtype=np.int64)
         return words, at, lengths
 
     def chunks(self, texts: pa.Array) -> Chunks:
         """The chunks of these texts; none of those that aren't given back by both tokenizers."""
         words, at, lengths = self.words(texts)
-        own = [_FINER.split(f" {w}") if _CUTS.search(w) else (f" {w}",) for w in words]
-        counts = np.array(list(map(len, own)), dtype=np.int64)
-        coded = pa.array(chain.from_iterable(own), pa.string()).dictionary_encode()
+        cut = _with_cuts(words)
+        spaced = lambda x: pc.binary_join_element_wise(pa.scalar(" "), words.filter(pa.array(x)), "")
+        finer, each = _cut(spaced(cut))
+        coded = pa.concat_arrays([spaced(~cut), finer]).dictionary_encode()
+        counts = np.ones(len(words), np.int64)
+        counts[cut] = each
+        # Those that aren't cut lie before the others; they are read word by word.
+        first = np.cumsum(counts) - counts
+        of = np.empty(int(counts.sum()), np.int64)
+        of[np.concatenate([first[~cut], _along(first[cut], each)])] = coded.indices.to_numpy()
         if not self._plain:
-            bad = ~np.array(self._same(coded.dictionary.to_pylist()), dtype=bool)[coded.indices.to_numpy()]
+            bad = ~np.array(self._same(coded.dictionary.to_pylist()), dtype=bool)[of]
             bad = _sums(_sums(bad.astype(np.int64), np.cumsum([0, *counts.tolist()]))[at], np.cumsum([0, *lengths.tolist()])) > 0
             at, lengths = at[~np.repeat(bad, lengths)], np.where(bad, 0, lengths)
         each = counts[at]
-        places = coded.indices.to_numpy()[_along((np.cumsum(counts) - counts)[at], each)] if len(at) else np.zeros(0, np.int64)
+        places = of[_along(first[at], each)] if len(at) else np.zeros(0, np.int64)
         return Chunks(coded.dictionary, places, np.cumsum([0, *_sums(each, np.cumsum([0, *lengths.tolist()])).tolist()]))
 
     def _same(self, chunks: list[str]) -> list[bool]:
@@ -357,12 +430,16 @@ class _Known:
 
     def __init__(self, got: pa.Table):
         self.chunks, self.groups = (pa.concat_arrays([pa.array([], pa.string()), *got.column(c).cast(pa.string()).chunks]) for c in ("chunk", "groups"))
-        self.numbers = np.column_stack([got.column(c).to_numpy().astype(np.int64) for c in _NUMBERS]) if len(got) else np.zeros((0, len(_NUMBERS)), np.int64)
+        self.numbers = [np.append(got.column(c).to_numpy(), 0).astype(np.int64) for c in _NUMBERS]
 
     def places(self, chunks: pa.Array) -> np.ndarray:
         """Where these chunks stand; -1 for those that aren't known."""
         return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def sums(self, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The numbers of the chunks at these places, added up between each two edges; those that aren't known count 0."""
+        return np.column_stack([_sums(x[at], edges) for x in self.numbers])
+
 
 def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of df: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
@@ -375,7 +452,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     read whole; one without such places is one chunk, aligned in one window. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
-    spark, pair = df.sparkSession, Pair(path_a, path_b)
+    spark, pair = df.sparkSession, Pair(path_a, path_b).judged()
     documents = _documents(df, id_col, text_col)
     tokens = encoded(chunk_counts(documents, pair), pair)
     own = _joined_on_chunk(spark)
@@ -428,7 +505,7 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
                 order = np.lexsort((pos, np.repeat(np.arange(part.num_rows), np.diff(ends))))
                 if len(order) != len(rare) or (np.diff(ends) != np.bincount(doc, minlength=part.num_rows)).any() or (pos[order] != rare - got.edges[doc]).any():
                     raise ValueError("chunks of a document differ from those counted")
-                numbers = _sums(np.where(at[:, None] < 0, 0, known.numbers[at]) if len(known.numbers) else np.zeros((len(at), len(_NUMBERS)), np.int64), got.edges)
+                numbers = known.sums(at, got.edges)
                 texts = part.column("texts")
                 for i in np.flatnonzero(np.diff(ends)).tolist():
                     numbers[i] += _counts(texts[i].as_py(), *(x[ends[i] : ends[i + 1]] for x in sent))

@@ -147,3 +147,30 @@ def test_registered(spark):
     want = sorted((i, *w[:6], sha(w[6])) for (i, _), w in zip(rows, brute([t for _, t in rows])))
     got = sorted((r["doc_id"], *(r[c] for c in T._NUMBERS), r["groups_sha256"]) for r in QUERIES["op13_token_alignment"](spark, sf).collect())
     assert got == want
+
+
+def test_split_cost():
+    """Splitting texts with many different words takes few times what Arrow takes to tell the words apart, and none of it reads the model; chunks are those of a plain reading."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(10)
+    stems = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(2, 9))) for _ in range(90_000)]
+    words = [w + rng.choice(["", "", "", ".", ",", ".\nThe", "!?", ".b", "1."]) for w in stems]
+    texts = pa.array([" ".join(rng.choices(words, k=500)).encode() for _ in range(800)], pa.binary())
+    tokenizers = T.Pair(PATHS[0], "/no/such/file", plain=True).open()
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: tokenizers.chunks(texts)) < 5 * least(lambda: pc.split_pattern(texts.cast(pa.string()), " ").flatten().dictionary_encode())
+    got = tokenizers.chunks(texts)
+    names = got.names.to_pylist()
+    assert [[names[k] for k in got.at[a:b]] for a, b in zip(got.edges, got.edges[1:])] == [[c for w in T.words_of(x.decode()) for c in T.chunks_of(w)] for x in texts.to_pylist()]
