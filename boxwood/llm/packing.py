@@ -16,7 +16,9 @@ problem, each with its own random numbers and population:
   the ring, which takes it into its population.
 
 An island stops as soon as its best chromosome has as few bins as the lengths
-allow; the first chromosome, by best fit alone, often has, then nothing is left to evolve. Islands of an epoch are tasks of a Spark job; between epochs
+allow; the first chromosome, by best fit alone, often has, then nothing is left to evolve.
+Where best fit has filled most bins, only those with room and as many full ones
+with small pieces evolve; the other full bins stay as they are. Islands of an epoch are tasks of a Spark job; between epochs
 they live in a table in the shared folder.
 """
 
@@ -28,6 +30,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,50 +148,60 @@ class Encoder:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        chunks, at, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        chunks, at, edges = coded.dictionary, coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
         first, last = edges[:-1], edges[1:] - 1
+        sizes = pc.binary_length(chunks).to_numpy()
         # White space at a chunk's beginning, or none between two spaces: such texts are encoded whole, as are those with added tokens.
-        odd = pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 0, 1)).to_numpy(zero_copy_only=False)[at]
-        if "" in chunks:
-            none = at == chunks.index("")
+        spaced = pc.utf8_is_space(pc.utf8_slice_codeunits(chunks, 0, 1)).to_numpy(zero_copy_only=False)
+        odd = spaced[at]
+        empty = np.flatnonzero(sizes == 0)
+        if len(empty):
+            none = at == empty[0]
             none[last] = False
             odd |= none
         whole = np.maximum.reduceat(odd, first)
         for own, _ in self._added:
             whole |= np.fromiter((any(x in t for x in own) for t in texts), dtype=bool, count=len(texts))
-        found = self._packed(chunks, pc.binary_length(coded.dictionary).to_numpy())
-        begins = [self.ids(t).tobytes() if w else self._pack(chunks[k]) for t, w, k in zip(texts, whole.tolist(), at[first].tolist(), strict=True)]
-        at[np.repeat(whole, np.diff(edges))] = len(chunks)
-        at[first] = len(chunks) + 1 + np.arange(len(texts))
-        every = [*found, b"", *begins]
-        lengths = np.fromiter(map(len, every), dtype=np.int64, count=len(every)) // 4
-        begin, own = (np.cumsum(lengths) - lengths)[at], lengths[at]
-        place = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        return np.frombuffer(b"".join(every), dtype="<u4")[place], np.add.reduceat(own, first)
-
-    def _packed(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
-        """The packed ids of each of these different chunks (of so many bytes) with a space before it."""
-        known = self._known
-        out = list(map(known.get, chunks))
-        new = [i for i, x in enumerate(out) if x is None]
-        for k in range(0, len(new), _CHUNKS):
-            some = new[k : k + _CHUNKS]
-            for i, x in zip(some, self._apart([chunks[i] for i in some], sizes[some]), strict=True):
-                out[i] = x
-                if len(known) < _CACHE:
-                    known[chunks[i]] = x
-        return out
-
-    def _apart(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
+        plain = ~spaced & (sizes > 0)
+        found, lengths = self._packed(chunks.filter(pa.array(plain)), sizes[plain])
+        bare = self._pack(" ")
+        begins = [self.ids(t).tobytes() if w else self._pack(t.split(" ", 1)[0]) for t, w in zip(texts, whole.tolist(), strict=True)]
+        # What is taken of each part of a text: its chunk's ids, with a space before it; those of a space alone; none; or what begins this text.
+        every = np.zeros(len(chunks) + 2 + len(texts), dtype=np.int64)
+        every[: len(chunks)][plain] = 4 * lengths
+        every[len(chunks)] = len(bare)
+        every[len(chunks) + 2 :] = np.fromiter(map(len, begins), dtype=np.int64, count=len(begins))
+        if len(empty):
+            at[at == empty[0]] = len(chunks)
+        at[np.repeat(whole, np.diff(edges))] = len(chunks) + 1
+        at[first] = len(chunks) + 2 + np.arange(len(texts))
+        taken = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(np.append(0, np.cumsum(every))), pa.py_buffer(b"".join([found, bare, *begins]))]).take(pa.array(at))
+        _, stops, ids = taken.buffers()
+        stops = np.frombuffer(stops, dtype=np.int64)[edges]
+        return np.frombuffer(ids, dtype="<u4", count=stops[-1] // 4), np.diff(stops) // 4
+
+    def _packed(self, chunks: pa.Array, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The packed ids of these different chunks (of so many bytes, none with a space in it), each with a space before it, one after another; and how many each has."""
+        ids, counts = [], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(chunks), _CHUNKS):
+            some = chunks.slice(k, _CHUNKS)
+            # Joined and split again, which is much faster than to make a string of each.
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(some)], pa.int64()), some), pa.scalar(" ", pa.large_string()))[0].as_py()
+            own, n = self._apart(joined.split(" "), sizes[k : k + _CHUNKS])
+            ids.append(own)
+            counts.append(n)
+        return b"".join(ids), np.concatenate(counts)
+
+    def _apart(self, chunks: list[str], sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The same for chunks that are encoded as one text: each takes the tokens of its bytes. If a token reaches into two chunks, they are encoded one by one."""
         ids = np.array(self._plain(" " + " ".join(chunks)), dtype="<u4")
         ends = np.cumsum(self._widths[ids])
         stops = np.cumsum(sizes.astype(np.int64) + 1)
         cuts = np.searchsorted(ends, stops)
         if ends[-1] != stops[-1] or (ends[cuts] != stops).any():
-            return [self._pack(" " + x) for x in chunks]
-        packed, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-        return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            packed = [self._pack(" " + x) for x in chunks]
+            return b"".join(packed), np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        return ids.tobytes(), np.diff(cuts, prepend=-1)
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -362,21 +375,59 @@ def mutate(sizes: list[int], bins: Bins, capacity: int, rng: random.Random) -> B
     return kept
 
 
-def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], generations: int, population: int, stall: int = 25) -> Bins:
-    """The best chromosome of an island after some generations, begun from the elites that it has been sent. An island that got no fuller for ``stall`` generations rests."""
-    least = least_bins(sizes, capacity)
-    rng = random.Random(seed)
-    people = [[list(b) for b in x] for x in elites]
-    if not people:
-        bins: Bins = []
-        best_fit(sizes, list(range(len(sizes))), bins, [], capacity)
-        people.append(bins)
-    if len(people[0]) <= least:
-        return people[0]
+def grind(sizes: list[int], bins: Bins, capacity: int, rng: random.Random) -> Bins:
+    """Dissolves the least filled bin and, at random, some of those with the most pieces: small pieces fill the gaps of other bins to the last token."""
+    room = rooms(sizes, bins, capacity)
+    order = sorted(range(len(bins)), key=lambda b: -len(bins[b]) * (0.5 + rng.random()))
+    gone = {*order[: max(1, len(bins) // 6)], max(range(len(bins)), key=room.__getitem__)}
+    kept = [list(b) for k, b in enumerate(bins) if k not in gone]
+    displaced = [i for k in sorted(gone) for i in bins[k]]
+    settle(sizes, displaced, kept, [r for k, r in enumerate(room) if k not in gone], capacity, rng)
+    return kept
+
+
+def set_aside(sizes: list[int], first: Bins, capacity: int) -> Bins:
+    """The full bins of best fit that take no part in the evolution: all but those with the most pieces, of which as many take part as there are bins with room."""
+    room = rooms(sizes, first, capacity)
+    full = sorted((b for b, r in enumerate(room) if not r), key=lambda b: (-len(first[b]), b))
+    return [first[b] for b in full[len(first) - len(full) :]]
+
+
+def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], generations: int, population: int, stall: int = 25, least: int | None = None) -> Bins:
+    """The best chromosome of an island after some generations, begun from the elites that islands of the same sizes have sent. An island that got no fuller for ``stall`` generations rests.
+
+    Where best fit has filled most bins, the full ones are kept, but for some, so the work goes with the bins that still have room; small pieces are then worth dissolving bins for.
+    """
+    least = least or least_bins(sizes, capacity)
+    if elites and len(elites[0]) <= least:
+        return elites[0]
+    first: Bins = []
+    best_fit(sizes, list(range(len(sizes))), first, [], capacity)
+    if len(first) <= least:
+        return first
+    aside = set_aside(sizes, first, capacity)
+    fixed = {i for b in aside for i in b}
+    inner = [i for i in range(len(sizes)) if i not in fixed]
+    number = {i: k for k, i in enumerate(inner)}
+    people = [[[number[i] for i in b] for b in x if b[0] not in fixed] for x in elites or [first]]
+    own = [sizes[i] for i in inner]
+    best = _evolve(own, capacity, random.Random(seed), people, generations, population, stall, max(least - len(aside), least_bins(own, capacity)), bool(aside))
+    return [list(b) for b in aside] + [[inner[k] for k in b] for b in best]
+
+
+def _evolve(sizes: list[int], capacity: int, rng: random.Random, people: list[Bins], generations: int, population: int, stall: int, least: int, fine: bool) -> Bins:
+    known = fitness(sizes, people[0], capacity)
+    for _ in range(stall * fine):  # the best one alone, which is often enough
+        child = grind(sizes, people[0], capacity, rng)
+        fit = fitness(sizes, child, capacity)
+        if fit >= known:
+            people[0], known = child, fit
+        if len(people[0]) <= least:
+            return people[0]
     while len(people) < population:
         # A random part of the pieces is placed first, so that islands begin apart.
         first = [i for i in range(len(sizes)) if rng.random() < 0.3]
-        bins = []
+        bins: Bins = []
         best_fit(sizes, first, bins, [], capacity)
         chosen = set(first)
         settle(sizes, [i for i in range(len(sizes)) if i not in chosen], bins, rooms(sizes, bins, capacity), capacity, rng)
@@ -389,7 +440,7 @@ def evolve(sizes: list[int], capacity: int, seed: str, elites: list[Bins], gener
         (_, one), (_, other) = rng.sample(scored, 2)
         child = cross(sizes, one, other, capacity, rng)
         if rng.random() < 0.5:
-            child = mutate(sizes, child, capacity, rng)
+            child = (grind if fine and rng.random() < 0.5 else mutate)(sizes, child, capacity, rng)
         since += 1
         fit = fitness(sizes, child, capacity)
         if fit > scored[0][0]:
@@ -438,28 +489,34 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, problem: int = 16_384,
             for batch in batches:
                 for row in batch.to_pylist():
                     sizes = [x["length"] for x in row["items"]]
+                    least = row.get("least") or least_bins(sizes, capacity)
                     elites = [_to_bins(np.frombuffer(x, dtype=np.int32)) for x in row.get("elites") or ()]
-                    bins = evolve(sizes, capacity, f"{seed}/{row['_problem']}/{row['_island']}/{at}", elites, generations, population)
+                    bins = evolve(sizes, capacity, f"{seed}/{row['_problem']}/{row['_island']}/{at}", elites, generations, population, least=least)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["_problem"]], pa.int32()), pa.array([row["_island"]], pa.int32()), pa.array([len(bins)], pa.int32()), pa.array([_to_array(bins, len(sizes)).tobytes()], pa.binary())],
-                        names=["_problem", "_island", "bins", "solution"],
+                        [pa.array([row["_problem"]], pa.int32()), pa.array([row["_island"]], pa.int32()), pa.array([len(bins)], pa.int32()), pa.array([least], pa.int32()), pa.array([_to_array(bins, len(sizes)).tobytes()], pa.binary())],
+                        names=["_problem", "_island", "bins", "least", "solution"],
                     )
 
         return run
 
-    state = "_problem int, _island int, bins int, solution binary"
+    state = "_problem int, _island int, bins int, least int, solution binary"
+    ages = []
     for at in range(epochs):
         if states is None:
             begun = ring
         else:
-            # An island gets its own best and that of the island before it.
+            # Problems of which no island has reached the bound go on. An island gets its own best and that of the island before it.
+            open_ = states.groupBy("_problem").agg(F.min("bins").alias("bins"), F.min("least").alias("least")).filter("bins > least").select("_problem", "least")
+            if open_.isEmpty():
+                break
             own = states.select("_problem", "_island", F.lit(0).alias("k"), "solution")
             moved = states.select("_problem", ((F.col("_island") + 1) % islands).alias("_island"), F.lit(1).alias("k"), "solution")
             sent = own.union(moved).groupBy("_problem", "_island").agg(F.sort_array(F.collect_list(F.struct("k", "solution"))).alias("e")).select("_problem", "_island", F.col("e.solution").alias("elites"))
-            begun = ring.join(sent, ["_problem", "_island"])
+            begun = ring.join(sent, ["_problem", "_island"]).join(open_, "_problem")
         states = durable(begun.repartition(width, "_problem", "_island").mapInArrow(epoch(at), state))
+        ages.append(states)
 
-    best = states.groupBy("_problem").agg(F.min(F.struct("bins", "_island", "solution")).alias("s")).select("_problem", "s.solution")
+    best = reduce(DataFrame.union, ages).groupBy("_problem").agg(F.min(F.struct("bins", "_island", "solution")).alias("s")).select("_problem", "s.solution")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
